@@ -19,10 +19,10 @@ from docloom.llm.shared import WORD, key_of, settle
 GAP = r"[\x20\x09-\x0D]"
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats")
 #: Standard deviations that any group has at least, by feature.
-FLOORS = (0.08, 0.06, 0.08, 0.08)
+FLOORS = (0.08, 0.06, 0.08, 0.10)
 SHARE, STEPS, SMALLEST_GROUP = 0.75, 4, 50
 #: Squared distance over which a row is an outlier, and the median of chi-square with four degrees of freedom.
-LIMIT, MEDIAN = 60.0, 3.357
+LIMIT, MEDIAN = 30.0, 3.357
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
