@@ -21,7 +21,7 @@ from docloom.llm.shared import fold, held_out
 #: About so many labelled rows, drawn by hash, fit the model; twice as many at most.
 FIT_ROWS = 20_000
 MOST_VOTERS, LEAST_ROWS, LEAST_LOG_ODDS = 400, 4, 2.5
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 #: Fixed lexicon of insults, lower case; "*" stands for any ending.
 LEXICON = "idiot* moron* stupid* loser* scum* trash worthless pathetic disgusting clown* imbecil* dumb* bastard* scumbag* vermin filth* crétin* connard* abruti* dummkopf* vollidiot* arschloch* abschaum estúpid* imbécil* basura gilipollas".split()
@@ -70,7 +70,7 @@ class Model:
 
 
 def extras(kinds: int, times: int, words: int) -> list[float]:
-    return [np.log1p(100 * times / (words + 20)), np.log1p(kinds), float(times > 0)]
+    return [np.log1p(100 * times / (words + 20)), np.log1p(times), np.log1p(kinds), float(times > 0)]
 
 
 def mined(labelled: DataFrame) -> list[str]:
@@ -90,16 +90,20 @@ def mined(labelled: DataFrame) -> list[str]:
     counted = labelled.mapInArrow(run, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = labelled.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     odds = F.log((F.col("toxic") + 0.5) / (total[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (total[0] + 1.0))
-    rows = counted.where(F.col("toxic") >= LEAST_ROWS).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc(F.col("odds")), F.desc("toxic"), "feature").limit(MOST_VOTERS * 4).collect()
-    kept: dict[str, tuple] = {}
-    for r in sorted(rows, key=lambda r: (len(r["feature"].rstrip("*")), r["feature"])):
-        stem, seen = r["feature"].rstrip("*"), (r["clean"], r["toxic"])
-        # a beginning that already speaks in the same rows makes a longer one needless
-        if any(kept.get(stem[:k] + "*") == seen for k in range(PREFIXES[0], len(stem) + 1)):
-            continue
-        kept[r["feature"]] = seen
-    best = {r["feature"]: (-r["odds"], -r["toxic"]) for r in rows}
-    return sorted(kept, key=lambda f: (best[f], f))[:MOST_VOTERS]
+    rows = counted.where(F.col("toxic") >= LEAST_ROWS).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc(F.col("odds")), F.desc("toxic"), "feature").limit(MOST_VOTERS * 10).collect()
+    odds_of = {r["feature"]: r["odds"] for r in rows}
+    seen = {r["feature"]: (r["clean"], r["toxic"]) for r in rows}
+    for f in [f for f in seen if f.endswith("*")]:  # of beginnings that speak in the same rows the longest says most exactly what is meant
+        for shorter in (f[:k] + "*" for k in range(PREFIXES[0], len(f) - 1)):
+            if seen.get(shorter) == seen[f]:
+                odds_of.pop(shorter, None)
+    kept: list[str] = []
+    for f in sorted(odds_of, key=lambda f: (len(f.rstrip("*")), not f.endswith("*"), f)):
+        stem = f.rstrip("*")
+        # a beginning that speaks in all those rows, with odds nearly as good or better, makes a longer one needless
+        if not any(odds_of.get(b, -9) >= odds_of[f] - 0.7 for k in range(PREFIXES[0], len(stem) + 1) if (b := stem[:k] + "*") != f):
+            kept.append(f)
+    return sorted(kept, key=lambda f: (-odds_of[f], f))[:MOST_VOTERS]
 
 
 def label_model(x: np.ndarray, gold: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +131,26 @@ def label_model(x: np.ndarray, gold: np.ndarray, rounds: int = 30) -> tuple[np.n
 
 
 def linear(features: np.ndarray, target: np.ndarray, strength: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last weight is the bias."""
-    x, w = np.hstack([features, np.ones((len(features), 1))]), np.zeros(features.shape[1] + 1)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(strength), x.T @ (p - target) + strength * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+    """Logistic regression on soft labels by Newton steps; the last weight is the bias.
+
+    Nothing speaks against toxicity here: features whose weight comes out negative are left out and the rest is fitted anew.
+    """
+    use = np.ones(features.shape[1], bool)
+    while True:
+        x, w = np.hstack([features[:, use], np.ones((len(features), 1))]), np.zeros(use.sum() + 1)
+        held = np.append(strength[:-1][use], strength[-1])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(held), x.T @ (p - target) + held * w)
+            w -= step
+            if np.abs(step).max() < 1e-6:
+                break
+        if (w[:-1] >= 0).all():
             break
-    return w
+        use[np.flatnonzero(use)[w[:-1] < 0]] = False
+    out = np.zeros(features.shape[1] + 1)
+    out[np.append(use, True)] = w
+    return out
 
 
 def voted(rows: DataFrame, model: Model, columns: list[str], text_col: str) -> DataFrame:
@@ -166,13 +181,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for k, said in enumerate(rows["speaking"]):
         x[k, np.asarray(said, np.int64)] = 1
     if not len(rows) or rows["toxic"].nunique() < 2:
-        model.weights, model.bias = np.concatenate([np.full(width, 1.0), [1.0, 1.0, 2.0]]), -3.0
+        model.weights, model.bias = np.concatenate([np.full(width, 1.0), [1.0, 0.5, 1.0, 2.0]]), -3.0
         return model
     posterior, _ = label_model(x, rows["toxic"].to_numpy())
     more = np.array([extras(len(s), t, w) for s, t, w in zip(rows["speaking"], rows["times"], rows["words"], strict=True)])
-    w = linear(np.hstack([x, more]), posterior, np.concatenate([np.full(width, 2.0), [0.05, 0.05, 0.05, 0.01]]))
-    # no voter speaks against toxicity: a rare one that chance made negative says nothing
-    model.weights, model.bias = np.concatenate([np.maximum(w[:width], 0), w[width:-1]]), float(w[-1])
+    w = linear(np.hstack([x, more]), posterior, np.concatenate([np.full(width, 2.0), [0.05, 0.05, 0.05, 0.05, 0.01]]))
+    model.weights, model.bias = w[:-1], float(w[-1])
     return model
 
 
