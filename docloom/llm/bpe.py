@@ -16,12 +16,13 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fragments that a task remembers, and the longest of them in characters: this bounds its memory.
-REMEMBERED, LONGEST = 200_000, 64
+#: Fragments that a worker remembers (twice as many at most), and the longest of them in characters: this bounds its memory.
+REMEMBERED, LONGEST = 250_000, 64
 
 
 def default_vocabulary() -> str:
@@ -57,15 +58,28 @@ class Codec:
         self.cut, self.inner_cut = re.compile(self.pattern()), re.compile(self.inner_pattern())
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads = frozenset("\t\n\x0b\x0c\r ")
+        self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)])
 
     def pattern(self) -> str:
-        """A pattern for the empty places before an ASCII space where a text is cut, from the forced pairs."""
-        wide, by_left = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", {}
-        for b in "\t\n\x0b\x0c\r ":
-            if all(self.forced(a, ord(b)) for a in range(128, 192)):  # a character beyond ASCII ends in one of these bytes
-                spaces = "".join(re.escape(chr(a)) for a in range(128) if 9 <= a <= 13 or a == 32 or not self.forced(a, ord(b)))
-                by_left.setdefault(spaces, []).append(b)
-        return "|".join(f"(?<=[^{left}{wide}])(?=[{''.join(map(re.escape, bs))}])" for left, bs in by_left.items()) or "(?!)"
+        """A pattern for the empty places before an ASCII space where a text is cut, from the forced pairs.
+
+        What may stand on the left: every character up to U+FFFF that is no white space and whose last byte makes a
+        forced pair with the space.
+        """
+        white = {*map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))}
+        lasts = {a for a in range(192) if all(self.forced(a, ord(b)) for b in "\t\n\x0b\x0c\r ")}
+        held = [chr(cp) not in white and (cp if cp < 128 else 128 | cp & 63) in lasts for cp in range(0x10000)]
+        ranges, cp = [], 0
+        while cp < len(held):
+            end = cp
+            while end < len(held) and held[end]:
+                end += 1
+            if end > cp:
+                ranges.append(rf"\u{cp:04x}-\u{end - 1:04x}")
+            cp = end + 1
+        return f"(?=[\\t-\\r ])(?<=[{''.join(ranges)}])" if ranges else "(?!)"
 
     def inner_pattern(self) -> str:
         """The same inside runs of ASCII letters or of digits; tried on long fragments only."""
@@ -86,26 +100,41 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers.  Special tokens written out in the text are found first."""
         if self.split_special and any(s in text for s in self.special):
             return b"".join(self.special[part].to_bytes(4, "little") if part in self.special else self.encode(part) for part in self.split_special.split(text) if part)
-        parts, known = self.fragments(text), self.known
-        if new := [p for p in dict.fromkeys(parts) if p not in known]:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            import numpy as np
-
-            coded = {}
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    coded[p] = np.array(e.ids, "<u4").tobytes()
-            known.update((p, ids) for p, ids in coded.items() if len(p) <= LONGEST)
-            return b"".join([coded.get(p) or known.get(p, b"") for p in parts])
-        return b"".join([known[p] for p in parts])
+        parts, known, older = self.fragments(text), self.known, self.older
+        out = list(map(known.get, parts))
+        if None in out:
+            fresh = []
+            for p in {p for p, ids in zip(parts, out, strict=True) if ids is None}:
+                if (ids := older.get(p)) is None:
+                    fresh.append(p)
+                else:
+                    known[p] = ids
+            if fresh:
+                known.update(self.encode_fragments(fresh))
+            out = list(map(known.__getitem__, parts))
+            for p in fresh:
+                if len(p) > LONGEST:
+                    del known[p]
+            if len(known) > REMEMBERED:
+                self.known, self.older = {}, known
+        return b"".join(out)
+
+    def encode_fragments(self, fragments: list[str]) -> dict[str, bytes]:
+        """Ids of each fragment.  Fragments that may follow one another in a text are encoded in one go and cut again."""
+        joined = [p for p in fragments if p[:1] in self.heads and self.cut.search(p + " ", len(p))]
+        apart = set(fragments).difference(joined)
+        coded = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(apart, self.tokenizer.encode_batch_fast(list(apart), add_special_tokens=False), strict=True)}
+        for at in range(0, len(joined), 2000):
+            some = joined[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in some])
+            to = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
+            raw = ids.tobytes()
+            coded.update((p, raw[a:b]) for p, a, b in zip(some, (0, *to[:-1].tolist()), to.tolist(), strict=True))
+        return coded
 
     def decode(self, ids: bytes) -> str:
         """What the tokenizers library's decode gives with special tokens kept: bytes that are no UTF-8 become U+FFFD."""
-        import numpy as np
-
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
