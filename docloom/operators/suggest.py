@@ -150,7 +150,12 @@ def preferred_spelling(value: Column, examples: Column) -> Column:
     """As the examples spell it: the same word in their case, else another word of its group."""
     parts = _name_parts(F.coalesce(examples, F.array().cast("array<struct<file_name:string,category:string>>")))
     same = F.get(F.filter(parts, lambda x: F.lower(x) == F.lower(value)), F.lit(0))
-    by_group = [F.when(F.lower(value).isin(*(t.lower() for t in g)), F.get(F.filter(parts, lambda x, g=g: F.lower(x).isin(*(t.lower() for t in g))), F.lit(0))) for g in TERM_GROUPS]
+
+    def other_spelling(group: tuple[str, ...]) -> Column:
+        words = [t.lower() for t in group]
+        return F.when(F.lower(value).isin(*words), F.get(F.filter(parts, lambda x: F.lower(x).isin(*words)), F.lit(0)))
+
+    by_group = [other_spelling(g) for g in TERM_GROUPS]
     return F.when(value == "", value).otherwise(F.coalesce(same, *by_group, value))
 
 

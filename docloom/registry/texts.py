@@ -72,39 +72,37 @@ def ligatures(c: str) -> str:
 HEAD = "substring(body, 1, 200)"
 LAST = f"(length({HEAD}) - position(' ' in reverse({HEAD})))"
 SEMESTER = r"(20\d{2})\s*(?:[-./년]\s*)?([12])\s*(?:학기)?"
-B, P = F.col("body"), F.col("path")
 
 #: name: (column, SQL) over documents as files.
 COLUMNS = {
-    "b1_normalize_ligatures": (t.normalize_ligatures(B), ligatures("body")),
-    "b2_normalize_pdf_text": (lambda: t.normalize_pdf_text(B), NORMAL),
-    "b3_truncate_text": (t.truncate_text(B, 200), f"case when length(body) <= 200 then body else {rx(f'case when contains({HEAD}, chr(32)) and {LAST} > 160 then substring({HEAD}, 1, {LAST}) else {HEAD} end', r'\s+$')} end"),
-    "b4_select_analysis_text": (t.select_analysis_text(B, 1000), sampled("body", 1000)),
-    "b5_readable_ratio": (F.round(t.readable_ratio(B), 6), f"round({ratio('body')}, 6)"),
-    "b6_clean_control": (t.clean_control(B), rx("translate(body, chr(13) || chr(11), chr(10) || chr(10))", r"[\x00-\x08\x0c\x0e-\x1f]+", " ")),
-    "b7_salvage_tokens": (t.salvage_tokens(B), f"array_to_string(regexp_extract_all(body, {q(r'[가-힣]{2,}|[A-Za-z]{2,}|[0-9][0-9.,\-:~년월일종호]*')}), ' ')"),
-    "b8_printable_runs": (t.printable_runs(B), f"array_to_string(list_transform(regexp_extract_all(body, {q(r'[가-힣A-Za-z0-9][가-힣A-Za-z0-9 .,()\-_:%/·]{7,}')}), lambda x: trim(x)), ' ')"),
-    "b9_normalize_text": (t.normalize_text(B), f"substring({strip(rx(rx('body', r'[ \t]+', ' '), r'\n{3,}', chr(10) * 2))}, 1, 2000)"),
-    "b10_safe_filename": (t.safe_filename(B), named("body", 90)),
-    "b10_sanitize": (t.sanitize(B), named("body", None)),
-    "b11_squash": (t.squash(B), squash("body")),
-    "b12_clean_component": (t.clean_component(B), cleaned("body")),
-    "b13_flat_evidence": (t.flat_evidence(B), f"lower({rx('body', '[^0-9A-Za-z가-힣]')})"),
-    "b14_document_semester": (t.document_semester(B), f"case when regexp_matches(body, {q(SEMESTER)}) then regexp_extract(body, {q(SEMESTER)}, 1) || '-' || regexp_extract(body, {q(SEMESTER)}, 2) else '' end"),
-    "b15_is_under": (t.is_under(P, F.lit("/src1/")), "path = '/src1' or starts_with(path, '/src1/')"),
-    "b16_parent_folder": (t.parent_folder(P), "source || '/' || lang"),
-    "b16_relative_folder": (t.relative_folder(F.lit("/src1"), F.regexp_replace(P, "/[^/]*$", "")), "case when source = 'src1' then lang else '.' end"),
-    "b17_filename_tokens": (F.array_join(F.array_sort(t.filename_tokens(F.concat_ws(" ", "name", "lang"))), ","), "array_to_string(list_sort(list_distinct(list_filter(string_split_regex(name || ' ' || lang, '[_\\s\\-()]+'), lambda x: x <> ''))), ',')"),
-    "b18_short_reason": (t.short_reason(B), f"substring({collapse('body')}, 1, 180)"),
-    "b20_index_text": (t.index_text(P, B), "substring('doc ' || id || chr(10) || lang || chr(10) || body, 1, 800)"),
-    "b22_category_label": (suggest.category_label(F.element_at(F.array(*map(F.lit, (*lx.CATEGORIES, "other"))), (F.col("id") % 11 + 1).cast("int"))), f"list_extract([{', '.join(map(q, (*lx.CATEGORIES.values(), 'other')))}], (id % 11 + 1)::int)"),
+    "b1_normalize_ligatures": (lambda b, p: t.normalize_ligatures(b), ligatures("body")),
+    "b2_normalize_pdf_text": (lambda b, p: t.normalize_pdf_text(b), NORMAL),
+    "b3_truncate_text": (lambda b, p: t.truncate_text(b, 200), f"case when length(body) <= 200 then body else {rx(f'case when contains({HEAD}, chr(32)) and {LAST} > 160 then substring({HEAD}, 1, {LAST}) else {HEAD} end', r'\s+$')} end"),
+    "b4_select_analysis_text": (lambda b, p: t.select_analysis_text(b, 1000), sampled("body", 1000)),
+    "b5_readable_ratio": (lambda b, p: F.round(t.readable_ratio(b), 6), f"round({ratio('body')}, 6)"),
+    "b6_clean_control": (lambda b, p: t.clean_control(b), rx("translate(body, chr(13) || chr(11), chr(10) || chr(10))", r"[\x00-\x08\x0c\x0e-\x1f]+", " ")),
+    "b7_salvage_tokens": (lambda b, p: t.salvage_tokens(b), f"array_to_string(regexp_extract_all(body, {q(r'[가-힣]{2,}|[A-Za-z]{2,}|[0-9][0-9.,\-:~년월일종호]*')}), ' ')"),
+    "b8_printable_runs": (lambda b, p: t.printable_runs(b), f"array_to_string(list_transform(regexp_extract_all(body, {q(r'[가-힣A-Za-z0-9][가-힣A-Za-z0-9 .,()\-_:%/·]{7,}')}), lambda x: trim(x)), ' ')"),
+    "b9_normalize_text": (lambda b, p: t.normalize_text(b), f"substring({strip(rx(rx('body', r'[ \t]+', ' '), r'\n{3,}', chr(10) * 2))}, 1, 2000)"),
+    "b10_safe_filename": (lambda b, p: t.safe_filename(b), named("body", 90)),
+    "b10_sanitize": (lambda b, p: t.sanitize(b), named("body", None)),
+    "b11_squash": (lambda b, p: t.squash(b), squash("body")),
+    "b12_clean_component": (lambda b, p: t.clean_component(b), cleaned("body")),
+    "b13_flat_evidence": (lambda b, p: t.flat_evidence(b), f"lower({rx('body', '[^0-9A-Za-z가-힣]')})"),
+    "b14_document_semester": (lambda b, p: t.document_semester(b), f"case when regexp_matches(body, {q(SEMESTER)}) then regexp_extract(body, {q(SEMESTER)}, 1) || '-' || regexp_extract(body, {q(SEMESTER)}, 2) else '' end"),
+    "b15_is_under": (lambda b, p: t.is_under(p, F.lit("/src1/")), "path = '/src1' or starts_with(path, '/src1/')"),
+    "b16_parent_folder": (lambda b, p: t.parent_folder(p), "source || '/' || lang"),
+    "b16_relative_folder": (lambda b, p: t.relative_folder(F.lit("/src1"), F.regexp_replace(p, "/[^/]*$", "")), "case when source = 'src1' then lang else '.' end"),
+    "b17_filename_tokens": (lambda b, p: F.array_join(F.array_sort(t.filename_tokens(F.concat_ws(" ", "name", "lang"))), ","), "array_to_string(list_sort(list_distinct(list_filter(string_split_regex(name || ' ' || lang, '[_\\s\\-()]+'), lambda x: x <> ''))), ',')"),
+    "b18_short_reason": (lambda b, p: t.short_reason(b), f"substring({collapse('body')}, 1, 180)"),
+    "b20_index_text": (lambda b, p: t.index_text(p, b), "substring('doc ' || id || chr(10) || lang || chr(10) || body, 1, 800)"),
+    "b22_category_label": (lambda b, p: suggest.category_label(F.element_at(F.array(*map(F.lit, (*lx.CATEGORIES, "other"))), (F.col("id") % 11 + 1).cast("int"))), f"list_extract([{', '.join(map(q, (*lx.CATEGORIES.values(), 'other')))}], (id % 11 + 1)::int)"),
 }
 
 
 def over_documents(name: str):
     def run(spark, sf_dir):
-        column = COLUMNS[name][0]
-        return docs(spark, sf_dir).select("id", (column() if callable(column) else column).alias("value"))
+        return docs(spark, sf_dir).select("id", COLUMNS[name][0](F.col("body"), F.col("path")).alias("value"))
 
     return run
 
