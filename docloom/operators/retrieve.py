@@ -40,15 +40,22 @@ def token_idf(matches: DataFrame, docs: DataFrame) -> DataFrame:
     return matches.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0).alias("weight"))
 
 
-def name_score(name: Column, query: Column) -> Column:
-    """1 if the whole squashed name stands in the squashed query, else the share of its words that do."""
-    flat_query, flat_stem = squash(query), squash(stem(name))
-    words = F.filter(F.split(F.regexp_replace(stem(name), SEPARATORS, " "), rf"{S}+"), lambda x: F.length(x) >= 2)
-    found = F.size(F.filter(words, lambda x: F.contains(flat_query, F.lower(x))))
-    share = F.when(F.size(words) == 0, 0.0).otherwise(found / F.size(words))
+def name_parts(name: Column) -> tuple[Column, Column]:
+    """What a name is compared by: its squashed stem, and the stem's words of two letters and more."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(stem(name), SEPARATORS, " ")), rf"{S}+"), lambda x: F.length(x) >= 2)
+    return squash(stem(name)), words
+
+
+def name_share(flat_stem: Column, words: Column, flat_query: Column) -> Column:
+    """1 if the squashed stem stands in the squashed query, else the share of its words that do."""
+    share = F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda x: F.contains(flat_query, x))) / F.size(words))
     return F.when((flat_stem == "") | (flat_query == ""), 0.0).when(F.contains(flat_query, flat_stem), 1.0).otherwise(share)
 
 
+def name_score(name: Column, query: Column) -> Column:
+    return name_share(*name_parts(name), squash(query))
+
+
 def keyword_scores(queries: DataFrame, docs: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """(query_id, id, keyword): weighted share of the query's words in the name (1) or only in the body (0.7).
 
@@ -68,9 +75,14 @@ def keyword_scores(queries: DataFrame, docs: DataFrame, matches: DataFrame | Non
 
 
 def named(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, id, part) where the query spells out some of the name."""
-    pairs = docs.select("id", "name").join(checked(queries.select("query_id", "query")))  # stated queries against all names
-    return pairs.select("query_id", "id", name_score(F.col("name"), F.col("query")).alias("part")).where("part > 0")
+    """(query_id, id, part) where the query spells out some of the name: stated queries against all names.
+
+    Both sides are prepared before they meet, so a pair costs only the comparisons.
+    """
+    flat_stem, words = name_parts(F.col("name"))
+    asked = checked(queries.select("query_id", squash(F.col("query")).alias("flat_query")))
+    pairs = docs.select("id", flat_stem.alias("flat_stem"), words.alias("words")).join(asked)
+    return pairs.select("query_id", "id", name_share(F.col("flat_stem"), F.col("words"), F.col("flat_query")).alias("part")).where("part > 0")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -156,11 +168,12 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, now: Column, query_vector
         wanted = F.lit(min(max(top_k * 5, 50), 200))
         vector = vector_topn(query_vectors, doc_vectors, wanted).select("query_id", "id", "vector")
     rows = first_gate(candidates(keyword, vector))
-    slim = in_scope(docs.drop("body"), root)
-    rows = rows.join(slim, "id").join(checked(queries.select("query_id", "query", "half_life")), "query_id")
+    flat_stem, words = name_parts(F.col("name"))
+    slim = in_scope(docs.drop("body"), root).withColumns({"flat_stem": flat_stem, "words": words})
+    rows = rows.join(slim, "id").join(checked(queries.select("query_id", squash(F.col("query")).alias("flat_query"), "half_life")), "query_id")
     modified = F.coalesce(F.col("modified_at"), F.timestamp_micros("mtime_us")) if "mtime_us" in docs.columns else F.col("modified_at")
     fresh = recency(modified, now, F.coalesce("half_life", F.lit(HALF_LIFE)))
-    rows = rows.withColumn("score", combine(F.col("vector"), F.col("keyword"), fresh, F.col("half_life").isNotNull(), name_score(F.col("name"), F.col("query"))))
+    rows = rows.withColumn("score", combine(F.col("vector"), F.col("keyword"), fresh, F.col("half_life").isNotNull(), name_share(F.col("flat_stem"), F.col("words"), F.col("flat_query"))))
     best = Window.partitionBy("query_id", "path").orderBy(F.desc("score"), "id")
     rows = second_gate(rows.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")

@@ -32,31 +32,63 @@ def zero_shot(docs: DataFrame, labels: DataFrame, threshold: float = LABEL_THRES
     return best.select("id", F.when(near, F.col("label")).otherwise("etc").alias("category"), "confidence", F.when(near, "label_zeroshot").otherwise("etc_fallback").alias("method"))
 
 
-def nearest(docs: DataFrame, examples: DataFrame, n: int) -> DataFrame:
+#: Examples whose vectors are sent to every task at most.  More are met block by block, this many at a time.
+BLOCK = 20_000
+
+
+def best_of(ids: np.ndarray, x: np.ndarray, eids: np.ndarray, y: np.ndarray, n: int, barred: np.ndarray | None = None) -> pd.DataFrame:
+    """(id, eid, sim): the n best of y for each row of x, ties by example id; eids ascend.  barred pairs do not count."""
+    out = [pd.DataFrame({"id": ids[:0], "eid": eids[:0], "sim": np.zeros(0)})]
+    for at in range(0, len(x) if len(y) else 0, 1024):
+        sims = x[at : at + 1024] @ y.T
+        if barred is not None:
+            sims[barred[at : at + 1024]] = -np.inf
+        keep = min(n, sims.shape[1])
+        floor = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1 : keep]  # sort only what can be among the best
+        row, col = np.nonzero((sims >= floor) & np.isfinite(sims))
+        sim = sims[row, col]
+        order = np.lexsort((col, -sim, row))
+        row, col, sim = row[order], col[order], sim[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, sim = row[place < n], col[place < n], sim[place < n]
+        out.append(pd.DataFrame({"id": ids[at + row], "eid": eids[col], "sim": sim}))
+    return pd.concat(out)
+
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 0))
+
+
+def nearest(docs: DataFrame, examples: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
     """docs(id, v), examples(eid, ev, ...) to (id, eid, sim, place): the n nearest examples, ties by example id.
 
-    Examples are compared in blocks: they are cut into parts, every part keeps its n best of each document, and those
-    meet.  So neither side has to fit anywhere.
+    Up to a block of examples goes to every task, and documents are not moved at all.  More examples are cut into blocks;
+    documents are copied once a block, every block keeps its n best of each document, and those meet.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = examples.select("eid", "ev").withColumn("part", F.pmod(F.xxhash64("eid"), F.lit(parts)))
-    left = docs.select("id", "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "eid": [], "sim": []})
-        b = b.sort_values("eid")
-        y, out = np.stack(b["ev"].to_numpy()).astype(np.float64), []
-        for at in range(0, len(a), 1024):
-            some = a.iloc[at : at + 1024]
-            sims = np.stack(some["v"].to_numpy()).astype(np.float64) @ y.T
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-            rows = np.repeat(np.arange(len(some)), order.shape[1])
-            out.append(pd.DataFrame({"id": some["id"].to_numpy()[rows], "eid": b["eid"].to_numpy()[order.ravel()], "sim": sims[rows, order.ravel()]}))
-        return pd.concat(out)
-
     kinds = f"id {docs.schema['id'].dataType.simpleString()}, eid {examples.schema['eid'].dataType.simpleString()}, sim double"
-    met = left.groupBy("part").cogroup(cut.groupBy("part")).applyInPandas(best, kinds)
+    count = examples.count()
+    if count <= block:
+        table = examples.select("eid", "ev").orderBy("eid").toPandas()
+        held = docs.sparkSession.sparkContext.broadcast((table["eid"].to_numpy(), matrix(table["ev"])))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield best_of(batch["id"].to_numpy(), matrix(batch["v"]), *held.value, n)
+
+        met = docs.select("id", "v").mapInPandas(run, kinds)
+    else:
+        parts = -(-count // block)
+        cut = examples.select("eid", "ev").withColumn("part", F.pmod(F.xxhash64("eid"), F.lit(parts)))
+        rows = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = docs.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(rows)).alias("slice")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        right = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+
+        def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            b = b.sort_values("eid")
+            return best_of(a["id"].to_numpy(), matrix(a["v"]), b["eid"].to_numpy(), matrix(b["ev"]), n) if len(a) else pd.DataFrame({"id": [], "eid": [], "sim": []})
+
+        met = left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInPandas(best, kinds)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "eid"))
     return met.withColumn("place", place).where(F.col("place") <= n)
 
@@ -97,35 +129,28 @@ def retrieve_context(docs: DataFrame, examples: DataFrame, k: int = NEIGHBOURS,
     return shown.join(won, "id", "left").select("id", F.transform("e", lambda x: x.dropFields("n")).alias("examples"), "knn_category", "vote_ratio")
 
 
-def knn_leave_one_out(vectors: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+def knn_leave_one_out(vectors: DataFrame, ks: tuple[int, ...] = (1, 3, 5), block: int = BLOCK) -> DataFrame:
     """vectors(id, topic, label, v) to (id, label, k, predicted): neighbours of the same topic do not count.
 
-    All against all, in blocks: every part of the table meets every document, and keeps its best few.
+    All against all, in blocks: the table is cut into blocks, each pair of blocks meets in one task, and every
+    block keeps its best few of each vector.
     """
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    left = vectors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    most = max(ks)
+    parts, most = -(-max(1, vectors.count()) // block), max(ks)
+    cut = vectors.select("id", "topic", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
+    rows = max(parts, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left = vectors.select("id", "topic", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rows)).alias("slice")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
-    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "eid": [], "elabel": [], "sim": []})
+            return pd.DataFrame({"id": [], "eid": [], "sim": []})
         b = b.sort_values("id")
-        y, out = np.stack(b["v"].to_numpy()).astype(np.float64), []
-        for at in range(0, len(a), 1024):
-            some = a.iloc[at : at + 1024]
-            sims = np.stack(some["v"].to_numpy()).astype(np.float64) @ y.T
-            sims[some["topic"].to_numpy()[:, None] == b["topic"].to_numpy()[None, :]] = -np.inf
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :most]
-            rows = np.repeat(np.arange(len(some)), order.shape[1])
-            sim = sims[rows, order.ravel()]
-            frame = pd.DataFrame({"id": some["id"].to_numpy()[rows], "eid": b["id"].to_numpy()[order.ravel()], "elabel": b["label"].to_numpy()[order.ravel()], "sim": sim})
-            out.append(frame[np.isfinite(sim)])
-        return pd.concat(out)
-
-    of = vectors.schema["label"].dataType.simpleString()
-    met = left.groupBy("part").cogroup(cut.groupBy("part")).applyInPandas(best, f"id long, eid long, elabel {of}, sim double")
+        barred = a["topic"].to_numpy()[:, None] == b["topic"].to_numpy()[None, :]
+        return best_of(a["id"].to_numpy(), matrix(a["v"]), b["id"].to_numpy(), matrix(b["v"]), most, barred)
+
+    met = left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInPandas(best, "id long, eid long, sim double")
     top = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "eid"))).where(F.col("place") <= most)
+    top = top.join(vectors.select(F.col("id").alias("eid"), F.col("label").alias("elabel")), "eid")
     top = top.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where(F.col("place") <= F.col("k"))
     won = majority(top, ["id", "k"], "elabel", "place")
     return vectors.select("id", "label").join(won, "id").select("id", "label", "k", F.col("elabel").alias("predicted"))
