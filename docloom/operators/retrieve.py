@@ -2,12 +2,15 @@
 
 Documents: id, path, name, body and optionally modified_at, mtime_us, embed_model.  Queries: query_id, query and, from
 parse_queries, tokens and half_life.  The queries are the small side: their number is checked before they are broadcast.
-A word matches if it is a substring of the squashed name or of the lower-cased body, so the exact form is a nested loop
-over queries' distinct words, run where the documents lie; only matches and two bits each leave a task.
+A word matches if it is a substring of the squashed name or of the lower-cased body.  Documents are searched where they
+lie, for all words at once; only matches leave a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,19 +22,54 @@ from docloom.lexicon import BODY_WEIGHT, COMBINED_CUT, EXTENSIONS, HALF_LIFE, NA
 MOST_WORDS = 20_000
 
 
-def checked(small: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """small, marked for broadcast, if it has no more rows than most."""
+def bounded(small: DataFrame, most: int = MOST_WORDS) -> DataFrame:
+    """small, if it has no more rows than most."""
     if (n := small.limit(most + 1).count()) > most:
         raise ValueError(f"over {n - 1} rows on the query side: split the queries into batches")
-    return F.broadcast(small)
+    return small
+
+
+def checked(small: DataFrame, most: int = MOST_WORDS) -> DataFrame:
+    """small, marked for broadcast, if it has no more rows than most."""
+    return F.broadcast(bounded(small, most))
 
 
 def lexical_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(token, id, in_name) for every distinct query word and every document that holds it."""
+    """(token, id, in_name) for every distinct query word and every document that holds it.
+
+    All words are looked for in one pass over a text, by an automaton; Spark has no such expression.  Where its library is
+    missing, a nested loop join does the same.
+    """
     words = queries.select(F.explode("tokens").alias("token")).distinct()
     flat = docs.select("id", squash(F.col("name")).alias("flat"), F.lower(F.col("body")).alias("low"))
-    hit = F.contains("flat", F.col("token")) | F.contains("low", F.col("token"))
-    return flat.join(checked(words), hit).select("token", "id", F.contains("flat", F.col("token")).alias("in_name"))
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        hit = F.contains("flat", F.col("token")) | F.contains("low", F.col("token"))
+        return flat.join(checked(words), hit).select("token", "id", F.contains("flat", F.col("token")).alias("in_name"))
+    tokens = sorted(r[0] for r in bounded(words).collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, token in enumerate(tokens):
+            automaton.add_word(token, k)
+        automaton.make_automaton()
+        names = pa.array(tokens, pa.string())
+        for batch in batches:
+            for at in range(0, batch.num_rows if tokens else 0, 1000):
+                part = batch.slice(at, 1000)
+                rows, found, named = [], [], []
+                for k, (name, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    inside = {t for _, t in automaton.iter(name)} if name else set()
+                    for t in inside.union({t for _, t in automaton.iter(text)} if text else ()):
+                        rows.append(k)
+                        found.append(t)
+                        named.append(t in inside)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(found, pa.int64())), part.column(0).take(pa.array(rows, pa.int64())), pa.array(named, pa.bool_())], ["token", "id", "in_name"])
+
+    return flat.mapInArrow(run, f"token string, id {docs.schema['id'].dataType.simpleString()}, in_name boolean")
 
 
 def token_idf(matches: DataFrame, docs: DataFrame) -> DataFrame:
