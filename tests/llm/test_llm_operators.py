@@ -574,6 +574,22 @@ def test_content_without_an_article_element(spark):
     assert all(r["text"].startswith("long text") and r["text"].endswith("more words") and "Menu" not in r["text"] for r in got)
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ('<div class="layout with-sidebar"><article class="post social"><p>a</p></article></div>', "a"),
+        ('<article><p>a</p></article><article class="comment"><p>b</p></article>', "a"),
+        ('<main><h1>t</h1><div class="share">s</div><p>a &lt; b &copy; c</p><div id="comment-list">x</div></main>', "t\n\na < b © c"),
+        ("<article><p>a<script>b</script><p>c<!-- d", "a\n\nc"),
+        ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one\n\ntwo\n\nx\n\ny"),
+        ("<nav>menu</nav><p>x", "x"),
+        ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+    ],
+)
+def test_blocks(body, text):
+    assert "\n\n".join(html_extract.blocks_of(f"<html><body>{body}</body></html>", [])) == text
+
+
 def test_pages_of_the_tables(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in html_extract.op10_html_extraction(spark, sf).collect():
