@@ -237,12 +237,9 @@ def assemble_slim(rows: DataFrame, model: str = "소형 LLM") -> DataFrame:
 
 
 def organize_page(rows: DataFrame, offset: int = 0, most: int = 50) -> DataFrame:
-    """rows(path, error, normalized_text) of one page in path order, with status and the total of all pages.
-
-    Places come from a range sort of the paths alone; only the page's rows are gathered.
-    """
+    """rows(path, error, normalized_text) of one page in path order, with status and the total of all pages."""
     total = rows.agg(F.count("*").alias("total"))
-    page = rows.orderBy("path").limit(offset + most).exceptAll(rows.orderBy("path").limit(offset)) if offset else rows.orderBy("path").limit(most)
+    page = rows.orderBy("path").offset(offset).limit(most)
     failed = (F.coalesce("error", F.lit("")) != "") | (F.length(F.trim(F.coalesce("normalized_text", F.lit("")))) == 0)
     return page.withColumn("status", F.when(failed, "failed").otherwise("success")).join(F.broadcast(total))
 
