@@ -9,7 +9,7 @@ from docloom.operators import index
 from docloom.operators import suggest as sg
 from docloom.plans import moves as mv
 from docloom.registry.tables import DOCS, docs, read, scratch
-from docloom.registry.texts import collapse, q
+from docloom.registry.texts import q
 from docloom.streaming import changes
 
 QUERIES, ORACLES = {}, {}
@@ -219,9 +219,9 @@ def g8_preferred_separator(spark, sf_dir):
     return parts(spark, sf_dir).select("id", sg.preferred_separator(F.col("examples")).alias("separator"))
 
 
-@query(f"select id, case when length({_first}) >= 2 then 'AI' else {collapse(f"'ai_' || {_first}")} end as subject, {_even} as topic from {DOCS} where {_first} <> ''")
+@query(f"select id, case when length({_first}) >= 2 then 'AI' when {_first} = '' then 'ai' else 'ai_' || {_first} end as subject, {_even} as topic from {DOCS}")
 def g9_split_known_subject(spark, sf_dir):
-    p = parts(spark, sf_dir).where("subject <> ''")
+    p = parts(spark, sf_dir)
     out = sg.split_known_subject(F.concat(F.lit("ai "), F.col("subject")), sg.flat_evidence(F.col("body")))
     return p.select("id", out.alias("s")).select("id", "s.subject", "s.topic")
 
