@@ -217,7 +217,8 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, now: Column, query_vector
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
     top = rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top_k)
     top = top.select("query_id", "rank", "id", "path", "name", F.least(F.lit(1.0), "score").alias("score"))
-    with_text = docs.select("id", "body").join(top.hint("shuffle_hash"), "id").join(checked(queries.select("query_id", "tokens")), "query_id")
+    # at most top_k rows for each of the counted queries: they go to the texts, and no text is shuffled
+    with_text = docs.select("id", "body").join(F.broadcast(top), "id").join(checked(queries.select("query_id", "tokens")), "query_id")
     return with_text.select("query_id", "rank", "id", "path", "score", excerpt(F.col("body"), F.col("tokens"), F.col("name")).alias("matched_text"))
 
 
@@ -226,7 +227,7 @@ def keyword_topk(queries: DataFrame, docs: DataFrame, top_k: int = 20) -> DataFr
     scores = keyword_scores(queries, docs)
     place = Window.partitionBy("query_id").orderBy(F.desc(F.round("keyword", 9)), "id")
     top = scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top_k)
-    out = docs.select("id", "name", "body").join(top.hint("shuffle_hash"), "id").join(checked(queries.select("query_id", "tokens")), "query_id")
+    out = docs.select("id", "name", "body").join(F.broadcast(top), "id").join(checked(queries.select("query_id", "tokens")), "query_id")
     return out.select("query_id", "rank", "id", "keyword", excerpt(F.col("body"), F.col("tokens"), F.col("name")).alias("matched_text"))
 
 
