@@ -79,8 +79,28 @@ def pairs_within(ids: np.ndarray, passes: np.ndarray, x: list, window: int, cosi
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (least id, id) that connect just what the given pairs connect: one fewer than there are ids in each group."""
+    ids, at = np.unique(pairs, return_inverse=True)
+    at, label = at.reshape(pairs.shape), np.arange(len(ids))
+    while True:
+        low = label[at].min(axis=1)
+        new = label.copy()
+        np.minimum.at(new, at[:, 0], low)
+        np.minimum.at(new, at[:, 1], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(ids))
+    return np.stack([ids[label[moved]], ids[moved]], axis=1)
+
+
 def candidate_pairs(classes: DataFrame, passes: int, window: int, bits: int, cosine: float, seed: int) -> DataFrame:
-    """Distinct pairs (a, b) of class ids that some pass brought within the window and that reach the cosine."""
+    """Pairs (a, b) of class ids that connect all that some pass brought within the window and that reach the cosine.
+
+    A task hands on a spanning forest of the pairs it has verified, so a large group costs a row a vector and pass.
+    """
     parts = max(passes, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = keyed(classes, passes, bits, seed).repartitionByRange(parts, "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
 
@@ -111,7 +131,7 @@ def candidate_pairs(classes: DataFrame, passes: int, window: int, bits: int, cos
             for at in range(0, len(ids), 2000):
                 lo, hi = max(0, at - window), min(len(ids), at + 2000)
                 if hi > first:
-                    yield edges(np.unique(np.sort(pairs_within(ids[lo:hi], p[lo:hi], x[lo:hi], window, cosine, max(at, first) - lo), axis=1), axis=0))
+                    yield edges(forest(pairs_within(ids[lo:hi], p[lo:hi], x[lo:hi], window, cosine, max(at, first) - lo)))
             held = ids[-window:], p[-window:], x[-window:]
         if held is not None:
             yield border(held, place, window - len(held[0]))
@@ -122,7 +142,7 @@ def candidate_pairs(classes: DataFrame, passes: int, window: int, bits: int, cos
         rows = rows.sort_values("b")
         split = int((rows["b"] < window).sum())
         found = pairs_within(rows["a"].to_numpy(), rows["pass"].to_numpy(), list(rows["v"]), window, cosine, split)
-        return pd.DataFrame(np.sort(found, axis=1), columns=["a", "b"])
+        return pd.DataFrame(forest(found), columns=["a", "b"])
 
     inside = out.where(F.col("border").isNull()).select("a", "b")
     at_borders = out.where(F.col("border").isNotNull()).groupBy("border").applyInPandas(across, "a long, b long")
