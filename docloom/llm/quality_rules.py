@@ -20,7 +20,7 @@ GAP = r"[\x20\x09-\x0D]"
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats")
 #: Standard deviations that any group has at least, by feature.
 FLOORS = (0.08, 0.06, 0.08, 0.10)
-SHARE, STEPS, SMALLEST_GROUP = 0.75, 4, 50
+SHARE, STEPS, SMALLEST_GROUP, SALTS = 0.75, 4, 50, 64
 #: Squared distance over which a row is an outlier, and the median of chi-square with four degrees of freedom.
 LIMIT, MEDIAN = 30.0, 3.357
 
@@ -86,6 +86,11 @@ def squared_distance(x: list[Column], mean: list[Column], low: dict[tuple[int, i
     return sum((v * v for v in y), F.lit(0.0))
 
 
+def per_group(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with what table has of their group.  Rows carry a salt and table has a copy for each, so a hot group is spread."""
+    return rows.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["group", "salt"])
+
+
 def on_grid(value: Column, steps: int) -> Column:
     return F.round(value * steps).cast("int")
 
@@ -107,7 +112,7 @@ def estimates(rows: DataFrame, near: Column) -> DataFrame:
 def distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """rows with d2, the squared distance to its group's estimate."""
     k = len(FEATURES)
-    joined = rows.join(fitted, "group")
+    joined = per_group(rows, fitted)
     d2 = squared_distance([F.col(f) for f in FEATURES], [F.col(f"m{i}") for i in range(k)], {(i, j): F.col(f"l{i}{j}") for i in range(k) for j in range(i + 1)})
     return joined.withColumn("d2", d2).select(*rows.columns, "d2")
 
@@ -115,22 +120,24 @@ def distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
 def cut_at(rows: DataFrame, share: float) -> DataFrame:
     """rows with near: whether d2 is within that share of its group's smallest."""
     cut = rows.groupBy("group").agg(F.percentile(on_grid(F.log(F.col("d2") + 1e-6), 64), F.lit(share)).alias("cut"))
-    return rows.join(cut, "group").withColumn("near", on_grid(F.log(F.col("d2") + 1e-6), 64) <= F.col("cut"))
+    return per_group(rows, cut).withColumn("near", on_grid(F.log(F.col("d2") + 1e-6), 64) <= F.col("cut"))
 
 
 def outliers(stats: DataFrame, limit: float = LIMIT, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """Rows (group and the features, other columns stay) with d2 and outlier."""
+    if "salt" not in stats.columns:
+        stats = stats.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int"))
     medians = stats.groupBy("group").agg(*(F.percentile(on_grid(F.col(f), 1024), F.lit(0.5)).alias(f"c{i}") for i, f in enumerate(FEATURES)))
-    centred = stats.join(medians, "group")
+    centred = per_group(stats, medians)
     spread = centred.groupBy("group").agg(*(F.percentile(F.abs(on_grid(F.col(f), 1024) - F.col(f"c{i}")).cast("int"), F.lit(0.5)).alias(f"v{i}") for i, f in enumerate(FEATURES)))
     start = sum((F.pow((F.col(f) - F.col(f"c{i}") / 1024) / F.greatest(F.col(f"v{i}") * 1.4826 / 1024, F.lit(FLOORS[i])), 2) for i, f in enumerate(FEATURES)), F.lit(0.0))
-    rows = centred.join(spread, "group").withColumn("d2", start).select(*stats.columns, "d2")
+    rows = per_group(centred, spread).withColumn("d2", start).select(*stats.columns, "d2")
     for _ in range(steps):
         near = cut_at(rows, share)
         fitted = settle(estimates(near, F.col("near")))
         rows = distances(stats, fitted)
     scale = rows.groupBy("group").agg(F.greatest(F.exp(F.percentile(on_grid(F.log(F.col("d2") + 1e-6), 64), F.lit(0.5)) / 64) / MEDIAN, F.lit(1.0)).alias("scale"))
-    return rows.join(scale, "group").withColumn("d2", F.col("d2") / F.col("scale")).withColumn("outlier", F.col("d2") > limit).drop("scale")
+    return per_group(rows, scale).withColumn("d2", F.col("d2") / F.col("scale")).withColumn("outlier", F.col("d2") > limit).drop("scale")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT) -> DataFrame:
@@ -150,9 +157,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sizes = passing.groupBy("l", "src").agg(F.count("*").alias("n"))
     pooled = sizes.groupBy("l").agg(F.sum(F.when(F.col("n") < SMALLEST_GROUP, F.col("n")).otherwise(0)).alias("rest"))
     sizes = sizes.join(pooled, "l").select("l", "src", F.when(F.col("n") >= SMALLEST_GROUP, F.concat_ws("\x1f", "l", "src")).when(F.col("rest") >= SMALLEST_GROUP, F.col("l")).otherwise("").alias("group"))
-    vectors = passing.join(sizes, ["l", "src"]).withColumns(dict(zip(FEATURES, features(F.col), strict=True)))
+    salted = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    spread = sizes.withColumn("sizes_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    vectors = passing.withColumn("sizes_salt", salted).join(spread.hint("merge"), ["l", "src", "sizes_salt"]).withColumns(dict(zip(FEATURES, features(F.col), strict=True)))
     columns = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = outliers(settle(vectors.select("group", *columns, *FEATURES)), limit).select(*columns, F.col("d2").alias("outlier_distance"), (~F.col("outlier")).alias("kept"))
+    salt = F.pmod(F.xxhash64("id", *FEATURES), F.lit(SALTS)).cast("int").alias("salt")
+    judged = outliers(settle(vectors.select("group", salt, *columns, *FEATURES)), limit).select(*columns, F.col("d2").alias("outlier_distance"), (~F.col("outlier")).alias("kept"))
     rest = counted.where("base_failed").select(*columns, F.lit(None).cast("double").alias("outlier_distance"), F.lit(False).alias("kept"))
     return judged.unionByName(rest).withColumnRenamed("id", id_col)
 
