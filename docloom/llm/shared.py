@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 #: Characters that the word pattern [^\x20\x09-\x0D]+ leaves out.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys with more than this part of the rows are joined by broadcast: there are fewer of them than this.
+HUBS = 200
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,7 +45,7 @@ def key_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("~"))
 
 
-def numbered(df: DataFrame, key: str, order: list[Column], out: str, rows_per_part: int = 4000, largest: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[Column], out: str, rows_per_part: int = 1000, largest: int | None = None) -> DataFrame:
     """Add out: 0, 1, 2, ... within each value of key, following a hash of the order columns and then those columns.
 
     No key is numbered in a single task: rows are cut by hash into about largest / rows_per_part parts, each part
@@ -80,8 +82,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         last = now
         both = e.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(e.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least.hint("merge"), "x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("v != u").distinct()
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("degree"))
+        # a node with over 1/200 of all edge ends is a hub: there are fewer than 200, and their edges stay where they are
+        hub = F.col("degree") * HUBS > 2 * now[0]
+        hubs, rest = F.broadcast(least.where(hub).select("x", "m")), least.where(~hub).select("x", "m")
+        larger = both.where("y > x")
+        met = larger.join(hubs, "x").unionByName(larger.join(hubs, "x", "left_anti").join(rest.hint("merge"), "x"))
+        large = met.select(F.col("y").alias("v"), F.col("m").alias("u")).where("v != u").distinct()
         smallest = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(smallest.hint("merge"), "v").select(F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("s")).select("s.*").where("v != u").distinct()
         e = settle(small)
