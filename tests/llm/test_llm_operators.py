@@ -174,6 +174,27 @@ def test_models_equal_plain_kneser_ney():
     assert together[0] == pytest.approx(model.cross_entropy(langid.letters("the chat")), rel=1e-4)
 
 
+def test_spark_estimate_equals_the_one_in_memory(spark):
+    texts = [("the cat sat on the mat", "aa"), ("a cat and a hat", "aa"), ("le chat est là", "bb"), ("un chapeau et le chat là", "bb"), ("漢字 漢字か", "cc"), ("", "dd")]
+    counts = langid.gram_counts(spark.createDataFrame(texts, "text string, lang string"), "text", "lang")
+    rows = counts.collect()
+    langs = ["aa", "bb", "cc"]
+    local = langid.kneser_ney(np.array([langs.index(r["lang"]) for r in rows]), np.array([r["gram"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows]), langs)
+    model = langid.estimate(counts)
+    assert model.langs == langs
+    for text in ("the chat", "zz top", "un mat là", "漢字"):
+        assert model.cross_entropy(langid.letters(text)) == pytest.approx(local.cross_entropy(langid.letters(text)), rel=1e-5)
+
+
+def test_a_rare_language_beside_one_of_over_two_million_ngrams(spark):
+    rng = np.random.default_rng(5)
+    big = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 70_000))) for _ in range(31)]
+    rows = [(t, "big") for t in big + big] + [("the cat sat on the mat", "rare")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(8))
+    assert model.langs == ["big", "rare"] and len(model.tables[0].hashes[0]) > 2_000_000
+    assert model.predict(["a cat on a mat", big[0][:500]])[0] == ["rare", "big"]
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     from docloom.llm.langid import op2_language_id
