@@ -2,7 +2,9 @@
 
 Each pass gives a vector a key: the bits of its sides of random hyperplanes, put one after the other.  Sorting by that key
 brings similar vectors close together, and each vector is compared with the next few in the order.  Pairs that reach the
-cosine, computed in doubles, are joined over all passes.
+cosine, computed in doubles, are joined over all passes.  The number of passes follows from the number of vectors and the
+wanted recall of a lone pair at the cosine; then passes with new hyperplanes are added until a round of them joins no
+two components any more.
 
 A bounded window sees only some of the pairs inside a large group, so counts are completed exactly inside each component:
 vectors within half the allowed angle of the component's first vector are all linked with one another, by the triangle
@@ -12,6 +14,8 @@ Equal vectors are one class from the start.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +26,19 @@ from pyspark.sql import functions as F
 from docloom.llm.shared import components, settle
 
 PASSES, WINDOW, BITS, COSINE, BLOCK = 24, 24, 48, 0.9, 1024
+#: A lone pair at the cosine is to be met with this probability by the first passes; PASSES is the least number of them.
+RECALL = 0.999
+
+
+def passes_for(rows: int, window: int = WINDOW, cosine: float = COSINE, recall: float = RECALL) -> int:
+    """Passes that bring a lone pair at the cosine within the window with probability recall.
+
+    A sign bit agrees with probability 1 - angle / pi.  About log2(rows / window) leading bits leave a window of vectors
+    if they are uniform; one bit more allows for places where they are denser.
+    """
+    bits = max(0, math.ceil(math.log2(max(1.0, rows / window)))) + 1
+    met = min(1 - 1e-12, (1 - math.acos(cosine) / math.pi) ** bits)
+    return max(PASSES, math.ceil(math.log(1 - recall) / math.log1p(-met)))
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -43,7 +60,7 @@ def keyed(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
             ids, lists = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 2000):
                 part = lists.slice(at, 2000)
-                for size, rows in by_size(part.to_pylist()):
+                for size, rows in by_size(vectors_of(part)):
                     if size not in planes:
                         planes[size] = np.random.default_rng(seed + size).standard_normal((passes * bits, size))
                     x = unit_rows([v for _, v in rows])
@@ -56,6 +73,11 @@ def keyed(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
     return classes.select("id", "v").mapInArrow(run, "pass int, key long, id long, v array<double>")
 
 
+def vectors_of(lists: pa.ListArray) -> list[np.ndarray]:
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def by_size(vectors: list) -> list[tuple[int, list]]:
     sizes: dict[int, list] = {}
     for k, v in enumerate(vectors):
@@ -119,7 +141,7 @@ def candidate_pairs(classes: DataFrame, passes: int, window: int, bits: int, cos
         kind = pa.list_(pa.float64())
         for batch in batches:
             ids, p = batch.column(2).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(3).to_pylist()
+            x = vectors_of(batch.column(3))
             if not len(ids):
                 continue
             first = 0
@@ -181,19 +203,32 @@ def exact_counts(members: DataFrame, cosine: float, block: int) -> DataFrame:
     return core.unionByName(own).unionByName(crossed).groupBy("id").agg(F.sum("links").alias("n_links"))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, bits: int = BITS, block: int = BLOCK, seed: int = 7) -> DataFrame:
+def joined(classes: DataFrame, passes: int, window: int, bits: int, cosine: float, seed: int) -> DataFrame:
+    """(id, component) of all classes that link with another: passes until a round of new ones joins no two components."""
+    comp, turn = components(candidate_pairs(classes, passes, window, bits, cosine, seed)), 0
+    while True:
+        turn += 1
+        found = candidate_pairs(classes, max(PASSES // 2, passes // 4), window, bits, cosine, seed + turn * 1_000_003)
+        for end in "ab":
+            found = found.join(comp.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")).hint("merge"), end, "left")
+        fresh = settle(found.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct())
+        if fresh.isEmpty():
+            return comp
+        comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(fresh))
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, passes: int | None = None, window: int = WINDOW, bits: int = BITS, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """One row per vector: id, n_links, component_id (the least id reachable), kept (whether that is its own id).
 
     Vectors that are null, all zero, or hold null or non-finite components link with nothing.  Vectors of different
     lengths do not link.  Equal vectors always link.  A null id gets component null and is not kept.  Other columns of the
-    input are neither read nor returned.
+    input are neither read nor returned.  passes: of the first round; without, passes_for() the number of different vectors.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("good", usable(F.col("v")))
     good = rows.where("good").withColumn("h", F.xxhash64("v"))
     classes = settle(good.groupBy("h", "v").agg(F.min("vid").alias("least"), F.count("*").alias("n")).withColumn("id", F.xxhash64("h", "v")))
-    pairs = candidate_pairs(classes, passes, window, bits, cosine, seed)
-    comp = components(pairs)
+    comp = joined(classes, passes or passes_for(classes.count(), window, cosine), window, bits, cosine, seed)
     members = classes.join(comp.hint("merge"), "id").select("component", "id", "n", "v")
     links = exact_counts(members, cosine, block)
     named = classes.select("id", "h", "v", "least", "n").join(comp.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -392,6 +392,23 @@ def test_recall_on_a_hot_group(spark):
     assert {rows[i]["n_links"] for i in range(400)} == {399} and {rows[i]["component_id"] for i in range(400)} == {0}
 
 
+def test_passes_go_on_until_none_joins_components(spark):
+    rng = np.random.default_rng(6)
+    x, noise = rng.normal(size=(150, 32)), rng.normal(size=(150, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    rows = [(i, r.tolist()) for i, r in enumerate(np.vstack([x, y, rng.normal(size=(1500, 32))]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df, passes=2, window=12).collect()}
+    assert sum(got[150 + i]["component_id"] == i for i in range(150)) >= 0.97 * 150
+
+
+def test_passes_grow_with_the_rows():
+    passes = [embed_dedup.passes_for(10**k) for k in range(1, 9)]
+    assert passes[0] == embed_dedup.PASSES and passes == sorted(passes) and passes[-1] > 2 * passes[4]
+
+
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=25))
 @settings(max_examples=50, deadline=None)
 def test_forest_connects_the_same(pairs):
