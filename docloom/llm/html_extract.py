@@ -1,23 +1,26 @@
 """Main text of web pages by deducing each host's template from equivalence classes.
 
-The structural tokens of a page are the paths of its elements.  Over the pages of a host, tokens with the same occurrence
-vector form an equivalence class.  The class that stands once on the pages is the host's skeleton; classes that
-repeat are nested below the skeleton path they stand in.  The slot of the skeleton that carries the content is chosen
-for the host, and what remains there, without the slots that are menus, adverts, forms, comments and so on by
-their element or name, is the page's text.
-
-Spark sums tokens by host before anything is gathered, so the busiest host costs one row a token; templates go back
-to pages by broadcast for the few busiest hosts, and by a shuffle for the others.
+A page is a sequence of tokens: an element is a token by its path, and a block of words between two block elements is one by
+its path and its words.  (Words of a block stand together or not at all, so they share one occurrence vector and one token.)
+Over the different pages of a host, tokens with the same occurrence vector form an equivalence class.  A class is
+valid if it is large enough and stands on nearly all pages, if its tokens come in the same order on each of them, and if it
+lies in one and the same slot of the root class, the class of tokens that stand once on a page.  The valid classes, so nested,
+are the host's template.  Its constant blocks are no text of a page, and its elements tell menus and adverts by their
+links and names.  What remains in the slots of the article, or of the body where there is none, is the page's text.
+
+Spark forms vectors, classes and their validity by sums over pages; a page is parsed once for that.  The busiest hosts meet
+their pages by broadcast, the others by a shuffle.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import zlib
+from collections import Counter
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,164 +28,198 @@ from docloom.llm.shared import settle
 
 #: Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
-BANNED = frozenset("nav header footer aside form script style noscript template textarea title iframe svg math button select menu dialog head object canvas audio video".split())
-#: Names in class, id or role that mark what is no main text; compared with the parts between signs, digits dropped.
-BANNED_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside related recommended share sharing social comment comments commentlist respond reply replies disqus newsletter subscribe signup login search widget pagination pager toolbar skip complementary contentinfo".split())
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br img object canvas audio video math mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot mstyle munder mover munderover semantics annotation".split())
+BANNED = frozenset("nav header footer aside form script style noscript template textarea title iframe svg select menu dialog head".split())
 CONTENT = frozenset("article main".split())
 WHOLE = frozenset("html body article main".split())
-#: What marks an article element as a reader's or an advertiser's.
-READER_NAMES = frozenset("comment comments reply replies respond sponsored ad ads advert promo related teaser".split())
-CLOSED_BY = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
+CLOSED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("html body div article section main aside nav header footer ul ol dl table td th form blockquote".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: Elements that hold others: only these are judged by a part of a name.
+CONTAINERS = frozenset("div section ul ol dl table details fieldset figure center".split())
+#: Names in class, id or role that mark what is no main text, and parts that may stand beside them without changing that.
+BANNED_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside related recommended share sharing social comment comments commentlist respond reply replies disqus newsletter subscribe signup login search widget widgets pagination pager toolbar skip complementary contentinfo".split())
+BESIDE = frozenset("site main page top bottom left right primary secondary global list box slot unit container wrapper wrap block bar area section inner outer links link form button buttons group module panel zone region google text".split())
+#: Names inside an article that mark its own headline.
+HEADS = frozenset("header masthead".split())
+#: What marks an article element as a reader's or an advertiser's.
+READER_NAMES = frozenset("comment comments reply replies respond sponsored ad ads advert promo related teaser".split())
+#: Names of elements that hold the article where no element does so by its kind.
+CONTENT_NAMES = frozenset("article articlebody article-body article-content post-body post-content entry-content main-content story story-body".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+PARTS = re.compile(r"[^a-z]+")
 #: A host with more than this share of the pages counts as busy: so there are fewer than 200 of them.
 BUSY = 1 / 200
+#: A template is deduced from so many different pages of a host at least; a class has so many tokens, and stands on this share of pages.
+LEAST_PAGES, LEAST_TOKENS, SUPPORT = 10, 3, 0.9
+#: Constant blocks may hold at most this share of a host's text; else pages are copies of one another and not of a template.
+CONSTANT = 0.5
+#: An element of the template with three links or more, and this share of its characters in links, is a menu.
+MENU = 0.8
+SIGN = 1 << 63
 
 
 def names_of(attributes: str) -> list[str]:
     return [x.lower() for m in NAMED.finditer(attributes) for x in (m[2] or m[3] or m[4] or "").split()]
 
 
-def banned(tag: str, names: list[str]) -> bool:
-    """Is this element no main text, by its kind or a name?  Names like has-sidebar tell of others; whole-page elements stay."""
-    if tag in WHOLE:
-        return tag == "article" and any(part in READER_NAMES for n in names for part in re.split(r"[^a-z]+", n))
-    own = [n for n in names if not re.match(r"(?:has|have|with|without|no|is|show|hide)-", n)]
-    return tag in BANNED or any(part in BANNED_NAMES for n in own for part in re.split(r"[^a-z]+", n))
+def banned_name(names: list[str], inside: bool, loosely: bool) -> bool:
+    """Does a name say that this is no main text?  Strictly: all of its parts do or are neutral.  Loosely: one part does."""
+    for name in names:
+        if re.match(r"(?:has|have|with|without|no|is|show|hide)-", name):
+            continue
+        parts = [p for p in PARTS.split(name) if p]
+        bad = [p for p in parts if p in BANNED_NAMES and not (inside and p in HEADS)]
+        if bad and (loosely or all(p in BANNED_NAMES or p in BESIDE for p in parts)):
+            return True
+    return False
+
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= SIGN else x
 
-def walk(page: str):
-    """(path, text) of each run of text and (path, None) where a block begins or ends; banned text is left out.
 
-    A path is a tuple of tag.name steps of elements that are no inline ones.  Elements left open are closed by what
-    cannot stand in them.
+class Page:
+    """A parsed page: tokens in order, sums by token, and blocks (token, region, words).
+
+    region is 0 for text that is left out, else 1 plus 2 in an article, 4 in a main element, 8 in an element named as content.
+    template and menus are tokens of the host's template.  Each element and each run of text is looked at once.
     """
-    stack: list[tuple[str, str, bool]] = []  # tag, step, banned
-    at = 0
-    path: tuple[str, ...] = ()
-    bad = False
-
-    def reset():
-        nonlocal path, bad
-        path = tuple(s for _, s, _ in stack if s)
-        bad = any(b for _, _, b in stack)
-
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not bad:
-            yield path, text
-        if not m:
+
+    def __init__(self, page: str, template: frozenset[int] = frozenset(), menus: frozenset[int] = frozenset()):
+        self.sequence: list[int] = []
+        self.sums: dict[int, list[int]] = {}  # token: characters, of these in links, links
+        self.blocks: list[tuple[int, int, str]] = []
+        self.template, self.menus = template, menus
+        # tag, token of the path, region, in a link, and while open: characters, of these in links, links
+        self.stack: list[list] = [["", 0, 1, False, 0, 0, 0]]
+        self.open: Counter[str] = Counter()
+        self.held: list[str] = []
+        self.linked = 0
+        self.read(page)
+
+    def flush(self):
+        if not self.held:
             return
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if any(t == tag for t, _, _ in stack):
-                while stack and stack.pop()[0] != tag:
-                    pass
-                reset()
-            if tag not in INLINE:
-                yield path, None
-            continue
-        shut = CLOSED_BY.get(tag, frozenset()) | (frozenset({"p"}) if tag in CLOSES_P else frozenset())
-        if shut:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
-                    del stack[k:]
-                    reset()
-                    break
-                if stack[k][0] in SCOPES:
-                    break
-        if tag == "br" and not bad:
-            yield path, " "
+        words = " ".join(html.unescape("".join(self.held)).split())
+        self.held = []
+        top = self.stack[-1]
+        if words:
+            token = signed(xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass"), top[1] & (2 * SIGN - 1)))
+            self.sequence.append(token)
+            self.sums.setdefault(token, [0, 0, 0])[0] += len(words) if top[2] else 0
+            self.blocks.append((token, top[2], words))
+            top[4] += len(words)
+            top[5] += min(self.linked, len(words))
+        self.linked = 0
+
+    def pop(self):
+        tag, token, _, _, chars, linked, links = self.stack.pop()
+        self.open[tag] -= 1
+        above = self.stack[-1]
+        above[4] += chars
+        above[5] += linked
+        above[6] += links
         if tag not in INLINE:
-            yield path, None
-        if tag in VOID or m[3].rstrip().endswith("/"):
-            continue
-        if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
-            close = page.find(">", end.start()) if end else -1
-            at = close + 1 if close >= 0 else len(page)
-            continue
-        names = names_of(m[3]) if "=" in m[3] else []
-        step = "" if tag in INLINE else ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names})])
-        stack.append((tag, step, banned(tag, names)))
-        reset()
-
-
-def page_tokens(page: str) -> dict[str, list[int]]:
-    """Structural token (a path) to [times, characters of text in and below it]."""
-    out: dict[str, list[int]] = {}
-    opened: tuple[str, ...] = ()
-    for path, text in walk(page):
-        if text is None:
-            common = 0
-            while common < min(len(opened), len(path)) and opened[common] == path[common]:
-                common += 1
-            opened = path[:common]
-            continue
-        if path != opened:
-            for k in range(1, len(path) + 1):
-                if path[:k] != opened[:k] or k > len(opened):
-                    out.setdefault("/".join(path[:k]), [0, 0])[0] += 1
-            opened = path
-        n = len(text) if text.strip() else 0
-        if n:
-            for k in range(1, len(path) + 1):
-                out.setdefault("/".join(path[:k]), [1, 0])[1] += n
-    return out
-
-
-def deduce(tokens: pd.DataFrame) -> list[str]:
-    """Content paths of one host, best first, from its tokens (token, signature, pages, most, chars, of)."""
-    of = int(tokens["of"].max())
-    classes: dict[tuple, list] = {}
-    for row in tokens.sort_values("token").itertuples():
-        classes.setdefault((row.signature, row.pages), []).append(row)
-    total = max(1, int(tokens["chars"].max()))
-    ranked = []
-    for rows in classes.values():
-        # valid: once on each of its pages, and on a good part of the host's pages; nested classes repeat inside a slot
-        single = all(r.most == 1 for r in rows)
-        for r in rows:
-            last = r.token.rsplit("/", 1)[-1].split(".")[0]
-            semantic = last in CONTENT or re.search(r"(^|[./_-])(articlebody|article|post-body|entry-content|post-content|main-content|story)($|[._-])", r.token.rsplit("/", 1)[-1]) is not None
-            if semantic and (single or last in CONTENT):
-                ranked.append((0, -r.pages, r.token.count("/") if last == "article" else r.token.count("/") + 1, r.token))
-            elif single and r.pages >= 0.5 * of and r.chars >= 0.7 * total:
-                ranked.append((1, -r.token.count("/"), 0, r.token))
-    return [t for *_, t in sorted(ranked)[:8]]
-
-
-def blocks_of(page: str, paths: list[str]) -> list[str]:
-    """Blocks of text in the first of the content paths that the page has; else in an article, a main, or the body."""
-    runs: list[tuple[str, str | None]] = [("/".join(p) + "/", t) for p, t in walk(page)]
-    with_text = {p for p, t in runs if t and t.strip()}
-    root = next((r for r in (f"{p}/" for p in paths) if any(p.startswith(r) for p in with_text)), None)
-    if root is None:
-        for kind in ("article", "main", "body", ""):
-            inside = re.compile(rf"^(?:.*?/)?{kind}(?:\.[^/]*)?/" if kind else "")
-            if hit := next((m for p in sorted(with_text) if (m := inside.match(p))), None):
-                root = hit[0]
+            own = self.sums.setdefault(token, [0, 0, 0])
+            own[0] += chars
+            own[1] += linked
+            own[2] += links
+
+    def push(self, tag: str, names: list[str]):
+        _, path, region, link, *_ = self.stack[-1]
+        if tag in INLINE:
+            self.open[tag] += 1
+            self.stack.append([tag, path, region, link or tag == "a", 0, 0, int(tag == "a")])
+            return
+        step = ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names})])
+        token = signed(xxhash.xxh64_intdigest(step, path & (2 * SIGN - 1)))
+        self.sequence.append(token)
+        if region:
+            inside = bool(region & 14)
+            if tag in WHOLE:
+                bad = tag == "article" and any(p in READER_NAMES for n in names for p in PARTS.split(n))
+            else:
+                kind = tag in BANNED and not (inside and tag == "header")
+                bad = kind or banned_name(names, inside, tag in CONTAINERS and token in self.template) or (token in self.menus and not inside)
+            if bad:
+                region = 0
+            elif tag == "article":
+                region |= 2
+            elif tag == "main" or "main" in names:
+                region |= 4
+            elif any(n in CONTENT_NAMES for n in names):
+                region |= 8
+        self.open[tag] += 1
+        self.stack.append([tag, token, region, link, 0, 0, 0])
+
+    def read(self, page: str):
+        at, stack = 0, self.stack
+        while at < len(page):
+            m = TOKEN.search(page, at)
+            text = page[at : m.start() if m else len(page)]
+            if text:
+                self.held.append(text)
+                if stack[-1][3]:
+                    self.linked += len(text)
+            if not m:
+                break
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag:
+                continue
+            if m[1]:
+                if tag not in INLINE:
+                    self.flush()
+                if self.open[tag] > 0:
+                    if tag in INLINE:  # an inline element that stands outside the innermost block stays open
+                        k = len(stack) - 1
+                        while stack[k][0] != tag and stack[k][0] in INLINE:
+                            k -= 1
+                        if stack[k][0] != tag:
+                            continue
+                    while stack[-1][0] != tag:
+                        self.pop()
+                    self.pop()
+                continue
+            shut = CLOSED_BY.get(tag, ()) + (("p",) if tag in CLOSES_P else ())
+            if tag not in INLINE:
+                self.flush()
+            if any(self.open[t] > 0 for t in shut):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in shut:
+                        while len(stack) > k:
+                            self.pop()
+                        break
+                    if stack[k][0] in SCOPES:
+                        break
+            if tag == "br":
+                self.held.append(" ")
+            if tag in VOID or m[3].rstrip().endswith("/"):
+                continue
+            if tag in RAW:
+                end = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
+                close = page.find(">", end.start()) if end else -1
+                at = close + 1 if close >= 0 else len(page)
+                continue
+            self.push(tag, names_of(m[3]) if "=" in m[3] else [])
+        self.flush()
+        while len(stack) > 1:
+            self.pop()
+
+    def text(self, constant: frozenset[int] = frozenset()) -> list[str]:
+        """Blocks of text: those of articles, else of a main element, else of elements named as content, else all."""
+        kept = [(region, words) for token, region, words in self.blocks if region]
+        total = sum(len(w) for _, w in kept)
+        for bit, least in ((2, 0), (4, 0), (8, total / 2)):
+            if any(r & bit for r, _ in kept) and sum(len(w) for r, w in kept if r & bit) >= least:
                 break
-    if root is None:
-        return []
-    out, held = [], []
-    for path, text in [*runs, ("", None)]:
-        if text is not None and path.startswith(root):
-            held.append(text)
-        elif text is None and held:
-            if block := " ".join(html.unescape("".join(held)).split()):
-                out.append(block)
-            held = []
-    return out
+        else:
+            bit = 1
+        return [words for token, region, words in self.blocks if region & bit and token not in constant]
 
 
 def hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -190,51 +227,111 @@ def hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
 
-def templates(rows: DataFrame) -> DataFrame:
-    """(host, paths, pages): content paths of each host, best first, and how many pages it has."""
+def parsed(rows: DataFrame) -> DataFrame:
+    """(host, key, chars, sequence, tokens, sums): the tokens of each page, key being a hash of the page."""
 
     def run(batches):
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            found = [Page(p) for p in batch.column(2).to_pylist()]
+            chars = [sum(len(w) for _, region, w in p.blocks if region) for p in found]
+            sequence = pa.array([p.sequence for p in found], pa.list_(pa.int64()))
+            tokens = pa.array([list(p.sums) for p in found], pa.list_(pa.int64()))
+            sums = [pa.array([[s[k] for s in p.sums.values()] for p in found], pa.list_(pa.int64())) for k in range(3)]
+            times = pa.array([[n[t] for t in p.sums] for p in found for n in [Counter(p.sequence)]], pa.list_(pa.int64()))
+            block = pa.array([[t in words for t in p.sums] for p in found for words in [{b[0] for b in p.blocks}]], pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chars, pa.int64()), sequence, tokens, *sums, times, block], ["host", "key", "chars", "sequence", "token", "size", "linked", "links", "times", "block"])
+
+    schema = "host string, key long, chars long, sequence array<long>, token array<long>, size array<long>, linked array<long>, links array<long>, times array<long>, block array<boolean>"
+    return rows.select("host", F.xxhash64("html").alias("key"), "html").mapInArrow(run, schema)
+
+
+def with_host(rows: DataFrame, table: DataFrame, busy: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with what table has of their host: busy hosts by broadcast, which are fewer than 200, the others by a shuffle."""
+    names = F.broadcast(busy.select("host"))
+    few, rest = F.broadcast(table.join(names, "host", "left_semi")), table.join(names, "host", "left_anti")
+    hot = rows.join(names, "host", "left_semi").join(few, "host", how)
+    return hot.unionByName(rows.join(names, "host", "left_anti").join(rest.hint("merge"), "host", how))
+
+
+def templates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((host, template, constant, menus) of hosts that have a template, busy hosts); tokens as arrays of longs."""
+    pages = settle(parsed(rows).where(F.col("host").isNotNull()).dropDuplicates(["host", "key"]))
+    sizes = settle(pages.groupBy("host").agg(F.count("*").alias("of"), F.sum("chars").alias("all_chars")))
+    total = sizes.agg(F.sum("of")).first()[0] or 1
+    busy = sizes.where(F.col("of") > BUSY * total)
+    sizes = sizes.where(F.col("of") >= LEAST_PAGES)
+    each = pages.select("host", "key", F.explode(F.arrays_zip("token", "size", "linked", "links", "times", "block")).alias("t")).select("host", "key", "t.*")
+    # the exclusive or of page and times stands for the occurrence vector
+    vectors = each.groupBy("host", "token").agg(
+        F.bit_xor(F.xxhash64("key", "times")).alias("vector"), F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.sum("links").alias("links"), F.max("block").alias("block")
+    )
+    vectors = with_host(vectors.where(F.col("pages") >= LEAST_PAGES * SUPPORT), sizes, busy).where(F.col("pages") >= SUPPORT * F.col("of"))
+    # what is left of a host has at most 1 / SUPPORT times as many tokens as a page
+    menu = ~F.col("block") & (F.col("links") >= 3 * F.col("times")) & (F.col("linked") >= MENU * F.col("size"))
+    classes = vectors.groupBy("host", "vector").agg(F.count("*").alias("n"), F.max(F.col("times") == F.col("pages")).alias("once"), F.max("of").alias("of"), F.max("all_chars").alias("all_chars"), F.collect_list(F.struct("token", "block", "size", menu.alias("menu"))).alias("members"))
+    classes = settle(classes.where(F.col("n") >= LEAST_TOKENS))
+    by_host = classes.groupBy("host").agg(F.collect_list(F.struct("vector", "n", "once", F.col("members.token").alias("tokens"))).alias("classes"))
+
+    def check(batches):
+        names = ["host", "vector", "order", "slot"]
         for batch in batches:
-            found = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = zlib.crc32(page.encode("utf-8", "surrogatepass")) | 1
-                for token, (times, chars) in page_tokens(page).items():
-                    found.append((host, token, key * times, times, chars))
-                found.append((host, "", 0, 0, 0))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "token", "part", "times", "chars"])
-
-    tokens = rows.select("host", "html").mapInArrow(run, "host string, token string, part long, times long, chars long")
-    # the sum of page key times occurrences stands for the occurrence vector
-    summed = tokens.groupBy("host", "token").agg(F.sum(F.col("part").cast("decimal(38,0)")).cast("string").alias("signature"), F.count("*").alias("pages"), F.max("times").alias("most"), F.sum("chars").alias("chars"))
-    sizes = summed.where("token = ''").select("host", F.col("pages").alias("of"))
-    # a token on a twentieth of the pages at least: so a host has at most twenty times as many as a page
-    kept = summed.where("token != ''").join(sizes, "host").where("pages * 20 >= of")
-
-    def of_host(key: tuple, tokens: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "paths": [deduce(tokens)], "pages": [int(tokens["of"].max())]})
-
-    return kept.groupBy("host").applyInPandas(of_host, "host string, paths array<string>, pages long")
+            out: dict[tuple, int] = {}
+            for host, sequence, classes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                s = np.array(sequence, np.int64)
+                roots = [c for c in classes if c["once"]]
+                root = max(roots, key=lambda c: (c["n"], c["vector"]))["tokens"] if roots else []
+                marks = np.flatnonzero(np.isin(s, root))
+                for c in classes:
+                    at = np.flatnonzero(np.isin(s, c["tokens"]))
+                    if not len(at):
+                        continue
+                    k, sub = c["n"], s[at]
+                    ordered = len(sub) % k == 0 and (sub.reshape(-1, k) == sub[:k]).all()
+                    slots = np.searchsorted(marks, at)
+                    nested = c["once"] or slots[0] == slots[-1]
+                    order = signed(xxhash.xxh64_intdigest(sub[:k].tobytes())) if ordered else 0
+                    key = (host, c["vector"], order, -1 if c["once"] else int(slots[0]) if nested else -2)
+                    out[key] = out.get(key, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32()))], names)
+
+    met = with_host(pages.select("host", "sequence"), by_host, busy).select("host", "sequence", "classes")
+    seen = met.mapInArrow(check, "host string, vector long, order long, slot int")
+    valid = seen.groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b"), F.min("slot").alias("c"), F.max("slot").alias("d")).where("a = b and a <> 0 and c = d and c > -2").select("host", "vector")
+    good = classes.join(valid.hint("merge"), ["host", "vector"])
+    flat = good.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("m"), F.max("of").alias("of"), F.max("all_chars").alias("all_chars"))
+    blocks = F.filter("m", lambda x: x["block"])
+    share = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    found = flat.select("host", F.col("m.token").alias("template"), F.when(share <= CONSTANT * F.col("all_chars"), blocks["token"]).otherwise(F.array().cast("array<long>")).alias("constant"), F.filter("m", lambda x: x["menu"])["token"].alias("menus"))
+    return settle(found), busy
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (blocks joined by an empty line), n_chars (code points).
 
-    Null, empty and textless pages give the empty text.  Pages without a host share one template.  Repeated rows stay.
+    Null, empty and textless pages give the empty text.  Pages without a host share one template.  Copies of a page count
+    once for its template, and each has its row.  Hosts with fewer than LEAST_PAGES different pages have no template:
+    there, kinds and names of elements decide alone.  Very long and deeply nested pages cost time and memory in proportion
+    to their length.  Extra columns are neither read nor returned.
     """
     rows = hosted(pages, id_col, url_col, html_col)
-    found = settle(templates(rows))
-    total = found.agg(F.sum("pages")).first()[0] or 1
-    busy = F.broadcast(found.where(F.col("pages") > BUSY * total).select("host", "paths"))
-    quiet = found.where(F.col("pages") <= BUSY * total).select("host", "paths")
-    columns = ["id", "url", "html", "paths"]
-    joined = rows.join(busy, "host").select(*columns).unionByName(rows.join(busy, "host", "left_anti").join(quiet.hint("merge"), "host", "left").select(*columns))
+    found, busy = templates(rows)
+    columns = ["id", "url", "html", "template", "constant", "menus"]
+    joined = with_host(rows, found, busy, "left").select(*columns)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = ["\n\n".join(blocks_of(page, paths or [])) for page, paths in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
+        held: dict[tuple, frozenset] = {}
+
+        def as_set(tokens):
+            key = tuple(tokens or ())
+            if key not in held:
+                if len(held) > 600:
+                    held.clear()
+                held[key] = frozenset(key)
+            return held[key]
+
+        for part in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            texts = ["\n\n".join(Page(page, as_set(t), as_set(m)).text(as_set(c))) for page, t, c, m in zip(*(part.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     kinds = f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` {pages.schema[url_col].dataType.simpleString()}"
     return joined.mapInArrow(run, f"{kinds}, text string, n_chars long")

@@ -605,11 +605,55 @@ def test_articles(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def extracted(spark, pages, host="h"):
+    rows = [(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)]
+    return [r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
 def test_content_without_an_article_element(spark):
-    page = '<html><body><div class="top">Menu {h}</div><div id="wrap"><div class="post"><p>{a}</p><p>{b}</p></div></div></body></html>'
-    rows = [(i, f"http://h/{i}", page.format(h="x", a="long text " * 30 + str(i), b="more words " * 20)) for i in range(20)]
-    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert all(r["text"].startswith("long text") and r["text"].endswith("more words") and "Menu" not in r["text"] for r in got)
+    """A menu in plain divs and a constant paragraph are known by the template alone: without one they stay."""
+    page = '<html><body><div class="top">Menu x</div><div class="go"><a>Home</a> <a>News {a}</a> <a>All</a></div><div id="wrap"><h2>Title {a}</h2><div class="post"><p>{a} {b}</p><p>Follow us every day</p><p>{b} {a}</p></div></div></body></html>'
+    pages = [page.format(a=f"n{i}", b="more words " * 20) for i in range(20)]
+    for i, text in enumerate(extracted(spark, pages)):
+        words = ("more words " * 20).strip()
+        assert text == f"Title n{i}\n\nn{i} {words}\n\n{words} n{i}"
+    assert all("Menu x" in t and "Follow us" in t and "Home" in t for t in extracted(spark, pages[:5]))
+    assert "Follow us" in "\n\n".join(html_extract.Page(pages[0]).text())
+
+
+def test_template_by_brute_force(spark):
+    """The valid classes of a host are those that a plain comparison of all its pages finds."""
+    page = "<html><body><ul>{li}</ul><h4>Latest</h4><div><b>By</b></div><div class='x'>{x}</div>{y}</body></html>"
+    pages = [page.format(li="<li>a</li>" * (i % 3 + 1), x=f"text {i} " * 9, y="<p>now and then</p>" * (i % 2)) for i in range(12)]
+    rows = spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    found, _ = html_extract.templates(html_extract.hosted(rows, "page_id", "url", "html"))
+    read = [html_extract.Page(p) for p in pages]
+    vectors = defaultdict(list)
+    for t in {t for p in read for t in p.sums}:
+        vectors[tuple(p.sequence.count(t) for p in read)].append(t)
+    wanted = set()
+    for vector, tokens in vectors.items():
+        orders = {tuple(t for t in p.sequence if t in tokens)[: len(tokens)] for p in read}
+        if sum(map(bool, vector)) >= 0.9 * len(pages) and len(tokens) >= 3 and len(orders) == 1:
+            wanted |= set(tokens)
+    (row,) = found.collect()
+    assert set(row["template"]) == wanted and len(wanted) == 8
+    assert set(row["constant"]) == {t for t, _, w in read[0].blocks if w in ("Latest", "By")}
+
+
+def test_copies_are_no_template(spark):
+    """Pages that are near copies of one another keep their text."""
+    page = "<html><body><article><h1>Same</h1><p>{w}</p><p>only {i}</p></article></body></html>"
+    pages = [page.format(i=i, w="the same words again " * 10) for i in range(12)]
+    assert all(t.startswith("Same\n\nthe same words") for t in extracted(spark, pages + pages[:1] * 20))
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 4000 + "x" + "</div>" * 4000
+    long = "<article>" + "".join(f"<p>{k}</p>" for k in range(20_000)) + "</article>"
+    got = extracted(spark, [deep, long, "<p>" * 5000 + "y"])
+    assert got[0] == "x" and got[1] == "\n\n".join(map(str, range(20_000))) and got[2] == "y"
+    assert len(html_extract.Page(deep).sequence) == 4001
 
 
 @pytest.mark.parametrize(
@@ -622,10 +666,15 @@ def test_content_without_an_article_element(spark):
         ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one\n\ntwo\n\nx\n\ny"),
         ("<nav>menu</nav><p>x", "x"),
         ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+        ("<article><header><h1>Title</h1></header><p class='ad-hoc'>An ad hoc rule</p><p>x <math><mi>y</mi></math> z</p><p id='search-tree'>Search trees</p></article>", "Title\n\nAn ad hoc rule\n\nx y z\n\nSearch trees"),
+        ("<article><p>a <object>o</object> <canvas>c</canvas></p><button>b</button></article>", "a o c\n\nb"),
+        ("<header>Site</header><div class='story-date'>May</div><div class='story-text'><p>long enough</p></div>", "May\n\nlong enough"),
+        ("<div class='site-header'>h</div><div class='ad-slot'>a</div><div class='article-body'><p>text of some length</p></div>", "text of some length"),
+        ("<article><p>one</p></article><div class='sidebar-box'>s</div><article><p>two</p></article>", "one\n\ntwo"),
     ],
 )
 def test_blocks(body, text):
-    assert "\n\n".join(html_extract.blocks_of(f"<html><body>{body}</body></html>", [])) == text
+    assert "\n\n".join(html_extract.Page(f"<html><body>{body}</body></html>").text()) == text
 
 
 def test_pages_of_the_tables(spark, sf):
