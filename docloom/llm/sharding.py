@@ -1,9 +1,9 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
 The unit is the group: all documents with equal text go to one shard.  Small groups are first gathered by hash into a
-fixed number of lots; a group whose share of any measure is larger than a lot's is placed by itself, and one larger than
-a quarter of a shard is cut into pieces by document id.  So what is placed one after the other is bounded by a parameter and
-not by the data: lots, and at most three times as many single groups.  Each item, largest first, goes to the shard
+fixed number of lots; a group whose share of any measure is larger than a lot's is placed by itself.  Only a group with more
+bytes than a whole shard is cut, by document id, into as few pieces as fit.  So what is placed one after the other is bounded
+by a parameter and not by the data: lots, and at most three times as many single groups.  Each item, largest first, goes to the shard
 where the dot product of its vector with the residual capacity is highest among those it fits.
 """
 
@@ -48,18 +48,18 @@ def shard(docs: DataFrame, shards: int = 16, lots: int = LOTS, id_col: str = "do
     """One row per document: id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in its shard), grown_shard (null).
 
     size is the text's UTF-8 bytes plus 1; a null text counts as empty.  Equal texts share a shard unless their group
-    exceeds a quarter of a shard's fair share, when it is cut by id into pieces of that size.  Repeated rows keep a slot each.
-    An empty table gives an empty result.
+    has more bytes than a shard's fair share, when it is cut by id into as few pieces as fit; rows of one id stay together.
+    Repeated rows keep a slot each.  Very long texts are one row like any other.  Other columns are neither read nor
+    returned.  An empty table gives an empty result.
     """
     rows = settle(measured(docs, id_col, text_col))
     groups = rows.groupBy("text_hash").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
     total = groups.agg(F.sum("b"), F.sum("t"), F.sum("n")).first()
     total = [max(1, x or 0) for x in total]
     share = F.greatest(*(F.col(c) / F.lit(float(x)) for c, x in zip("btn", total, strict=True)))
-    large = {r[0]: r[1] for r in groups.where(share > 1.0 / lots).select("text_hash", share).collect()}  # at most 3 * lots groups
-    pieces = {h: max(1, -(-int(s * shards * 4 * 1000) // 1000)) for h, s in large.items()}
+    large = groups.where(share > 1.0 / lots).select("text_hash", "b").collect()  # at most 3 * lots groups
     spark: SparkSession = docs.sparkSession
-    table = spark.createDataFrame([(h, n) for h, n in pieces.items()], "text_hash long, pieces int")
+    table = spark.createDataFrame([(h, -(-b * shards // total[0])) for h, b in large], "text_hash long, pieces int")
     lot = F.pmod(F.xxhash64(F.col("text_hash"), F.lit(7)), F.lit(lots))
     keyed = rows.join(F.broadcast(table), "text_hash", "left").withColumn(
         "item", F.when(F.col("pieces").isNull(), F.format_string("lot %d", lot)).otherwise(F.format_string("group %d.%d", "text_hash", F.pmod(F.xxhash64("id", F.lit(11)), F.greatest(F.col("pieces"), F.lit(1)))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,14 +23,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that no later job repeats its work.
 
-    The folder is the session's; a temporary one is set only where a session has none (local tests).
+    The folder is the session's: spark.checkpoint.dir, which all executors must see.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-docloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir if that was not done yet.
+
+    A session without one gets a temporary folder if it is local, that is all in one process; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-docloom-"))
+    return sc.getCheckpointDir()
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 3; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3).cast("int")
@@ -48,13 +61,14 @@ def key_of(column: Column) -> Column:
 def numbered(df: DataFrame, key: str, order: list[Column], out: str, rows_per_part: int = 1000, largest: int | None = None) -> DataFrame:
     """Add out: 0, 1, 2, ... within each value of key, following a hash of the order columns and then those columns.
 
-    No key is numbered in a single task: rows are cut by hash into about largest / rows_per_part parts, each part
-    is numbered by itself and then moved by the size of the parts before it.  df is read twice; settle it first
+    No key is numbered in a single task: rows are cut by hash into parts of about rows_per_part rows, or the square root of
+    largest if that is more, so that neither a part nor the list of a key's parts is long.  Each part is numbered by itself
+    and then moved by the size of the parts before it.  df is read twice; settle it first
     if it is costly.  key must not be null.
     """
     if largest is None:
         largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    parts = max(1, -(-largest // rows_per_part))
+    parts = max(1, -(-largest // max(rows_per_part, math.isqrt(largest))))
     cut = df.withColumn("__h", F.xxhash64(*order)).withColumn("__part", F.pmod("__h", F.lit(parts)))
     before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy(key, "__part").agg(F.count("*").alias("__n")).select(key, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -8,6 +8,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -76,32 +77,70 @@ def test_numbers_have_no_gap(spark):
 # --- 1
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 1, "c": 1}, {"a": 0.61, "b": 0.37, "c": 0.02}])
-def test_schedule_stays_within_one_block(weights):
-    parts = mixing.shares(weights, 100)
-    order = mixing.one_period(parts)
-    assert sum(parts.values()) == 100 and Counter(order) == parts
-    for slot in range(1, 101):
-        for s, p in parts.items():
-            assert abs(order[:slot].count(s) - slot * p / 100) < 1
-
-
-def test_plan_places_every_block_once_and_keeps_weights():
-    blocks, weights = {"a": 503, "b": 70, "c": 0, "d": 211}, {"a": 3.0, "b": 1.0, "c": 1.0, "d": 2.0}
-    slots = {}
-    for source, first, last, each, k, slot, size in mixing.plan(blocks, weights, 50):
-        for j, block in enumerate(range(first + k, last + 1, each)):
-            assert (source, block) not in slots
-            slots[source, block] = slot + j * size
-    assert sorted(slots) == sorted((s, b) for s, n in blocks.items() for b in range(n))
-    assert sorted(slots.values()) == list(range(sum(blocks.values())))
-    parts = mixing.shares({s: w for s, w in weights.items() if blocks[s]}, 50)
-    done = Counter()
-    for t, (source, _) in enumerate(sorted(slots, key=slots.get), 1):
-        done[source] += 1
-        if any(done[s] == blocks[s] for s in parts):
-            break  # from here on a source is missing
-        assert all(abs(done[s] - t * p / 50) < 1 for s, p in parts.items())
+def share_of(weights):
+    return {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+
+
+@pytest.mark.parametrize(
+    ("weights", "blocks"),
+    [
+        ({"a": 2.0, "b": 1.0}, {"a": 700_000, "b": 350_000}),
+        ({f"s{i}": float(n) ** 0.7 for i, n in enumerate([300_000, 1, 17, 80_000, 2_500, 40_000])}, {f"s{i}": n for i, n in enumerate([300_000, 1, 17, 80_000, 2_500, 40_000])}),
+        ({"a": 0.61, "b": 0.37, "c": 0.0001}, {"a": 61_000, "b": 37_000, "c": 10}),
+        ({f"s{i}": 1.0 + i for i in range(40)}, dict.fromkeys((f"s{i}" for i in range(40)), 500)),
+    ],
+)
+def test_schedule_stays_within_one_block_of_the_given_weights(weights, blocks):
+    """Every slot is used once, and until a source ends none is a block off its exact share, after any slot."""
+    slots = mixing.plan(blocks, {s: Fraction(w) for s, w in weights.items()})
+    assert {s: len(x) for s, x in slots.items()} == blocks
+    assert np.array_equal(np.sort(np.concatenate([*slots.values()])), np.arange(sum(blocks.values())))
+    end = min(x[-1] for x in slots.values())
+    for s, part in share_of(weights).items():
+        own = np.array(slots[s])
+        k = np.arange(len(own))[own <= end]
+        # just before and just after each of its blocks a source is at its furthest from its share
+        for slot, i in zip(own[: len(k)][:: max(1, len(k) // 5000)].tolist(), k[:: max(1, len(k) // 5000)].tolist(), strict=True):
+            assert -1 < i - part * slot < 1 and -1 < i + 1 - part * (slot + 1) < 1
+        assert (np.abs(k + 1 - float(part) * (own[: len(k)] + 1)) < 1 + 1e-6).all() and (np.abs(k - float(part) * own[: len(k)]) < 1 + 1e-6).all()
+
+
+def test_plan_matches_a_plain_schedule():
+    """Block by block from the definition, phases included; weight zero comes last."""
+    blocks, weights = {"a": 53, "b": 7, "c": 0, "d": 21, "e": 3}, {"a": 3.0, "b": 1.0, "c": 1.0, "d": 2.0, "e": 0.0}
+    left, at, wanted = {s: n for s, n in blocks.items() if n}, 0, {s: [] for s in blocks}
+    while left:
+        now = share_of({s: weights[s] for s in left if weights[s]} or dict.fromkeys(left, 1.0))
+        done, slot, ended = Counter(), 0, False
+        while not ended:
+            ready = [(math.ceil((done[s] + 1) / w), s) for s, w in now.items() if math.floor(done[s] / w) <= slot]
+            s = min(ready)[1]
+            wanted[s].append(at + slot)
+            done[s], slot = done[s] + 1, slot + 1
+            ended = done[s] == left[s]
+        at += slot
+        left = {s: n - done[s] for s, n in left.items() if n > done[s]}
+    assert mixing.plan(blocks, {s: Fraction(w) for s, w in weights.items()}) == wanted
+    assert wanted["e"] == [81, 82, 83]
+
+
+def test_weights(spark):
+    rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)] + [(30, None)], "doc_id long, source string")
+    for weights in ({}, {"a": 0.0}, {"a": 0.0, "b": 0.0, "c": 0.0, None: 0.0}, {"a": 1e-9, "b": 5}, None):
+        got = mixing.mix(rows, weights, block_rows=2)
+        assert got.columns == ["doc_id", "source", "block", "slot", "position"]
+        assert sorted(r["position"] for r in got.collect()) == list(range(31))
+    last = mixing.mix(rows, {"a": 0.0}, block_rows=1).orderBy("position").collect()
+    assert {r["source"] for r in last[-10:]} == {"a"}
+    with pytest.raises(ValueError):
+        mixing.mix(rows, {"a": -1.0})
+
+
+def test_many_sources_and_many_blocks(spark):
+    rows = spark.createDataFrame([(i, f"s{i % 50 if i % 2 else 0}") for i in range(1000)], "doc_id long, source string")
+    for got in (mixing.mix(rows, most_sources=5).collect(), mixing.mix(rows, {"s1": 3.0}, most_sources=5).collect(), mixing.mix(rows, block_rows=1, most_blocks=64).collect()):
+        assert sorted(r["position"] for r in got) == list(range(1000))
+    assert max(r["slot"] for r in got) < 64 + 26
 
 
 def test_mix_keeps_all_rows(spark, odd, nothing):
@@ -117,13 +156,13 @@ def test_mix_of_documents_follows_weights(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").drop("position")
     weights = {f"src{i}": 1.0 + (i == 0) * 4 for i in range(20)}
     rows = sorted(mixing.mix(docs, weights, block_rows=1).collect(), key=lambda r: r["position"])
-    parts = mixing.shares({"=" + s: w for s, w in weights.items()}, mixing.PERIOD)
     left, done = Counter(r["source"] for r in rows), Counter()
+    share = share_of({s: weights[s] for s in left})
     for t, r in enumerate(rows, 1):
         done[r["source"]] += 1
+        assert all(abs(done[s] - t * share[s]) < 1 for s in left)
         if done[r["source"]] == left[r["source"]]:
             break
-        assert all(abs(done[s] - t * parts["=" + s] / mixing.PERIOD) < 1 for s in left)
 
 
 # --- 2
@@ -458,10 +497,40 @@ def test_packing_balances_all_measures():
 
 def test_a_hot_text_is_cut(spark):
     docs = spark.createDataFrame([(i, "same text" if i % 3 else f"t{i}" * 4) for i in range(3000)], "doc_id long, text string")
-    load = Counter()
+    load, homes = Counter(), set()
     for r in sharding.shard(docs).collect():
         load[r["shard"]] += r["size"]
-    assert max(load.values()) < 1.3 * sum(load.values()) / 16
+        homes |= {r["shard"]} if r["size"] == 10 else set()
+    assert max(load.values()) < 1.3 * sum(load.values()) / 16 and len(homes) == 9  # 8.3 shards of bytes
+
+
+def test_a_text_that_fits_a_shard_stays_whole(spark):
+    """70 equal rows with a fifth of all words, but a third of a shard of bytes."""
+    docs = spark.createDataFrame([(i, "a " * 90 if i < 70 else f"{i}x" * 60) for i in range(3070)], "doc_id long, text string")
+    assert len({r["shard"] for r in sharding.shard(docs).collect() if r["doc_id"] < 70}) == 1
+
+
+def test_placing_against_a_plain_version(spark):
+    """Every text is an item here; each goes where the dot product with what is left is highest among the shards it fits."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join("w" * int(n) for n in rng.integers(1, 9, int(k))) for k in rng.integers(1, 200, 150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:60]])], "doc_id long, text string")
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, 5, lots=10**9).collect()}
+    groups = Counter([*texts, *texts[:60]])
+    tie = {r["text"]: f"group {r['h']}.0" for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    size = {t: np.array([n * (len(t.encode()) + 1), n * len(t.split()), n], float) for t, n in groups.items()}
+    total = sum(size.values())
+    room = np.full((5, 3), 1 / 5)
+    load = np.zeros((5, 3))
+    for t in sorted(size, key=lambda t: (-(size[t] / total).max(), tie[t])):
+        v = size[t] / total
+        fits = [s for s in range(5) if (room[s] >= v - 1e-12).all()]
+        at = got[texts.index(t)]
+        best = max(room[s] @ v for s in fits) if fits else None
+        assert at in fits and room[at] @ v > best - 1e-9 if fits else room[at][0] > room[:, 0].max() - 1e-9
+        room[at] -= v
+        load[at] += v
+    assert load.max() < 0.23
 
 
 # --- 7
