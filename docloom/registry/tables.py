@@ -14,9 +14,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
+    """A new folder that all executors see: in spark.checkpoint.dir, or a temporary one if the session is local."""
     sc = spark.sparkContext
-    return f"{sc.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-docloom-')}/{uuid.uuid4().hex}"
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='spark-docloom-')}/{uuid.uuid4().hex}"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
