@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import components, settle
+from docloom.llm.shared import HUBS, by_key, components, settle
 
 PASSES, WINDOW, BITS, COSINE, BLOCK = 24, 24, 48, 0.9, 1024
 #: A lone pair at the cosine is to be met with this probability by the first passes; PASSES is the least number of them.
@@ -42,7 +42,7 @@ def passes_for(rows: int, window: int = WINDOW, cosine: float = COSINE, recall:
 
 
 def unit_rows(vectors) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    x = vectors.astype(np.float64) if isinstance(vectors, np.ndarray) and vectors.ndim == 2 else np.stack([np.asarray(v, np.float64) for v in vectors])
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -60,35 +60,48 @@ def keyed(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
             ids, lists = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 2000):
                 part = lists.slice(at, 2000)
-                for size, rows in by_size(vectors_of(part)):
+                for size, rows, x in by_size(vectors_of(part)):
                     if size not in planes:
                         planes[size] = np.random.default_rng(seed + size).standard_normal((passes * bits, size))
-                    x = unit_rows([v for _, v in rows])
-                    sides = (x @ planes[size].T > 0).reshape(len(rows), passes, bits)
-                    key = sides @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-                    index = pa.array([at + k for k, _ in rows])
+                    sides = np.packbits((unit_rows(x) @ planes[size].T > 0).reshape(len(rows), passes, bits), axis=2)
+                    key = sum(sides[:, :, k].astype(np.int64) << (8 * (sides.shape[2] - 1 - k)) for k in range(sides.shape[2]))
+                    index = pa.array(at + rows)
                     for p in range(passes):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), p, np.int32)), pa.array(key[:, p]), ids.take(index), lists.take(index)], ["pass", "key", "id", "v"])
 
-    return classes.select("id", "v").mapInArrow(run, "pass int, key long, id long, v array<double>")
+    return classes.select("id", "v").mapInArrow(run, f"pass int, key long, id long, v {classes.schema['v'].dataType.simpleString()}")
 
 
-def vectors_of(lists: pa.ListArray) -> list[np.ndarray]:
+def vectors_of(lists: pa.ListArray):
+    """Vectors as the rows of a matrix if they are of one length, else as a list."""
     values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    sizes = np.diff(ends)
+    if len(sizes) and (sizes == sizes[0]).all():
+        return values.reshape(len(sizes), sizes[0])
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def by_size(vectors: list) -> list[tuple[int, list]]:
+def put_after(held, x):
+    """The vectors held and then those of x."""
+    if isinstance(held, np.ndarray) and isinstance(x, np.ndarray) and held.shape[1] == x.shape[1]:
+        return np.concatenate([held, x])
+    return [*held, *x]
+
+
+def by_size(vectors) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, vectors) of the vectors of each length."""
+    if isinstance(vectors, np.ndarray):
+        return [(vectors.shape[1], np.arange(len(vectors)), vectors)]
     sizes: dict[int, list] = {}
     for k, v in enumerate(vectors):
-        sizes.setdefault(len(v), []).append((k, v))
-    return list(sizes.items())
+        sizes.setdefault(len(v), []).append(k)
+    return [(n, np.array(at), np.stack([vectors[k] for k in at])) for n, at in sizes.items()]
 
 
 def pairs_within(ids: np.ndarray, passes: np.ndarray, x: list, window: int, cosine: float, first: int = 0):
     """Verified pairs of rows at most window apart and of one pass; both ends not before first for the later row."""
     sizes = np.array([len(v) for v in x])
-    unit = unit_rows(x) if len(set(sizes.tolist())) == 1 else None
+    unit = unit_rows(x) if isinstance(x, np.ndarray) or len(set(sizes.tolist())) == 1 else None
     found = []
     for step in range(1, min(window, len(x) - 1) + 1):
         if unit is not None:
@@ -124,6 +137,7 @@ def candidate_pairs(classes: DataFrame, passes: int, window: int, bits: int, cos
     A task hands on a spanning forest of the pairs it has verified, so a large group costs a row a vector and pass.
     """
     parts = max(passes, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    vectors = classes.schema["v"].dataType.simpleString()
     ordered = keyed(classes, passes, bits, seed).repartitionByRange(parts, "pass", "key", "id").sortWithinPartitions("pass", "key", "id")
 
     def run(batches):
@@ -136,9 +150,9 @@ def candidate_pairs(classes: DataFrame, passes: int, window: int, bits: int, cos
 
         def border(rows, at, base):
             n = len(rows[0])
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(np.arange(base, base + n), pa.int64()), pa.array([at] * n, pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], kind)], names)
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(np.arange(base, base + n), pa.int64()), pa.array([at] * n, pa.int32()), pa.array(rows[1], pa.int32()), pa.array(list(rows[2]), kind)], names)
 
-        kind = pa.list_(pa.float64())
+        kind = pa.list_(pa.float32() if vectors == "array<float>" else pa.float64())
         for batch in batches:
             ids, p = batch.column(2).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(zero_copy_only=False)
             x = vectors_of(batch.column(3))
@@ -147,7 +161,7 @@ def candidate_pairs(classes: DataFrame, passes: int, window: int, bits: int, cos
             first = 0
             if held is not None:
                 first = len(held[0])
-                ids, p, x = np.concatenate([held[0], ids]), np.concatenate([held[1], p]), held[2] + x
+                ids, p, x = np.concatenate([held[0], ids]), np.concatenate([held[1], p]), put_after(held[2], x)
             elif place:
                 yield border((ids[:window], p[:window], x[:window]), place - 1, window)  # after the end of the part before
             for at in range(0, len(ids), 2000):
@@ -158,7 +172,7 @@ def candidate_pairs(classes: DataFrame, passes: int, window: int, bits: int, cos
         if held is not None:
             yield border(held, place, window - len(held[0]))
 
-    out = settle(ordered.mapInArrow(run, "a long, b long, border int, pass int, v array<double>"))
+    out = settle(ordered.mapInArrow(run, f"a long, b long, border int, pass int, v {vectors}"))
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("b")
@@ -171,21 +185,22 @@ def candidate_pairs(classes: DataFrame, passes: int, window: int, bits: int, cos
     return inside.unionByName(at_borders).distinct()
 
 
-def exact_counts(members: DataFrame, cosine: float, block: int) -> DataFrame:
+def exact_counts(members: DataFrame, busy: DataFrame, cosine: float, block: int) -> DataFrame:
     """members (component, id, n, v) to (id, n_links): vectors linked inside the component, without the vector itself.
 
-    A hot component's outliers are spread over tasks in blocks; its core costs one row each.
+    busy: the largest components, of which there are fewer than HUBS.  The core of a component costs one row each; the
+    outliers are compared with their component in blocks, which are spread over tasks.
     """
     half = np.cos(np.arccos(cosine) / 2) + 1e-9
     pivot = members.where(F.col("id") == F.col("component")).select("component", F.col("v").alias("pv"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    flagged = members.join(pivot, "component").withColumn("core", F.coalesce((F.size("v") == F.size("pv")) & (dot(F.col("v"), F.col("pv")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("pv"), F.col("pv"))) >= float(half)), F.lit(False))).drop("pv")
-    flagged = settle(flagged)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    near = (F.size("v") == F.size("pv")) & (dot(F.col("v"), F.col("pv")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("pv"), F.col("pv"))) >= float(half))
+    flagged = settle(by_key(members, pivot, busy, "component").withColumn("core", F.coalesce(near, F.lit(False))).drop("pv"))
     sizes = flagged.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("n")).otherwise(0)).alias("core_n"), F.count_if(~F.col("core")).alias("fringe"), F.count("*").alias("all"))
-    core = flagged.where("core").select("component", "id", "n").join(sizes, "component").select("id", (F.col("core_n") - 1).alias("links"))
+    core = by_key(flagged.where("core").select("component", "id", "n"), sizes, busy, "component").select("id", (F.col("core_n") - 1).alias("links"))
     own = flagged.where(~F.col("core")).select("id", (F.col("n") - 1).alias("links"))
     # only components that have a fringe go on
-    wide = flagged.join(sizes.where("fringe > 0"), "component").withColumn("fb", F.ceil(F.col("fringe") / block).cast("int")).withColumn("ab", F.ceil(F.col("all") / block).cast("int"))
+    wide = by_key(flagged, sizes.where("fringe > 0"), busy, "component").withColumn("fb", F.ceil(F.col("fringe") / block).cast("int")).withColumn("ab", F.ceil(F.col("all") / block).cast("int"))
     left = wide.where(~F.col("core")).withColumn("f", F.pmod(F.xxhash64("id"), F.col("fb"))).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("ab") - 1))).withColumn("side", F.lit(0))
     right = wide.withColumn("m", F.pmod(F.xxhash64("id"), F.col("ab"))).withColumn("f", F.explode(F.sequence(F.lit(0), F.col("fb") - 1))).withColumn("side", F.lit(1))
     columns = ["component", "f", "m", "side", "id", "n", "core", "v"]
@@ -224,16 +239,21 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     lengths do not link.  Equal vectors always link.  A null id gets component null and is not kept.  Other columns of the
     input are neither read nor returned.  passes: of the first round; without, passes_for() the number of different vectors.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).cast("array<double>").alias("v"))
+    # single precision stays as it is, at half the size; all sums are formed in doubles
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vid"), F.col(vector_col).cast(kind).alias("v"))
     rows = rows.withColumn("good", usable(F.col("v")))
     good = rows.where("good").withColumn("h", F.xxhash64("v"))
     classes = settle(good.groupBy("h", "v").agg(F.min("vid").alias("least"), F.count("*").alias("n")).withColumn("id", F.xxhash64("h", "v")))
     comp = joined(classes, passes or passes_for(classes.count(), window, cosine), window, bits, cosine, seed)
     members = classes.join(comp.hint("merge"), "id").select("component", "id", "n", "v")
-    links = exact_counts(members, cosine, block)
+    sizes = comp.groupBy("component").count()
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    busy = settle(sizes.where(F.col("count") * HUBS > total))
+    links = exact_counts(members, busy, cosine, block)
     named = classes.select("id", "h", "v", "least", "n").join(comp.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least.hint("merge"), "component").join(links.hint("merge"), "id", "left").select("h", "v", "component_id", F.coalesce("n_links", F.col("n") - 1).alias("n_links"))
+    named = by_key(named, least, busy, "component").join(links.hint("merge"), "id", "left").select("h", "v", "component_id", F.coalesce("n_links", F.col("n") - 1).alias("n_links"))
     found = good.join(named.hint("merge"), ["h", "v"]).select("vid", "n_links", "component_id")
     alone = rows.where(~F.col("good")).select("vid", F.lit(0).cast("long").alias("n_links"), F.col("vid").alias("component_id"))
     return found.unionByName(alone).select(F.col("vid").alias(id_col), F.col("n_links").cast("long"), "component_id", F.coalesce(F.col("vid") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import settle
+from docloom.llm.shared import HUBS, by_key, settle
 
 #: Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,8 +51,6 @@ CONTENT_NAMES = frozenset("article articlebody article-body article-content post
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[^a-z]+")
-#: A host with more than this share of the pages counts as busy: so there are fewer than 200 of them.
-BUSY = 1 / 200
 #: A template is deduced from so many different pages of a host at least; a class has so many tokens, and stands on this share of pages.
 LEAST_PAGES, LEAST_TOKENS, SUPPORT = 10, 3, 0.9
 #: Constant blocks may hold at most this share of a host's text; else pages are copies of one another and not of a template.
@@ -245,27 +243,19 @@ def parsed(rows: DataFrame) -> DataFrame:
     return rows.select("host", F.xxhash64("html").alias("key"), "html").mapInArrow(run, schema)
 
 
-def with_host(rows: DataFrame, table: DataFrame, busy: DataFrame, how: str = "inner") -> DataFrame:
-    """rows joined with what table has of their host: busy hosts by broadcast, which are fewer than 200, the others by a shuffle."""
-    names = F.broadcast(busy.select("host"))
-    few, rest = F.broadcast(table.join(names, "host", "left_semi")), table.join(names, "host", "left_anti")
-    hot = rows.join(names, "host", "left_semi").join(few, "host", how)
-    return hot.unionByName(rows.join(names, "host", "left_anti").join(rest.hint("merge"), "host", how))
-
-
 def templates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((host, template, constant, menus) of hosts that have a template, busy hosts); tokens as arrays of longs."""
     pages = settle(parsed(rows).where(F.col("host").isNotNull()).dropDuplicates(["host", "key"]))
     sizes = settle(pages.groupBy("host").agg(F.count("*").alias("of"), F.sum("chars").alias("all_chars")))
     total = sizes.agg(F.sum("of")).first()[0] or 1
-    busy = sizes.where(F.col("of") > BUSY * total)
+    busy = sizes.where(F.col("of") * HUBS > total)
     sizes = sizes.where(F.col("of") >= LEAST_PAGES)
     each = pages.select("host", "key", F.explode(F.arrays_zip("token", "size", "linked", "links", "times", "block")).alias("t")).select("host", "key", "t.*")
     # the exclusive or of page and times stands for the occurrence vector
     vectors = each.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("key", "times")).alias("vector"), F.count("*").alias("pages"), F.sum("times").alias("times"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.sum("links").alias("links"), F.max("block").alias("block")
     )
-    vectors = with_host(vectors.where(F.col("pages") >= LEAST_PAGES * SUPPORT), sizes, busy).where(F.col("pages") >= SUPPORT * F.col("of"))
+    vectors = by_key(vectors.where(F.col("pages") >= LEAST_PAGES * SUPPORT), sizes, busy, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
     # what is left of a host has at most 1 / SUPPORT times as many tokens as a page
     menu = ~F.col("block") & (F.col("links") >= 3 * F.col("times")) & (F.col("linked") >= MENU * F.col("size"))
     classes = vectors.groupBy("host", "vector").agg(F.count("*").alias("n"), F.max(F.col("times") == F.col("pages")).alias("once"), F.max("of").alias("of"), F.max("all_chars").alias("all_chars"), F.collect_list(F.struct("token", "block", "size", menu.alias("menu"))).alias("members"))
@@ -294,7 +284,7 @@ def templates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                     out[key] = out.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32()))], names)
 
-    met = with_host(pages.select("host", "sequence"), by_host, busy).select("host", "sequence", "classes")
+    met = by_key(pages.select("host", "sequence"), by_host, busy, "host").select("host", "sequence", "classes")
     seen = met.mapInArrow(check, "host string, vector long, order long, slot int")
     valid = seen.groupBy("host", "vector").agg(F.min("order").alias("a"), F.max("order").alias("b"), F.min("slot").alias("c"), F.max("slot").alias("d")).where("a = b and a <> 0 and c = d and c > -2").select("host", "vector")
     good = classes.join(valid.hint("merge"), ["host", "vector"])
@@ -316,7 +306,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = hosted(pages, id_col, url_col, html_col)
     found, busy = templates(rows)
     columns = ["id", "url", "html", "template", "constant", "menus"]
-    joined = with_host(rows, found, busy, "left").select(*columns)
+    joined = by_key(rows, found, busy, "host", "left").select(*columns)
 
     def run(batches):
         held: dict[tuple, frozenset] = {}

@@ -58,7 +58,7 @@ def key_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("~"))
 
 
-def numbered(df: DataFrame, key: str, order: list[Column], out: str, rows_per_part: int = 1000, largest: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[Column], out: str, rows_per_part: int = 250, largest: int | None = None) -> DataFrame:
     """Add out: 0, 1, 2, ... within each value of key, following a hash of the order columns and then those columns.
 
     No key is numbered in a single task: rows are cut by hash into parts of about rows_per_part rows, or the square root of
@@ -81,6 +81,18 @@ def numbered(df: DataFrame, key: str, order: list[Column], out: str, rows_per_pa
     )
 
 
+def by_key(rows: DataFrame, table: DataFrame, busy: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with the one row that table has of their key.
+
+    busy holds the keys with so many rows that there are fewer than HUBS of them: those meet by broadcast, so their rows stay
+    where they are, and the others by a shuffle.
+    """
+    names = F.broadcast(busy.select(key))
+    few, rest = F.broadcast(table.join(names, key, "left_semi")), table.join(names, key, "left_anti")
+    hot = rows.join(names, key, "left_semi").join(few, key, how)
+    return hot.unionByName(rows.join(names, key, "left_anti").join(rest.hint("merge"), key, how))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (a, b) long pairs to (id, component), component the least id reachable.
 
