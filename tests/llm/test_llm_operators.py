@@ -644,15 +644,83 @@ def test_phrases_of_documents(spark, sf, odd, nothing):
         ("licensed under the Apache License, Edition 2.0", "apache"),
         ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by,cc-by-nc"),
         ("released under the Expat license", "mit"),
-        ("Copyright (c) 2020 A. Writer. All rights reserved", "all-rights-reserved"),
-        ("Copyright (c) 2020 a b c d e f g h all rights reserved", ""),
+        ("All rights reserved.", "all-rights-reserved"),
+        ("Copyright (c) 1990 The Regents of the University of California. All rights reserved", "all-rights-reserved,copyright-notice"),
+        ("Copyright 2020 " + "a b c " * 500 + "all rights reserved", "all-rights-reserved,copyright-notice"),
+        ("Copyright 2020 A. Writer\n\nAnother paragraph. All rights reserved", "all-rights-reserved"),
+        ("copyright copyright all rights reserved", "all-rights-reserved,copyright-notice"),
         ("licensed under the GNU General Public License, version 3", "gpl,gpl-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by,cc-by-nc"),
     ],
 )
 def test_templates(text, labels):
     assert license_scan.scan(text)[5] == ",".join(sorted(set(filter(None, labels.split(",")))))
 
 
+def filled(template, holder="The Example Project"):
+    """A template as a text: optional parts left out, first choices, a holder for each variable part."""
+    template = re.sub(r"<<any:<<var>>", "<<any:x", template.replace("|<<var>>>>", ">>"))
+    template = re.sub(r"<<any:([^|>]*)[^>]*>>", r"\1", template)
+    while "<<optional>>" in template:
+        template = re.sub(r"<<optional>>(?:(?!<<optional>>).)*?<</optional>>", "", template, flags=re.S)
+    return template.replace("<<var>>", holder)
+
+
+@pytest.mark.parametrize(("label", "number"), [(x, k) for x, ts in license_scan.TEMPLATES.items() for k in range(len(ts))])
+def test_whole_notices_and_altered_ones(label, number):
+    text = filled(license_scan.TEMPLATES[label][number])
+    one = license_scan.Automaton(license_scan.TEMPLATES[label][number])
+
+    def accepted(t):
+        words = license_scan.words_of(t)
+        return one.accepts(words, license_scan.places(b" " + b" ".join(words) + b" ", b" ".join(one.head)), license_scan.paragraphs(t))
+
+    assert accepted(f"Some words before. {text}, and after.") and label in license_scan.scan(text)[5].split(",")
+    words = text.split()
+    assert not accepted(" ".join(words[:-1]))
+    if "<<var>>" not in license_scan.TEMPLATES[label][number]:
+        for k in range(0, len(words), max(1, len(words) // 9)):
+            if license_scan.words_of(words[k]):
+                assert not accepted(" ".join([*words[:k], "elsewhere", *words[k:][1:]]))
+                assert not accepted(" ".join([*words[: k + 1], "really", *words[k + 1 :]])) or k == len(words) - 1
+
+
+def expanded(tokens, i=0):
+    """All wordings of a small template, by brute force; <<var>> as the mark None."""
+    outs = [[]]
+    while i < len(tokens) and tokens[i] not in ("<</optional>>", "|", ">>"):
+        if tokens[i] == "<<optional>>":
+            inner, i = expanded(tokens, i + 1)
+            outs = [a + b for a in outs for b in [[], *inner]]
+        elif tokens[i] == "<<any:":
+            choices = []
+            while tokens[i] != ">>":
+                inner, i = expanded(tokens, i + 1)
+                choices += inner
+            outs = [a + b for a in outs for b in choices]
+        else:
+            outs = [[*a, None if tokens[i] == "<<var>>" else tokens[i]] for a in outs]
+        i += 1
+    return outs, i
+
+
+@given(st.text(alphabet="abc", min_size=1, max_size=9))
+@settings(max_examples=150, deadline=None)
+def test_automata_equal_brute_force(letters):
+    words = [c.encode() for c in letters]
+    for template in ("a <<optional>>b <<any:a|c c>><</optional>> c", "a <<var>> b", "a b <<any:<<var>> c|a>> <<optional>>b<</optional>> a", "a <<optional>><<var>><</optional>> c <<any:a|b|c>>"):
+        one = license_scan.Automaton(template)
+        ways, _ = expanded(re.findall(r"<<optional>>|<</optional>>|<<var>>|<<any:|\||>>|[abc]", template))
+        pattern = "|".join("".join(".+" if w is None else w for w in way) for way in ways)
+        starts = [i for i in range(len(words)) if words[i : i + len(one.head)] == one.head]
+        assert one.accepts(words, starts, frozenset()) == bool(re.search(pattern, letters))
+
+
+def test_many_starts_cost_one_pass(spark):
+    text = "copyright permission is hereby granted, " * 40_000
+    assert license_scan.scan(text)[0] == 200_000 and license_scan.scan(text)[5] == ""
+
+
 # --- 10
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a>Home</a></li></ul></nav>
