@@ -7,6 +7,10 @@ also copied to every anchor within covering radius plus threshold.  If two finge
 the home of either is within radius plus threshold of the other, so the pair meets there: the search is exact.
 
 Fingerprints are made distinct first, so copies of a text cost one row however many there are.
+
+near_duplicates() links fingerprints.  one_of_each() thins a corpus by the similarity of word shingles instead: near copies in that
+sense differ in far more bits, so both sides go to the anchors around them, candidates are compared with the first
+fingerprints of their anchor only, and what they have in common is then counted exactly.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import components, settle
+from docloom.llm.shared import HUBS, by_key, components, settle
 
 #: code name: (bits, generator polynomial, covering radius)
 CODES = {"golay": (23, 0b101011100011, 3), "hamming": (15, 0b10011, 1)}
@@ -140,6 +144,108 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs_fp.join(named.hint("merge"), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of a text's word shingles; a shorter text is one shingle, one without words has none."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    width = min(width, len(words))
+    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[i : i + width])) for i in range(len(words) - width + 1)] if words else [], np.uint32)).view(np.int32)
+
+
+def to_leaders(around: DataFrame, within: int) -> DataFrame:
+    """(a, b): each fingerprint b of an anchor with the first a of that anchor that is at most within bits away, if any is.
+
+    Fingerprints stand in the order of a hash.  Those that are near none before them are the anchor's leaders; only they are kept in
+    memory, and they are more than within bits apart, so there are few of them however large the anchor.
+    """
+
+    def run(batches):
+        anchor, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            anchor = np.concatenate([anchor, batch.column(0).to_numpy(zero_copy_only=False)])
+            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            found, leads = [], []
+            left = np.arange(len(anchor))
+            while len(left):  # each turn: the first fingerprint of every anchor that has some left leads those near it
+                first = np.flatnonzero(np.append(True, anchor[left][1:] != anchor[left][:-1]))
+                leads.append(left[first])
+                lead = np.repeat(left[first], np.diff(np.append(first, len(left))))
+                near = np.bitwise_count(fp[left] ^ fp[lead]) <= within
+                found.append(np.stack([fp[lead[near & (lead != left)]], fp[left[near & (lead != left)]]], axis=1))
+                left = left[~near]
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["a", "b"])
+            leads = np.sort(np.concatenate(leads)) if leads else np.zeros(0, np.int64)
+            leads = leads[anchor[leads] == anchor[-1]] if len(leads) else leads  # the last anchor may go on
+            anchor, fp = anchor[leads], fp[leads]
+
+    return around.repartition("anchor").sortWithinPartitions("anchor", F.xxhash64("fp")).mapInArrow(run, "a long, b long")
+
+
+def rotated(fps: DataFrame, by: int) -> DataFrame:
+    return fps.select(F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by)).alias("fp")) if by else fps.select("fp")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, reach: int = 2, within: int = 16, turns: tuple[int, ...] = (0, 18), blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
+    """docs with one row of each group of near copies: texts that share words-word shingles at the Jaccard similarity, over any path.
+
+    Candidates meet at an anchor within radius plus reach of both, once for each turn of the bits; all that differ in
+    2 * reach bits of a turn's blocks do, others with a chance that falls with the bits.  Every link is checked on whole texts.
+    The row that stays has the least id of its group, null ids last, then the least text hash.  Copies of a text and repeated
+    rows are one group.  Texts without a word are one group, null among them.  All columns and clashing names stay.
+    """
+    own = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["id", "th", "fp"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    marked = settle(own.select(F.col(id_col).alias("id"), F.col("__th").alias("th"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, th long, fp long"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
+    texts = settle(marked.groupBy("th", "fp").agg(least.alias("least")))
+    firsts = settle(texts.groupBy("fp").agg(F.min("th").alias("th")))
+    around = [anchored(rotated(firsts, by), blocks, reach).select((F.col("anchor") + (k << 48)).alias("anchor"), "fp") for k, by in enumerate(turns)]
+    found = [to_leaders(x, within) for x in around]
+    back = lambda c, by: F.shiftrightunsigned(c, by).bitwiseOR(F.shiftleft(c, 64 - by)).alias(c) if by else F.col(c)
+    pairs = found[0]
+    for by, more in zip(turns[1:], found[1:], strict=True):
+        pairs = pairs.unionByName(more.select(back("a", by), back("b", by)))
+    pairs = pairs.distinct()
+    for end in "ab":
+        pairs = pairs.join(firsts.select(F.col("fp").alias(end), F.col("th").alias(f"t{end}")).hint("merge"), end)
+    same = texts.join(firsts.withColumnRenamed("th", "ta").hint("merge"), "fp").where("th <> ta").select("ta", F.col("th").alias("tb"))
+    pairs = settle(pairs.select("ta", "tb").unionByName(same))
+    wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("__th")).distinct()
+
+    def hashes(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t, words) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))], ["th", "s"])
+
+    sets = own.select("__th", F.col(text_col).cast("string").alias("t")).join(wanted.hint("merge"), "__th", "left_semi").dropDuplicates(["__th"]).select("__th", "t").mapInArrow(hashes, "th long, s array<int>")
+    sets = settle(sets)
+    # a text that leads many others is split over tasks by the others' hashes
+    busy = settle(pairs.groupBy("ta").count().where(F.col("count") * HUBS > pairs.count()))
+    with_a = by_key(pairs, sets.select(F.col("th").alias("ta"), F.col("s").alias("sa")), busy, "ta")
+    both = with_a.join(sets.select(F.col("th").alias("tb"), F.col("s").alias("sb")).hint("merge"), "tb")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = F.when((F.size("sa") == 0) & (F.size("sb") == 0), True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))
+    comp = components(both.where(alike).select(F.col("ta").alias("a"), F.col("tb").alias("b")))
+    named = texts.join(comp.withColumnRenamed("id", "th").hint("merge"), "th", "left").withColumn("component", F.coalesce("component", "th"))
+    stay = named.groupBy("component").agg(F.min(F.struct("least", "th")).alias("m")).select(F.col("m.least.id").alias("__id"), F.col("m.th").alias("__t"))
+    kept = own.join(stay.hint("merge"), (F.col("__th") == F.col("__t")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    repeated = marked.groupBy("id", "th").count().where("count > 1").select(F.col("id").alias("__id"), F.col("th").alias("__t"))
+    twice = (F.col("__th") == F.col("__t")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    kept = settle(kept)
+    once = kept.join(repeated.hint("merge"), twice, "left_anti")
+    more = kept.join(repeated.hint("merge"), twice, "left_semi").dropDuplicates(["__th", id_col])
+    return once.unionByName(more).drop("__th")
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     from docloom.llm.shared import read
 

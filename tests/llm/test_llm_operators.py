@@ -329,6 +329,53 @@ def test_near_duplicates_of_odd_rows(spark, odd, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def jaccard_groups(texts, words=5, similarity=0.8):
+    """Least index by text index: groups over any path of pairs at the similarity, all pairs compared."""
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        k = min(words, len(w))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if label[a] != label[b] and (len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_one_of_each_group_of_near_copies(spark, odd, nothing):
+    """Against all pairs: no group loses its last text, nearly all surplus copies go, and only copies go."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(900)]
+    base = [[vocabulary[i] for i in rng.integers(0, 900, int(n))] for n in rng.integers(40, 300, 60)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for _ in range(6):
+            copy = list(b)
+            for at in rng.integers(0, len(copy), max(1, len(copy) // 100)):
+                copy[at] = vocabulary[int(rng.integers(0, 900))]
+            texts.append(" ".join(copy))
+    label = jaccard_groups(texts)
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, fp int, th int")
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = {r["doc_id"] for r in got.collect()}
+    assert {label[i] for i in kept} == set(label)
+    assert len(kept) - len(set(label)) <= 0.1 * (len(texts) - len(set(label)))
+    rows = simhash.one_of_each(odd).collect()
+    assert Counter(r["doc_id"] for r in rows) == {1: 1, 4: 1, 6: 1, 7: 1, None: 1, 8: 1}
+    assert simhash.one_of_each(nothing).count() == 0
+
+
+def test_one_row_stays_where_ids_are_null_or_repeated(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, text), (None, text), (None, text + " more"), (7, "other words " * 9), (7, "other words " * 9), (7, "third text of its own here"), (9, None), (8, " ")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in got) == [("7", "other"), ("7", "third"), ("8", " "), ("None", "word0")]
+
+
 # --- 4
 
 

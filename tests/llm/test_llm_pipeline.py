@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import corpus_pipeline
 import pytest
-from docloom.llm import quality_rules, simhash, toxicity
+from docloom.llm import quality_rules, toxicity
+from test_llm_operators import jaccard_groups
 
 
 def test_stages(spark, sf):
@@ -19,8 +22,11 @@ def test_stages(spark, sf):
     model = toxicity.train(kept["start"], spark.read.parquet(f"{sf}/labels.parquet"))
     assert ids["toxicity"] == sorted(r["doc_id"] for r in toxicity.score(kept["start"], model).where("predicted = 0").collect())
     assert ids["quality"] == sorted(r["doc_id"] for r in quality_rules.quality(kept["toxicity"]).where("kept").collect())
-    groups = simhash.near_duplicates(kept["quality"]).collect()
-    assert ids["near_dedup"] == sorted({r["component_id"] for r in groups})
+    rows = kept["quality"].orderBy("doc_id").collect()
+    label = jaccard_groups([r["text"] for r in rows])
+    firsts = {rows[k]["doc_id"] for k in set(label)}
+    # the least of each group stays, and at most one in ten of the other copies
+    assert firsts <= set(ids["near_dedup"]) and len(ids["near_dedup"]) - len(firsts) <= 0.1 * (len(rows) - len(firsts)) + 1
     assert ids["mixing"] == ids["near_dedup"] == ids["bpe"]
 
 
@@ -33,5 +39,17 @@ def test_run(spark, sf):
 def test_stages_without_rows_or_with_odd_ones(spark, sf, stage):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert stage(spark, docs.where("false"), sf).count() == 0
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0)], docs.schema)
-    assert stage(spark, odd, sf).count() <= 3
+    good = " ".join(f"plain{k}" for k in range(40))
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, good, "en", "a", 1), (2, good, "en", "a", 1), (2, good[::-1], None, "a", 1), (None, good, "en", None, 1), (3, " ".join(f"long{k}" for k in range(60_000)), "en", "a", 1), (4, good, "en", "a", 1)]
+    odd = spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], docs.schema.add("id", "integer").add("__id", "string").add("fp", "integer").add("position", "integer"))
+    got = Counter((r["doc_id"], r["n_tokens"] if "n_tokens" in r.asDict() else (r["text"] or "")[:6]) for r in stage(spark, odd, sf).collect())
+    given = Counter((r[0], (r[1] or "")[:6]) for r in rows)
+    name = next(n for n, f in corpus_pipeline.STAGES if f is stage)
+    if name in ("toxicity", "mixing"):
+        assert got == given
+    elif name == "quality":
+        assert set(got) <= {(2, good[:6]), (2, good[::-1][:6]), (None, good[:6]), (3, "long0 "), (4, good[:6])} and got[2, good[:6]] in (0, 2)
+    elif name == "near_dedup":
+        assert got == Counter({(1, ""): 1, (2, good[:6]): 1, (2, good[::-1][:6]): 1, (3, "long0 "): 1})
+    else:
+        assert sum(got.values()) == len(rows) and got[1, 0] == 2 and got[None, 0] == 1
