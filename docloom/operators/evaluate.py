@@ -109,7 +109,7 @@ def run_summary(runs: DataFrame, most: int = 4) -> DataFrame:
         c = c.where(F.col("r") <= keep) if keep else c
         return c.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws("=", col, "c").alias("t")))), lambda x: x["t"]), ", ").alias(out))
 
-    return base.join(ranked("predicted", most, "top_predictions"), keys, "left").join(ranked("error", 100, "errors"), keys, "left")
+    return base.join(ranked("predicted", most, "top_predictions"), keys, "left").join(ranked("error", None, "errors"), keys, "left")
 
 
 def baselines(rows: DataFrame, label: str) -> DataFrame:

@@ -96,13 +96,13 @@ def f6_latest_state(spark, sf_dir):
 
 @query(f"with {LATEST} select path, event_id from la where not gone")
 def f6_change_stream(spark, sf_dir):
-    """The events as a stream of files in order of time, followed into table versions; the last version is the result."""
+    """The events as a stream of files out of order, followed one file a batch into table versions; the last version is the result."""
     place = scratch(spark)
     parts = change_events(spark, sf_dir).withColumn("part", F.pmod("event_id", F.lit(3)))
     for k in range(3):
-        parts.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{place}/in")
-    changes.follow(spark, f"{place}/in", SCHEMA, f"{place}/table", f"{place}/checkpoint")
-    return changes.version(spark, f"{place}/table", 0).select("path", "event_id")
+        parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{place}/in")
+    last = changes.follow(spark, f"{place}/in", SCHEMA, f"{place}/table", f"{place}/checkpoint", files_per_batch=1)
+    return changes.version(spark, f"{place}/table", last).select("path", "event_id")
 
 
 @query("select e.event_id from events e where not exists (select 1 from events m where m.event_type = 'click' and m.user_id = e.user_id and m.event_id % 2 = 0 and abs(epoch_us(e.ts) - epoch_us(m.ts)) <= 600000000)")
@@ -289,7 +289,7 @@ def standing(spark, sf_dir):
 
 CHECKED = f"""va as (select *, case when id % 19 = 0 then 'failed' when id % 13 = 0 then 'failed' when id % 11 = 0 then 'failed' when id % 17 = 0 then 'skipped' else 'open' end as status,
  case when id % 19 = 0 then 'source_missing' when id % 13 = 0 then 'unsafe_path: target' when id % 11 = 0 then 'extension_mismatch' when id % 17 = 0 then 'already_in_place' else '' end as reason from {DOCS}),
- pl as (select id as seq, case when status = 'open' then '/root/done/' || lang || '/paper_' || (id % 7) || case when n = 1 then '' else ' (' || (n - 1) || ')' end || '.pdf' when status = 'skipped' then '/root' || path end as target, case when status = 'open' then 'valid' else status end as status, case when status <> 'open' then reason when n > 1 then 'conflict_renamed' else '' end as reason
+ pl as (select id as seq, '/root' || path as source, case when status = 'open' then '/root/done/' || lang || '/paper_' || (id % 7) || case when n = 1 then '' else ' (' || (n - 1) || ')' end || '.pdf' when status = 'skipped' then '/root' || path end as target, case when status = 'open' then 'valid' else status end as status, case when status <> 'open' then reason when n > 1 then 'conflict_renamed' else '' end as reason
  from (select *, row_number() over (partition by status, lang, case when status = 'open' then id % 7 end order by id) as n from va))"""
 
 
@@ -319,24 +319,25 @@ def h3_plan_summary(spark, sf_dir):
 
 
 def history(spark, sf_dir):
-    """A run for each user: their first orders as moves between two folders."""
+    """A run for each user: their orders as moves between two folders."""
     o = read(spark, sf_dir, "orders")
     p = lambda a: F.concat(F.lit(a), F.col("o_orderkey").cast("string"))
-    run = F.concat(F.lit("run"), F.col("o_custkey").cast("string"))
-    return o.groupBy(run.alias("id")).agg(F.array_sort(F.collect_list(F.struct(p("/a/").alias("from"), p("/b/").alias("to")))).alias("moves"), F.max("o_orderdate").cast("timestamp").alias("applied_at"), F.min("o_custkey").alias("c")).select("id", F.lit("/").alias("root"), "applied_at", "moves", (F.col("c") % 3 == 0).alias("undone"))
+    last = o.groupBy("o_custkey").agg(F.max("o_orderdate").cast("timestamp").alias("applied_at"))
+    rows = o.join(last.hint("merge"), "o_custkey")
+    return rows.select(F.concat(F.lit("run"), F.col("o_custkey").cast("string")).alias("id"), F.lit("/").alias("root"), "applied_at", F.col("o_orderkey").cast("long").alias("seq"), p("/a/").alias("from"), p("/b/").alias("to"), (F.col("o_custkey") % 3 == 0).alias("undone"))
 
 
-@query(f"with {CHECKED} select 'r1' as id, count(*) as moves, string_agg(target, ',' order by seq) as targets from pl where status = 'valid'")
+@query(f"with {CHECKED} select 'r1' as id, seq, source as \"from\", target as \"to\", false as undone from pl where status = 'valid'")
 def h4_record_history(spark, sf_dir):
-    out = mv.record_history(planned(spark, sf_dir), "r1", "/root", F.to_timestamp(F.lit("2024-03-01")))
-    return out.select("id", F.size("moves").cast("long").alias("moves"), F.array_join(F.transform("moves", lambda m: m["to"]), ",").alias("targets"))
+    return mv.record_history(planned(spark, sf_dir), "r1", "/root", F.to_timestamp(F.lit("2024-03-01"))).select("id", "seq", "from", "to", "undone")
 
 
 HISTORY = "hi as (select 'run' || o_custkey as id, count(*) as moves, max(o_orderdate) as applied_at, o_custkey % 3 = 0 as undone from orders group by o_custkey)"
 
 
-@query(f"""with {HISTORY}, la as (select id from hi where not undone order by applied_at desc, id desc limit 1), mo as (select la.id, '/a/' || o_orderkey as f, '/b/' || o_orderkey as t, o_orderkey, row_number() over (order by '/a/' || o_orderkey desc) - 1 as step from la join orders on 'run' || o_custkey = la.id)
- select id, step, t as "from", f as "to", case when o_orderkey % 5 = 0 then 'skipped' else 'restored' end as status, case when o_orderkey % 5 = 0 then 'moved_file_missing' else '' end as reason from mo""")
+@query(f"""with {HISTORY}, la as (select id from hi where not undone order by applied_at desc, id desc limit 1)
+ select la.id, o_orderkey as seq, '/b/' || o_orderkey as "from", '/a/' || o_orderkey as "to", case when o_orderkey % 5 = 0 then 'skipped' else 'restored' end as status, case when o_orderkey % 5 = 0 then 'moved_file_missing' else '' end as reason
+ from la join orders on 'run' || o_custkey = la.id""")
 def h5_undo_plan(spark, sf_dir):
     there = read(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.concat(F.lit("/b/"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(True).alias("is_file"))
     return mv.undo_plan(history(spark, sf_dir), there)

@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import shared_folder
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: in spark.checkpoint.dir, or a temporary one if the session is local."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{folder or tempfile.mkdtemp(prefix='spark-docloom-')}/{uuid.uuid4().hex}"
+    """A new folder that all executors see."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

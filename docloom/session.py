@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str) -> SparkSession:
@@ -16,3 +18,23 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str)
         "spark.ui.enabled": "false",
     } | more
     return SparkSession.builder.master(master).appName("docloom").config(map=settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir if that was not done yet.
+
+    A session without one gets a temporary folder if it is local, that is all in one process; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-docloom-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df to the session's checkpoint folder and go on from there, so that no later job repeats its work."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

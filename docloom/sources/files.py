@@ -82,9 +82,8 @@ def summary_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_summary_json(rows: DataFrame, columns: list[str], path: str) -> None:
-    """Counts by each column as one JSON document."""
-    counts = summary_counts(rows, columns).groupBy("dim").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("value", F.lit("")), "n")))).alias("counts"))
-    counts.agg(F.map_from_entries(F.collect_list(F.struct("dim", "counts"))).alias("by")).coalesce(1).write.mode("overwrite").json(path)
+    """Counts by each column as JSON lines, one a column and value."""
+    summary_counts(rows, columns).write.mode("overwrite").json(path)
 
 
 def xml_text(data: bytes) -> str:

@@ -40,32 +40,41 @@ def without_own(events: DataFrame, moves: DataFrame, seconds: int = 10) -> DataF
     return events.join(m, band, "left_anti")
 
 
-def follow(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, on_change: Callable[[DataFrame], None] | None = None) -> None:
-    """Run what there is of a folder of event files into versions of a table, once: table/v=<batch>.
+def follow(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, on_change: Callable[[DataFrame], None] | None = None, own_moves: DataFrame | None = None, files_per_batch: int | None = None) -> int:
+    """Run what there is of a folder of event files into versions of a table, once: table/v=<batch>.  Returns the last version.
 
-    A version holds the whole state after its batch, so a batch that runs twice writes the same rows again.  Event ids
-    that come twice within an hour count once.
+    A version holds the whole state after its batch, so a batch that runs twice writes the same rows again.  Events may come
+    late, out of order and more than once: the state keeps the newest of each path by time and event id, gone ones too, so
+    any order gives the same table.  own_moves(path, applied_at): changes that they explain are left out.
     """
-    stream = spark.readStream.schema(schema).parquet(source).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    stream = spark.readStream.schema(schema).options(**({"maxFilesPerTrigger": files_per_batch} if files_per_batch else {})).parquet(source)
 
     def batch(rows: DataFrame, number: int) -> None:
-        before = version(spark, table, number - 1)
-        changed = rows.persist()
+        before = states(spark, table, number - 1)
+        changed = (rows if own_moves is None else without_own(rows, own_moves)).persist()
         try:
-            apply_changes(before, changed).write.mode("overwrite").parquet(f"{table}/v={number}")
+            merged(before, changed).write.mode("overwrite").parquet(f"{table}/v={number}")
             if on_change is not None:
                 on_change(latest_state(changed))
         finally:
             changed.unpersist()
 
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    run = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return max((p["batchId"] for p in run.recentProgress if p["numInputRows"]), default=-1)
 
 
-def version(spark: SparkSession, table: str, number: int) -> DataFrame:
-    schema = "path string, mtime_us long, ts timestamp, event_id long"
+def merged(table: DataFrame, events: DataFrame) -> DataFrame:
+    """table(path, gone, mtime_us, ts, event_id) after the events; paths that are gone stay known, so late events cannot bring them back."""
+    newest = F.max(F.struct("ts", "event_id", "gone", "mtime_us")).alias("l")
+    return latest_state(events).unionByName(table.select("path", "gone", "mtime_us", "ts", "event_id")).groupBy("path").agg(newest).select("path", "l.gone", "l.mtime_us", "l.ts", "l.event_id")
+
+
+def states(spark: SparkSession, table: str, number: int) -> DataFrame:
+    schema = "path string, gone boolean, mtime_us long, ts timestamp, event_id long"
     return spark.read.schema(schema).parquet(f"{table}/v={number}") if number >= 0 else spark.createDataFrame([], schema)
 
 
-def numbered_changes(events: DataFrame) -> DataFrame:
-    """Each path's changes in order, with the number of the change."""
-    return steps(events).withColumn("change", F.row_number().over(Window.partitionBy("path").orderBy("ts", "event_id", F.desc("gone"))))
+def version(spark: SparkSession, table: str, number: int) -> DataFrame:
+    """(path, mtime_us, ts, event_id) of the files that are there in a version."""
+    return states(spark, table, number).where(~F.col("gone")).drop("gone")
