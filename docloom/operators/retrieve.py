@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.text import SEPARATORS, S, is_under, squash, stem, strip
+from docloom.functions.text import SEPARATORS, S, is_under, let, squash, stem, strip
 from docloom.lexicon import BODY_WEIGHT, COMBINED_CUT, EXTENSIONS, HALF_LIFE, NAME_THRESHOLD, RELATIVE_CUT, VECTOR_FLOOR, WEIGHTS, WEIGHTS_WITH_TIME
+from docloom.session import settle
 
 #: Distinct query words, and queries, that are broadcast at most; beyond that the caller splits the queries.
 MOST_WORDS = 20_000
@@ -99,28 +100,41 @@ def keyword_scores(queries: DataFrame, docs: DataFrame, matches: DataFrame | Non
 
     A name that the query spells out in part raises it to that part, from one half on.  Only scores over 0.
     """
-    matches = lexical_matches(queries, docs) if matches is None else matches
-    idf = token_idf(matches, docs)
+    # the texts are read once: weights and scores are formed from the matches
+    matches = settle(lexical_matches(queries, docs)) if matches is None else matches
     total = docs.agg(F.count("*").alias("n"))
-    words = queries.select("query_id", F.explode("tokens").alias("token"))
-    # a word that no document holds still counts in the sum
-    words = words.join(idf, "token", "left").join(F.broadcast(total)).withColumn("weight", F.coalesce("weight", F.log(F.col("n") + 1.0) + 1.0)).drop("n")
-    sums = words.groupBy("query_id").agg(F.sum("weight").alias("weight_sum"))
-    by_token = matches.join(words, "token").groupBy("query_id", "id").agg(F.sum(F.when(F.col("in_name"), F.col("weight")).otherwise(F.col("weight") * BODY_WEIGHT)).alias("matched"))
-    scored = by_token.join(sums, "query_id").select("query_id", "id", (F.col("matched") / F.col("weight_sum")).alias("part"))
+    # a word that no document holds still counts in the sum; there are at most MOST_WORDS different ones
+    words = settle(queries.select("query_id", F.explode("tokens").alias("token")))
+    df = matches.groupBy("token").agg(F.count("*").alias("df"))
+    weights = words.select("token").distinct().join(df.hint("merge"), "token", "left").join(F.broadcast(total)).select("token", (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1.0).alias("weight"))
+    weighed = words.join(F.broadcast(settle(weights)), "token")
+    sums = weighed.groupBy("query_id").agg(F.sum("weight").alias("weight_sum"))
+    # the queries of each word in one row, so a match meets one row; matches stay where they are, and so do their sums
+    asked = weighed.join(sums.hint("merge"), "query_id").groupBy("token").agg(F.collect_list(F.struct("query_id", (F.col("weight") / F.col("weight_sum")).alias("w"))).alias("asked"))
+    asked = F.broadcast(settle(asked))
+    met = matches.join(asked, "token").select("id", F.when(F.col("in_name"), 1.0).otherwise(BODY_WEIGHT).alias("by"), F.explode("asked").alias("a"))
+    scored = met.groupBy("a.query_id", "id").agg(F.sum(F.col("a.w") * F.col("by")).alias("part"))
     pasted = named(queries, docs).where(F.col("part") >= NAME_THRESHOLD)
     return scored.unionByName(pasted).groupBy("query_id", "id").agg(F.least(F.lit(1.0), F.max("part")).alias("keyword")).where("keyword > 0")
 
 
 def named(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, id, part) where the query spells out some of the name: stated queries against all names.
+    """(query_id, id, part) where the query spells out some of the name.
 
-    Both sides are prepared before they meet, so a pair costs only the comparisons.
+    A name's different words and stems meet the queries by their first letters, and what matches goes back to the names.
     """
     flat_stem, words = name_parts(F.col("name"))
-    asked = checked(queries.select("query_id", squash(F.col("query")).alias("flat_query")))
-    pairs = docs.select("id", flat_stem.alias("flat_stem"), words.alias("words")).join(asked)
-    return pairs.select("query_id", "id", name_share(F.col("flat_stem"), F.col("words"), F.col("flat_query")).alias("part")).where("part > 0")
+    names = docs.select("id", flat_stem.alias("flat_stem"), words.alias("words")).where("flat_stem <> ''")
+    pieces = names.select("id", F.size("words").alias("of"), F.explode(F.concat(F.transform("words", lambda w: F.struct(w.alias("piece"), F.lit(False).alias("whole"))), F.array(F.struct(F.col("flat_stem").alias("piece"), F.lit(True).alias("whole"))))).alias("p")).select("id", "of", "p.*")
+    flat = queries.select("query_id", squash(F.col("query")).alias("flat_query")).where("flat_query <> ''")
+    places = F.sequence(F.lit(1), F.length("flat_query"))
+    grams = F.array_distinct(F.flatten(F.transform(places, lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(F.col("flat_query"), i, n)))))
+    asked = flat.select("query_id", "flat_query", F.explode(grams).alias("gram"))
+    different = pieces.select("piece").distinct().withColumn("gram", F.substring("piece", 1, 3))
+    hits = different.join(asked.hint("shuffle_hash"), "gram").where(F.contains("flat_query", F.col("piece"))).select("query_id", "piece")
+    found = pieces.join(hits.hint("merge"), "piece")
+    share = F.greatest(F.max(F.when(F.col("whole"), 1.0).otherwise(0.0)), F.count_if(~F.col("whole")) / F.greatest(F.max("of"), F.lit(1)))
+    return found.groupBy("query_id", "id").agg(share.alias("part")).where("part > 0")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -160,18 +174,20 @@ def combine(vector: Column, keyword: Column, fresh: Column, timed: Column, paste
 
 def excerpt(body: Column, tokens: Column, name: Column, n: int = 500) -> Column:
     """n characters from 60 before the first of the words, in their order, that occurs; the name if there is no text."""
-    text = strip(body)
-    places = F.filter(F.transform(tokens, lambda t: F.position(t, F.lower(text))), lambda p: p > 0)
-    start = F.greatest(F.lit(1), F.coalesce(F.get(places, F.lit(0)), F.lit(1)) - 60)
-    found = strip(F.substring(text, start, F.lit(n)))
-    return F.when(F.coalesce(found, F.lit("")) == "", name).otherwise(found)
+
+    def found(text: Column) -> Column:
+        places = let(F.lower(text), lambda low: F.filter(F.transform(tokens, lambda t: F.position(t, low)), lambda p: p > 0))
+        start = F.greatest(F.lit(1), F.coalesce(F.get(places, F.lit(0)), F.lit(1)) - 60)
+        return strip(F.substring(text, start, F.lit(n)))
+
+    return let(let(strip(body), found), lambda x: F.when(F.coalesce(x, F.lit("")) == "", name).otherwise(x))
 
 
 def candidates(keyword: DataFrame, vector: DataFrame) -> DataFrame:
     """(query_id, id, keyword, vector, best_vector): found by either side; the other side counts 0."""
     best = vector.groupBy("query_id").agg(F.max("vector").alias("best_vector"))
     v = vector.groupBy("query_id", "id").agg(F.max("vector").alias("vector"))
-    both = keyword.join(v, ["query_id", "id"], "full_outer").join(best, "query_id", "left")
+    both = keyword.join(v.hint("merge"), ["query_id", "id"], "full_outer").join(best.hint("merge"), "query_id", "left")
     return both.select("query_id", "id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("keyword", "vector", "best_vector")))
 
 
@@ -208,7 +224,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, now: Column, query_vector
     rows = first_gate(candidates(keyword, vector))
     flat_stem, words = name_parts(F.col("name"))
     slim = in_scope(docs.drop("body"), root).withColumns({"flat_stem": flat_stem, "words": words})
-    rows = rows.join(slim, "id").join(checked(queries.select("query_id", squash(F.col("query")).alias("flat_query"), "half_life")), "query_id")
+    rows = rows.join(slim.hint("merge"), "id").join(checked(queries.select("query_id", squash(F.col("query")).alias("flat_query"), "half_life")), "query_id")
     modified = F.coalesce(F.col("modified_at"), F.timestamp_micros("mtime_us")) if "mtime_us" in docs.columns else F.col("modified_at")
     fresh = recency(modified, now, F.coalesce("half_life", F.lit(HALF_LIFE)))
     rows = rows.withColumn("score", combine(F.col("vector"), F.col("keyword"), fresh, F.col("half_life").isNotNull(), name_share(F.col("flat_stem"), F.col("words"), F.col("flat_query"))))

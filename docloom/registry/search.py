@@ -203,8 +203,8 @@ def label_vectors(spark, sf_dir):
 
 
 def examples(spark, sf_dir):
-    """A second collection, of approved examples: here the rows with odd ids.  Every row of the table asks."""
-    v = vectors(spark, sf_dir).where("id % 2 = 1")
+    """A collection of approved examples: all vectors with the names of their labels.  Every row of the table asks."""
+    v = vectors(spark, sf_dir)
     return v.select(F.col("id").alias("eid"), F.col("v").alias("ev"), label_name(F.col("label")).alias("category"))
 
 
@@ -217,7 +217,7 @@ LV = f"lv as (select {LABEL} as label, min_by(v, id) as lv from {VECTORS} group
 ZERO = f"""{LV}, zs as (select id, label, list_inner_product(v, lv) as sim from (select * exclude label from {VECTORS}) x, lv),
  zb as (select id, arg_max(label, (sim, label)) as label, max(sim) as sim from zs group by id),
  z as (select id, case when sim >= 0.35 then label else 'etc' end as category, sim as confidence, case when sim >= 0.35 then 'label_zeroshot' else 'etc_fallback' end as method from zb)"""
-KNN = f"""ex as (select id as eid, v as ev, {LABEL} as category from {VECTORS} where id % 2 = 1),
+KNN = f"""ex as (select id as eid, v as ev, {LABEL} as category from {VECTORS}),
  nn as materialized (select * from (select id, eid, category, sim, row_number() over (partition by id order by sim desc, eid) as place from (select id, eid, category, list_inner_product(v, ev) as sim from {VECTORS}, ex)) where place <= 6)"""
 VOTE = """vt as (select id, category, count(*) as votes, min(place) as first, max(sim) as best from nn where place <= 3 and sim >= 0.55 group by id, category),
  uv as (select id, category, least(1.0, best * votes / total) as confidence, 'user_knn' as method from (select *, sum(votes) over (partition by id) as total, row_number() over (partition by id order by votes desc, first) as r from vt) where r = 1)"""

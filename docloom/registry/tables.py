@@ -32,12 +32,12 @@ DOCS = """(select doc_id as id, 'doc_' || doc_id || '.pdf' as name, '/' || sourc
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first six words of each benchmark text as a query; every other one asks for recent documents."""
-    words = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    """Each benchmark text as a query, up to the 200 characters that a query may have; every other one asks for recent documents."""
+    words = F.substring("text", 1, 200)
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("최근 "), words)).otherwise(words).alias("query"))
 
 
-RAW_QUERIES = """(select item_id as query_id, case when item_id % 2 = 0 then '최근 ' else '' end || array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') as query from benchmark)"""
+RAW_QUERIES = """(select item_id as query_id, case when item_id % 2 = 0 then '최근 ' else '' end || substring(text, 1, 200) as query from benchmark)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
