@@ -167,7 +167,11 @@ def voted(rows: DataFrame, model: Model, columns: list[str], text_col: str) -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on learnable rows of docs (crc32(id) mod 3 not 1) and their labels.  Without labels the fixed lexicon decides."""
+    """Fit on learnable rows of docs (crc32(id) mod 3 not 1) and their labels.  Without labels the fixed lexicon decides.
+
+    Labels other than 0 and 1 do not count; an id with several labels is toxic if one says so.  Null texts teach nothing, empty
+    ones show no voter.  Repeated rows count each.  Whole texts are read, however long, and every voter counts once a text.
+    """
     gold = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("gid")).agg(F.max(label_col).cast("int").alias("toxic"))
     share = min(1.0, fit_rows / max(1, gold.count()))
     gold = gold.where((F.pmod(F.xxhash64("gid"), F.lit(1_000_000)) < int(share * 1_000_000)) & (fold(F.col("gid")) != 1))

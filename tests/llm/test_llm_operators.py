@@ -606,6 +606,42 @@ def test_label_model_finds_accuracies():
     assert weight[0] < weight[1] and weight[4] < weight[1]
 
 
+def test_label_model_equals_plain_expectation_maximisation():
+    """Two rounds, before correlations count: against sums row by row from the definition, gold being a voter of its own."""
+    rng = np.random.default_rng(5)
+    truth = rng.random(900) < 0.2
+    x = (rng.random((900, 6)) < np.where(truth[:, None], [0.6, 0.5, 0.4, 0.5, 0.3, 0.6], [0.01, 0.02, 0.01, 0.03, 0.01, 0.02])).astype(float)
+    gold = np.where(np.arange(900) % 5 == 0, truth, -1)
+    got, weight = toxicity.label_model(x, gold, rounds=2)
+    p, right = [0.95 if g == 1 else 0.05 if g == 0 else 0.8 if row.any() else 0.05 for row, g in zip(x, gold, strict=True)], 0.95
+    for _ in range(2):
+        prior, yes = sum(p) / len(p), sum(p)
+        a = [(sum(q for q, r in zip(p, x, strict=True) if r[j]) + 0.5) / (yes + 5) for j in range(6)]
+        b = [(sum(1 - q for q, r in zip(p, x, strict=True) if r[j]) + 0.01) / (len(p) - yes + 5) for j in range(6)]
+        new = []
+        for row, g in zip(x, gold, strict=True):
+            one = prior * math.prod(a[j] if v else 1 - a[j] for j, v in enumerate(row)) * (1 if g < 0 else right if g else 1 - right)
+            two = (1 - prior) * math.prod(b[j] if v else 1 - b[j] for j, v in enumerate(row)) * (1 if g < 0 else 1 - right if g else right)
+            new.append(one / (one + two))
+        p = new
+        right = min(0.995, max(0.6, np.mean([q if g else 1 - q for q, g in zip(p, gold, strict=True) if g >= 0])))
+    assert np.allclose(got, p, atol=1e-9) and (weight == 1).all()
+    assert ((got > 0.5) == truth).mean() > 0.97
+
+
+def test_scores_equal_a_plain_version(spark):
+    """Whole scores from the voters as written, against a word by word reading."""
+    model = toxicity.Model(["idiot*", "scum", "lo*"], np.array([1.0, 2.0, 0.5, 0.3, 0.2, 0.1, 1.5]), -2.0)
+    texts = ["You Idiots, scum of scums; lo and lowe!", "nothing here", "", "scumbag SCUM scum", "xidiot idiot's"]
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        said = [[w for w in words if (w.startswith(v[:-1]) if v.endswith("*") else w == v)] for v in model.voters]
+        times, kinds = sum(any(w in x for x in said) for w in words), sum(map(bool, said))
+        z = -2 + sum(w for w, x in zip(model.weights, said, strict=False) if x) + float(np.dot(model.weights[3:], toxicity.extras(kinds, times, len(t.split()))))
+        assert math.isclose(got[i]["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-9) and got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+
+
 def test_toxicity_of_odd_texts(spark, odd, nothing):
     labels = spark.createDataFrame([(4, 0), (5, 0)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
