@@ -1,10 +1,12 @@
 """Quality rules: base counts and robust multivariate outliers, in DataFrame expressions only.
 
 Four ratios of a text, transformed so that clean texts of any length look alike, form a vector.  For every language and
-source the minimum covariance determinant estimate is found by concentration steps: from medians and median deviations
-on, the 75 % of rows with the smallest Mahalanobis distance give the next mean and covariance, four times.  A row is
-rejected if its squared distance exceeds the limit.  A floor under the variances keeps groups without spread regular.
-Quantiles are taken of values on a fixed grid, so their state is bounded and does not depend on how rows are spread.
+source the minimum covariance determinant estimate is found by concentration steps from two starts: medians with median
+deviations, and the classical mean and covariance.  Each step takes the 75 % of rows with the smallest Mahalanobis distance
+for the next mean and covariance, until the determinants stay; the start with the least determinant is the group's.  A row
+is rejected if its squared distance exceeds a quantile of chi-square.  A floor under the variances keeps groups without
+spread regular.  Quantiles are taken of values on a fixed grid, so their state is bounded and does not depend on how rows
+are spread.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ GAP = r"[\x20\x09-\x0D]"
 FEATURES = ("f_length", "f_symbols", "f_lines", "f_repeats")
 #: Standard deviations that any group has at least, by feature.
 FLOORS = (0.08, 0.06, 0.08, 0.10)
-SHARE, STEPS, SMALLEST_GROUP, SALTS = 0.75, 4, 50, 64
-#: Squared distance over which a row is an outlier, and the median of chi-square with four degrees of freedom.
+SHARE, MOST_STEPS, SMALLEST_GROUP, SALTS = 0.75, 12, 50, 64
+#: Squared distance over which a row is an outlier: 1 - 5e-6 quantile of chi-square with four degrees of freedom; and its median.
 LIMIT, MEDIAN = 30.0, 3.357
+#: Up to so many groups the estimates go to the rows by broadcast, beyond that by a salted join.
+FEW_GROUPS = 5000
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -86,8 +90,14 @@ def squared_distance(x: list[Column], mean: list[Column], low: dict[tuple[int, i
     return sum((v * v for v in y), F.lit(0.0))
 
 
-def per_group(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows with what table has of their group.  Rows carry a salt and table has a copy for each, so a hot group is spread."""
+def per_group(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    """rows with what table has of their group.
+
+    few: a group has one row in table and there are at most 2 * FEW_GROUPS.  Else rows carry a salt and table has a copy for
+    each, so a hot group is spread.
+    """
+    if few:
+        return rows.join(F.broadcast(table), "group")
     return rows.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), ["group", "salt"])
 
 
@@ -96,7 +106,7 @@ def on_grid(value: Column, steps: int) -> Column:
 
 
 def estimates(rows: DataFrame, near: Column) -> DataFrame:
-    """By group: mean m0.. and lower Cholesky factor l00.. of the rows that are near."""
+    """By group: mean m0.. and lower Cholesky factor l00.. of the rows that are near, and half the logarithm of its determinant."""
     k = len(FEATURES)
     sums = [F.avg(F.when(near, F.col(f))).alias(f"m{i}") for i, f in enumerate(FEATURES)]
     sums += [F.avg(F.when(near, F.col(FEATURES[i]) * F.col(FEATURES[j]))).alias(f"s{i}{j}") for i in range(k) for j in range(i + 1)]
@@ -106,38 +116,59 @@ def estimates(rows: DataFrame, near: Column) -> DataFrame:
             cov = F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
             rest = cov - sum((F.col(f"l{i}{q}") * F.col(f"l{j}{q}") for q in range(j)), F.lit(0.0))
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("group", *(f"m{i}" for i in range(k)), *(f"l{i}{j}" for i in range(k) for j in range(i + 1)))
+    determinant = sum((F.log(F.col(f"l{i}{i}")) for i in range(k)), F.lit(0.0))
+    return out.select("group", determinant.alias("determinant"), *(f"m{i}" for i in range(k)), *(f"l{i}{j}" for i in range(k) for j in range(i + 1)))
 
 
-def distances(rows: DataFrame, fitted: DataFrame) -> DataFrame:
+def distances(rows: DataFrame, fitted: DataFrame, few: bool) -> DataFrame:
     """rows with d2, the squared distance to its group's estimate."""
     k = len(FEATURES)
-    joined = per_group(rows, fitted)
+    joined = per_group(rows, fitted, few)
     d2 = squared_distance([F.col(f) for f in FEATURES], [F.col(f"m{i}") for i in range(k)], {(i, j): F.col(f"l{i}{j}") for i in range(k) for j in range(i + 1)})
     return joined.withColumn("d2", d2).select(*rows.columns, "d2")
 
 
-def cut_at(rows: DataFrame, share: float) -> DataFrame:
+def cut_at(rows: DataFrame, share: float, few: bool) -> DataFrame:
     """rows with near: whether d2 is within that share of its group's smallest."""
     cut = rows.groupBy("group").agg(F.percentile(on_grid(F.log(F.col("d2") + 1e-6), 64), F.lit(share)).alias("cut"))
-    return per_group(rows, cut).withColumn("near", on_grid(F.log(F.col("d2") + 1e-6), 64) <= F.col("cut"))
+    return per_group(rows, cut, few).withColumn("near", on_grid(F.log(F.col("d2") + 1e-6), 64) <= F.col("cut"))
 
 
-def outliers(stats: DataFrame, limit: float = LIMIT, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+def by_medians(stats: DataFrame, few: bool) -> DataFrame:
+    """stats with d2, the squared distance from the medians in median deviations."""
+    medians = stats.groupBy("group").agg(*(F.percentile(on_grid(F.col(f), 1024), F.lit(0.5)).alias(f"c{i}") for i, f in enumerate(FEATURES)))
+    centred = per_group(stats, medians, few)
+    spread = centred.groupBy("group").agg(*(F.percentile(F.abs(on_grid(F.col(f), 1024) - F.col(f"c{i}")).cast("int"), F.lit(0.5)).alias(f"v{i}") for i, f in enumerate(FEATURES)))
+    d2 = sum((F.pow((F.col(f) - F.col(f"c{i}") / 1024) / F.greatest(F.col(f"v{i}") * 1.4826 / 1024, F.lit(FLOORS[i])), 2) for i, f in enumerate(FEATURES)), F.lit(0.0))
+    return per_group(centred, spread, few).withColumn("d2", d2).select(*stats.columns, "d2")
+
+
+def least_determinant(stats: DataFrame, share: float, most_steps: int, few: bool) -> DataFrame:
+    """The estimate of each group, from the start whose determinant ends lowest."""
+    slim = stats.select("group", "salt", *FEATURES)
+    started = lambda rows, k: rows.withColumn("group", F.concat("group", F.lit(f"\x1e{k}")))
+    twice = started(slim, 0).unionByName(started(slim, 1))
+    classical = estimates(slim, F.lit(True))
+    rows, before = started(by_medians(slim, few), 0).unionByName(started(distances(slim, classical, few), 1)), None
+    for _ in range(most_steps):
+        fitted = settle(estimates(near := cut_at(rows, share, few), near["near"]))
+        now = fitted.agg(F.sum("determinant")).first()[0]
+        if now is None or before is not None and abs(before - now) < 1e-6:
+            break
+        before, rows = now, distances(twice, fitted, few)
+    base = F.substring_index("group", "\x1e", 1)
+    best = fitted.groupBy(base.alias("base")).agg(F.min(F.struct("determinant", F.struct(*(c for c in fitted.columns if c not in ("group", "determinant"))).alias("e"))).alias("b"))
+    return settle(best.select(F.col("base").alias("group"), "b.e.*"))
+
+
+def outliers(stats: DataFrame, limit: float = LIMIT, share: float = SHARE, most_steps: int = MOST_STEPS) -> DataFrame:
     """Rows (group and the features, other columns stay) with d2 and outlier."""
     if "salt" not in stats.columns:
         stats = stats.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int"))
-    medians = stats.groupBy("group").agg(*(F.percentile(on_grid(F.col(f), 1024), F.lit(0.5)).alias(f"c{i}") for i, f in enumerate(FEATURES)))
-    centred = per_group(stats, medians)
-    spread = centred.groupBy("group").agg(*(F.percentile(F.abs(on_grid(F.col(f), 1024) - F.col(f"c{i}")).cast("int"), F.lit(0.5)).alias(f"v{i}") for i, f in enumerate(FEATURES)))
-    start = sum((F.pow((F.col(f) - F.col(f"c{i}") / 1024) / F.greatest(F.col(f"v{i}") * 1.4826 / 1024, F.lit(FLOORS[i])), 2) for i, f in enumerate(FEATURES)), F.lit(0.0))
-    rows = per_group(centred, spread).withColumn("d2", start).select(*stats.columns, "d2")
-    for _ in range(steps):
-        near = cut_at(rows, share)
-        fitted = settle(estimates(near, F.col("near")))
-        rows = distances(stats, fitted)
+    few = stats.select("group").distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    rows = distances(stats, least_determinant(stats, share, most_steps, few), few)
     scale = rows.groupBy("group").agg(F.greatest(F.exp(F.percentile(on_grid(F.log(F.col("d2") + 1e-6), 64), F.lit(0.5)) / 64) / MEDIAN, F.lit(1.0)).alias("scale"))
-    return per_group(rows, scale).withColumn("d2", F.col("d2") / F.col("scale")).withColumn("outlier", F.col("d2") > limit).drop("scale")
+    return per_group(rows, scale, few).withColumn("d2", F.col("d2") / F.col("scale")).withColumn("outlier", F.col("d2") > limit).drop("scale")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limit: float = LIMIT) -> DataFrame:

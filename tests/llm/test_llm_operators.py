@@ -408,22 +408,32 @@ def test_repeated_windows(spark, words):
     assert row["n_repeat_words"] == naive_statistics(" ".join(words))[4]
 
 
-def naive_mcd(x, share=quality_rules.SHARE, steps=quality_rules.STEPS):
-    """The same concentration steps with numpy."""
+def naive_mcd(x, share=quality_rules.SHARE, most_steps=quality_rules.MOST_STEPS):
+    """Squared distances by the least determinant of two starts, each by plain concentration steps."""
     floor = np.array(quality_rules.FLOORS)
-    quantile = lambda v, q: np.quantile(v, q)
-    grid = np.floor(x * 1024 + 0.5)
-    centre = np.median(grid, axis=0)
-    spread = np.median(np.abs(grid - centre).astype(int), axis=0)
-    d2 = (((x - centre / 1024) / np.maximum(spread * 1.4826 / 1024, floor)) ** 2).sum(axis=1)
-    for _ in range(steps):
-        logd = np.floor(np.log(d2 + 1e-6) * 64 + 0.5)
-        near = x[logd <= quantile(logd, share)]
-        mean = near.mean(axis=0)
-        cov = (near.T @ near) / len(near) - np.outer(mean, mean) + np.diag(floor**2)
-        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    scale = max(np.exp(quantile(np.floor(np.log(d2 + 1e-6) * 64 + 0.5), 0.5) / 64) / quality_rules.MEDIAN, 1)
-    return d2 / scale
+    grid = lambda v, k: np.floor(v * k + 0.5)
+    quantile = lambda v, q: np.percentile(v, 100 * q)
+
+    def estimate(rows):
+        mean, cov = rows.mean(axis=0), np.cov(rows.T, bias=True) + np.diag(floor**2)
+        return mean, cov
+
+    def distance(e):
+        return np.einsum("ij,jk,ik->i", x - e[0], np.linalg.inv(e[1]), x - e[0])
+
+    centre = np.array([quantile(grid(c, 1024), 0.5) for c in x.T])
+    spread = np.array([quantile(np.trunc(np.abs(grid(c, 1024) - m)), 0.5) for c, m in zip(x.T, centre, strict=True)])
+    starts = [(((x - centre / 1024) / np.maximum(spread * 1.4826 / 1024, floor)) ** 2).sum(axis=1), distance(estimate(x))]
+    best = None
+    for d2 in starts:
+        for _ in range(most_steps):
+            logs = grid(np.log(d2 + 1e-6), 64)
+            e = estimate(x[logs <= quantile(logs, share)])
+            d2 = distance(e)
+        if best is None or np.linalg.det(e[1]) < best[0]:
+            best = np.linalg.det(e[1]), e
+    d2 = distance(best[1])
+    return d2 / max(np.exp(quantile(grid(np.log(d2 + 1e-6), 64), 0.5) / 64) / quality_rules.MEDIAN, 1)
 
 
 def test_distances_equal_plain_estimates(spark):
