@@ -31,24 +31,39 @@ BLOCKS = ("golay", "golay")
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a whole text; zero if it has no word."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes of the same things: a fixed one-to-one mix of each hash (constants of the splitmix64 generator)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def signs(text: str | None, shingle: int, n: int) -> list[int]:
+    """n unsigned 64-bit SimHashes of a whole text, each from other hashes of its shingles; zeros if it has no word."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: exactly A-Z, and exactly [\x20\x09-\x0D]
     if not words:
-        return 0
+        return [0] * n
     line, digest, width = b" ".join(words), xxhash.xxh64_intdigest, min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     starts, ends = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    votes = np.zeros(64, np.int64)
+    votes = np.zeros((n, 64), np.int64)
     for at in range(0, len(starts), CHUNK):
         h = np.array([digest(line[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for k in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-            votes += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
-    return sum(1 << int(i) for i in np.flatnonzero(2 * votes > len(starts)))
+        for k in range(n):
+            h = mixed(h) if k else h
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for i in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+                votes[k] += bits[i : i + 255].sum(axis=0, dtype=np.uint8)
+    return [sum(1 << int(i) for i in np.flatnonzero(2 * v > len(starts))) for v in votes]
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a whole text; zero if it has no word."""
+    return signs(text, shingle, 1)[0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,17 +121,18 @@ def anchors(fps: np.ndarray, blocks: tuple[str, ...], threshold: int) -> tuple[n
     return index, anchor
 
 
-def anchored(fps: DataFrame, blocks: tuple[str, ...], threshold: int) -> DataFrame:
-    """(anchor, fp) rows of distinct fingerprints."""
+def anchored(fps: DataFrame, blocks: tuple[str, ...], threshold: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(anchor, fp, more...) rows of distinct fingerprints; more are columns of longs that go along."""
+    names = ["fp", *more]
 
     def run(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at in range(0, len(fp), 2048):
-                index, anchor = anchors(fp[at : at + 2048], blocks, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[at : at + 2048][index])], ["anchor", "fp"])
+            kept = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            for at in range(0, batch.num_rows, 2048):
+                index, anchor = anchors(kept[0][at : at + 2048], blocks, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *(pa.array(c[at : at + 2048][index]) for c in kept)], ["anchor", *names])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp long")
+    return fps.select(*names).mapInArrow(run, "anchor long, " + ", ".join(f"{c} long" for c in names))
 
 
 def links(fps: DataFrame, threshold: int = 2, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
@@ -153,45 +169,51 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[i : i + width])) for i in range(len(words) - width + 1)] if words else [], np.uint32)).view(np.int32)
 
 
-def to_leaders(around: DataFrame, within: int) -> DataFrame:
+def to_leaders(around: DataFrame, within: int, in_all: int) -> DataFrame:
     """(a, b): each fingerprint b of an anchor with the first a of that anchor that is at most within bits away, if any is.
 
+    around has anchor, fp and further words of signs: pairs that differ in more than in_all bits over all words are left out.
     Fingerprints stand in the order of a hash.  Those that are near none before them are the anchor's leaders; only they are kept in
     memory, and they are more than within bits apart, so there are few of them however large the anchor.
     """
 
     def run(batches):
-        anchor, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        anchor, words = np.zeros(0, np.int64), np.zeros((0, len(more) + 1), np.uint64)
         for batch in batches:
             anchor = np.concatenate([anchor, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            words = np.concatenate([words, np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[1:]], axis=1)])
             found, leads = [], []
             left = np.arange(len(anchor))
             while len(left):  # each turn: the first fingerprint of every anchor that has some left leads those near it
                 first = np.flatnonzero(np.append(True, anchor[left][1:] != anchor[left][:-1]))
                 leads.append(left[first])
                 lead = np.repeat(left[first], np.diff(np.append(first, len(left))))
-                near = np.bitwise_count(fp[left] ^ fp[lead]) <= within
-                found.append(np.stack([fp[lead[near & (lead != left)]], fp[left[near & (lead != left)]]], axis=1))
+                bits = np.bitwise_count(words[left] ^ words[lead])
+                near = bits[:, 0] <= within
+                told = near & (lead != left) & (bits.sum(axis=1) <= in_all)
+                found.append(np.stack([words[lead[told], 0], words[left[told], 0]], axis=1))
                 left = left[~near]
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["a", "b"])
             leads = np.sort(np.concatenate(leads)) if leads else np.zeros(0, np.int64)
             leads = leads[anchor[leads] == anchor[-1]] if len(leads) else leads  # the last anchor may go on
-            anchor, fp = anchor[leads], fp[leads]
+            anchor, words = anchor[leads], words[leads]
 
-    return around.repartition("anchor").sortWithinPartitions("anchor", F.xxhash64("fp")).mapInArrow(run, "a long, b long")
+    more = [c for c in around.columns if c not in ("anchor", "fp")]
+    return around.select("anchor", "fp", *more).repartition("anchor").sortWithinPartitions("anchor", F.xxhash64("fp")).mapInArrow(run, "a long, b long")
 
 
 def rotated(fps: DataFrame, by: int) -> DataFrame:
-    return fps.select(F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by)).alias("fp")) if by else fps.select("fp")
+    return fps.withColumn("fp", F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by))) if by else fps
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, reach: int = 2, within: int = 16, turns: tuple[int, ...] = (0, 18), blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, reach: int = 2, within: int = 16, in_all: int = 44, turns: tuple[int, ...] = (0, 18), blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
     """docs with one row of each group of near copies: texts that share words-word shingles at the Jaccard similarity, over any path.
 
     Candidates meet at an anchor within radius plus reach of both, once for each turn of the bits; all that differ in
-    2 * reach bits of a turn's blocks do, others with a chance that falls with the bits.  Every link is checked on whole texts.
+    2 * reach bits of a turn's blocks do, others with a chance that falls with the bits.  Candidates are at most within bits apart
+    in the fingerprint and in_all bits in it and two more words of signs together (texts alike by 0.8 differ in 29 of those 192 bits
+    on average, with a standard deviation of 5).  Every link is then checked on whole texts.
     The row that stays has the least id of its group, null ids last, then the least text hash.  Copies of a text and repeated
     rows are one group.  Texts without a word are one group, null among them.  All columns and clashing names stay.
     """
@@ -199,16 +221,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["id", "th", "fp"])
+            fps = np.array([signs(t, words, 3) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(fps[:, k].copy()) for k in range(3))], ["id", "th", "fp", "s1", "s2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    marked = settle(own.select(F.col(id_col).alias("id"), F.col("__th").alias("th"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, th long, fp long"))
+    marked = settle(own.select(F.col(id_col).alias("id"), F.col("__th").alias("th"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, th long, fp long, s1 long, s2 long"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
-    texts = settle(marked.groupBy("th", "fp").agg(least.alias("least")))
-    firsts = settle(texts.groupBy("fp").agg(F.min("th").alias("th")))
-    around = [anchored(rotated(firsts, by), blocks, reach).select((F.col("anchor") + (k << 48)).alias("anchor"), "fp") for k, by in enumerate(turns)]
-    found = [to_leaders(x, within) for x in around]
+    texts = settle(marked.groupBy("th", "fp", "s1", "s2").agg(least.alias("least")))
+    firsts = settle(texts.groupBy("fp").agg(F.min(F.struct("th", "s1", "s2")).alias("m")).select("fp", "m.*"))
+    around = [anchored(rotated(firsts, by), blocks, reach, ("s1", "s2")) for by in turns]
+    found = [to_leaders(x, within, in_all) for x in around]
     back = lambda c, by: F.shiftrightunsigned(c, by).bitwiseOR(F.shiftleft(c, 64 - by)).alias(c) if by else F.col(c)
     pairs = found[0]
     for by, more in zip(turns[1:], found[1:], strict=True):
@@ -216,7 +238,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = pairs.distinct()
     for end in "ab":
         pairs = pairs.join(firsts.select(F.col("fp").alias(end), F.col("th").alias(f"t{end}")).hint("merge"), end)
-    same = texts.join(firsts.withColumnRenamed("th", "ta").hint("merge"), "fp").where("th <> ta").select("ta", F.col("th").alias("tb"))
+    same = texts.join(firsts.select("fp", F.col("th").alias("ta")).hint("merge"), "fp").where("th <> ta").select("ta", F.col("th").alias("tb"))
     pairs = settle(pairs.select("ta", "tb").unionByName(same))
     wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("__th")).distinct()
 
