@@ -274,6 +274,23 @@ def test_fingerprints(text):
     assert simhash.fingerprint(text) == naive_fingerprint(text)
 
 
+def test_further_signs():
+    """The first word is the fingerprint, the others tell as much without repeating it, and texts alike by 0.8 stay within the limit."""
+    rng = np.random.default_rng(9)
+    apart = []
+    for _ in range(200):
+        base = [f"w{k}" for k in rng.integers(0, 10**6, 124)]
+        copy = base[:100] + [f"v{k}" for k in rng.integers(0, 10**6, 10)] + base[110:]  # 106 of 134 shingles in common
+        a, b = (simhash.signs(" ".join(t), 5, 3) for t in (base, copy))
+        assert a[0] == simhash.fingerprint(" ".join(base), 5) and len({*a}) == 3
+        apart.append([(x ^ y).bit_count() for x, y in zip(a, b, strict=True)])
+    apart = np.array(apart)
+    assert abs(apart.sum(axis=1).mean() - 29) < 3
+    assert (apart.sum(axis=1) > 44).mean() <= 0.02
+    assert abs(np.corrcoef(apart.T)[np.triu_indices(3, 1)]).max() < 0.3
+    assert simhash.signs(None, 5, 3) == simhash.signs(" \n", 5, 3) == [0, 0, 0]
+
+
 @pytest.mark.parametrize("blocks", [("golay",), ("golay", "golay"), ("golay", "golay", "hamming")])
 def test_near_fingerprints_meet_at_an_anchor(blocks):
     rng = np.random.default_rng(3)
