@@ -2,75 +2,28 @@
 
 Documents: id, path, name, body and optionally modified_at, mtime_us, embed_model.  Queries: query_id, query and, from
 parse_queries, tokens and half_life.  The queries are the small side: their number is checked before they are broadcast.
-A word matches if it is a substring of the squashed name or of the lower-cased body.  Documents are searched where they
-lie, for all words at once; only matches leave a task.
+A word matches if it is a substring of the squashed name or of the lower-cased body.  Matches come from the tables of a word
+index, which is kept beside the documents; texts are read for the excerpts of the last rows only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.text import SEPARATORS, S, is_under, let, squash, stem, strip
 from docloom.lexicon import BODY_WEIGHT, COMBINED_CUT, EXTENSIONS, HALF_LIFE, NAME_THRESHOLD, RELATIVE_CUT, VECTOR_FLOOR, WEIGHTS, WEIGHTS_WITH_TIME
-from docloom.session import settle
-
-#: Distinct query words, and queries, that are broadcast at most; beyond that the caller splits the queries.
-MOST_WORDS = 20_000
-
-
-def bounded(small: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """small, if it has no more rows than most."""
-    if (n := small.limit(most + 1).count()) > most:
-        raise ValueError(f"over {n - 1} rows on the query side: split the queries into batches")
-    return small
-
-
-def checked(small: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """small, marked for broadcast, if it has no more rows than most."""
-    return F.broadcast(bounded(small, most))
+from docloom.operators.postings import WordIndex
+from docloom.session import bounded, checked, scratch, settle
 
-
-def lexical_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def lexical_matches(queries: DataFrame, docs: DataFrame, index: WordIndex | None = None) -> DataFrame:
     """(token, id, in_name) for every distinct query word and every document that holds it.
 
-    All words are looked for in one pass over a text, by an automaton; Spark has no such expression.  Where its library is
-    missing, a nested loop join does the same.
+    The index answers without the texts.  Without one it is built from docs(id, name, body) for this search alone.
     """
-    words = queries.select(F.explode("tokens").alias("token")).distinct()
-    flat = docs.select("id", squash(F.col("name")).alias("flat"), F.lower(F.col("body")).alias("low"))
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        hit = F.contains("flat", F.col("token")) | F.contains("low", F.col("token"))
-        return flat.join(checked(words), hit).select("token", "id", F.contains("flat", F.col("token")).alias("in_name"))
-    tokens = sorted(r[0] for r in bounded(words).collect())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for k, token in enumerate(tokens):
-            automaton.add_word(token, k)
-        automaton.make_automaton()
-        names = pa.array(tokens, pa.string())
-        for batch in batches:
-            for at in range(0, batch.num_rows if tokens else 0, 1000):
-                part = batch.slice(at, 1000)
-                rows, found, named = [], [], []
-                for k, (name, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    inside = {t for _, t in automaton.iter(name)} if name else set()
-                    for t in inside.union({t for _, t in automaton.iter(text)} if text else ()):
-                        rows.append(k)
-                        found.append(t)
-                        named.append(t in inside)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(found, pa.int64())), part.column(0).take(pa.array(rows, pa.int64())), pa.array(named, pa.bool_())], ["token", "id", "in_name"])
-
-    return flat.mapInArrow(run, f"token string, id {docs.schema['id'].dataType.simpleString()}, in_name boolean")
+    index = WordIndex(docs.sparkSession, scratch(docs.sparkSession)).build(docs.select("id", "name", "body")) if index is None else index
+    return index.matches(queries.select(F.explode("tokens").alias("token")))
 
 
 def token_idf(matches: DataFrame, docs: DataFrame) -> DataFrame:
@@ -95,24 +48,23 @@ def name_score(name: Column, query: Column) -> Column:
     return name_share(*name_parts(name), squash(query))
 
 
-def keyword_scores(queries: DataFrame, docs: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+def keyword_scores(queries: DataFrame, docs: DataFrame, matches: DataFrame | None = None, index: WordIndex | None = None) -> DataFrame:
     """(query_id, id, keyword): weighted share of the query's words in the name (1) or only in the body (0.7).
 
     A name that the query spells out in part raises it to that part, from one half on.  Only scores over 0.
     """
-    # the texts are read once: weights and scores are formed from the matches
-    matches = settle(lexical_matches(queries, docs)) if matches is None else matches
+    queries = settle(queries.select("query_id", "query", "tokens"))
+    matches = settle(lexical_matches(queries, docs, index)) if matches is None else matches
     total = docs.agg(F.count("*").alias("n"))
     # a word that no document holds still counts in the sum; there are at most MOST_WORDS different ones
-    words = settle(queries.select("query_id", F.explode("tokens").alias("token")))
+    words = queries.select("query_id", F.explode("tokens").alias("token"))
     df = matches.groupBy("token").agg(F.count("*").alias("df"))
     weights = words.select("token").distinct().join(df.hint("merge"), "token", "left").join(F.broadcast(total)).select("token", (F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1.0).alias("weight"))
-    weighed = words.join(F.broadcast(settle(weights)), "token")
-    sums = weighed.groupBy("query_id").agg(F.sum("weight").alias("weight_sum"))
-    # the queries of each word in one row, so a match meets one row; matches stay where they are, and so do their sums
-    asked = weighed.join(sums.hint("merge"), "query_id").groupBy("token").agg(F.collect_list(F.struct("query_id", (F.col("weight") / F.col("weight_sum")).alias("w"))).alias("asked"))
-    asked = F.broadcast(settle(asked))
-    met = matches.join(asked, "token").select("id", F.when(F.col("in_name"), 1.0).otherwise(BODY_WEIGHT).alias("by"), F.explode("asked").alias("a"))
+    # each query's words and weights in one row, then the queries of each word in one row, so that a match meets one row;
+    # matches stay where they are, and so do their sums
+    weighed = words.join(F.broadcast(weights), "token").groupBy("query_id").agg(F.collect_list(F.struct("token", "weight")).alias("t"), F.sum("weight").alias("weight_sum"))
+    asked = weighed.select("query_id", "weight_sum", F.explode("t").alias("t")).groupBy("t.token").agg(F.collect_list(F.struct("query_id", (F.col("t.weight") / F.col("weight_sum")).alias("w"))).alias("asked"))
+    met = matches.join(F.broadcast(asked), "token").select("id", F.when(F.col("in_name"), 1.0).otherwise(BODY_WEIGHT).alias("by"), F.explode("asked").alias("a"))
     scored = met.groupBy("a.query_id", "id").agg(F.sum(F.col("a.w") * F.col("by")).alias("part"))
     pasted = named(queries, docs).where(F.col("part") >= NAME_THRESHOLD)
     return scored.unionByName(pasted).groupBy("query_id", "id").agg(F.least(F.lit(1.0), F.max("part")).alias("keyword")).where("keyword > 0")
@@ -208,14 +160,14 @@ def in_scope(rows: DataFrame, root: str = "") -> DataFrame:
     return rows.where(is_under(F.col("path"), F.lit(root))) if root else rows
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, now: Column, query_vectors: DataFrame | None = None, doc_vectors: DataFrame | None = None, root: str = "", top_k: int = 20) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame, now: Column, query_vectors: DataFrame | None = None, doc_vectors: DataFrame | None = None, root: str = "", top_k: int = 20, index: WordIndex | None = None) -> DataFrame:
     """(query_id, rank, id, path, score, matched_text): ranks from 1, best first, ties by path.
 
     Without vectors key words alone answer.  Texts are left behind until the last rows are known.  Documents whose kind
     or folder is out of scope take no place but count in word weights.
     """
-    spark = docs.sparkSession
-    keyword = keyword_scores(queries, docs)
+    spark, queries = docs.sparkSession, settle(bounded(queries.select("query_id", "query", "tokens", "half_life")))
+    keyword = keyword_scores(queries, docs, index=index)
     if query_vectors is None or doc_vectors is None:
         vector = spark.createDataFrame([], "query_id long, id long, vector double")
     else:
@@ -224,7 +176,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, now: Column, query_vector
     rows = first_gate(candidates(keyword, vector))
     flat_stem, words = name_parts(F.col("name"))
     slim = in_scope(docs.drop("body"), root).withColumns({"flat_stem": flat_stem, "words": words})
-    rows = rows.join(slim.hint("merge"), "id").join(checked(queries.select("query_id", squash(F.col("query")).alias("flat_query"), "half_life")), "query_id")
+    rows = rows.join(slim.hint("merge"), "id").join(F.broadcast(queries.select("query_id", squash(F.col("query")).alias("flat_query"), "half_life")), "query_id")
     modified = F.coalesce(F.col("modified_at"), F.timestamp_micros("mtime_us")) if "mtime_us" in docs.columns else F.col("modified_at")
     fresh = recency(modified, now, F.coalesce("half_life", F.lit(HALF_LIFE)))
     rows = rows.withColumn("score", combine(F.col("vector"), F.col("keyword"), fresh, F.col("half_life").isNotNull(), name_share(F.col("flat_stem"), F.col("words"), F.col("flat_query"))))
@@ -233,17 +185,26 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, now: Column, query_vector
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
     top = rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top_k)
     top = top.select("query_id", "rank", "id", "path", "name", F.least(F.lit(1.0), "score").alias("score"))
-    # at most top_k rows for each of the counted queries: they go to the texts, and no text is shuffled
-    with_text = docs.select("id", "body").join(F.broadcast(top), "id").join(checked(queries.select("query_id", "tokens")), "query_id")
+    with_text = beside_texts(top, docs.select("id", "body"), queries.count() * top_k).join(F.broadcast(queries.select("query_id", "tokens")), "query_id")
     return with_text.select("query_id", "rank", "id", "path", "score", excerpt(F.col("body"), F.col("tokens"), F.col("name")).alias("matched_text"))
 
 
-def keyword_topk(queries: DataFrame, docs: DataFrame, top_k: int = 20) -> DataFrame:
+#: Result rows that go to the texts by broadcast at most; beyond that texts and rows meet by a shuffle of both.
+MOST_TOP = 200_000
+
+
+def beside_texts(top: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """top, which has at most that many rows, with the texts of its ids; no text is shuffled for a few rows."""
+    return texts.join(F.broadcast(top) if most <= MOST_TOP else top.hint("merge"), "id")
+
+
+def keyword_topk(queries: DataFrame, docs: DataFrame, top_k: int = 20, index: WordIndex | None = None) -> DataFrame:
     """(query_id, rank, id, keyword, matched_text): the key word side alone."""
-    scores = keyword_scores(queries, docs)
+    queries = settle(bounded(queries.select("query_id", "query", "tokens")))
+    scores = keyword_scores(queries, docs, index=index)
     place = Window.partitionBy("query_id").orderBy(F.desc(F.round("keyword", 9)), "id")
     top = scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top_k)
-    out = docs.select("id", "name", "body").join(F.broadcast(top), "id").join(checked(queries.select("query_id", "tokens")), "query_id")
+    out = beside_texts(top, docs.select("id", "name", "body"), queries.count() * top_k).join(F.broadcast(queries.select("query_id", "tokens")), "query_id")
     return out.select("query_id", "rank", "id", "keyword", excerpt(F.col("body"), F.col("tokens"), F.col("name")).alias("matched_text"))
 
 

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import shared_folder
+from docloom.session import scratch as scratch
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files: id, name, path, body, mtime_us, modified_at."""
     d = read(spark, sf_dir, "documents")
