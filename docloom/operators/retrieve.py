@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from docloom.functions.text import SEPARATORS, S, is_under, let, squash, stem, strip
 from docloom.lexicon import BODY_WEIGHT, COMBINED_CUT, EXTENSIONS, HALF_LIFE, NAME_THRESHOLD, RELATIVE_CUT, VECTOR_FLOOR, WEIGHTS, WEIGHTS_WITH_TIME
+from docloom.operators.nearest import clamped, nearest
 from docloom.operators.postings import WordIndex
 from docloom.session import bounded, checked, scratch, settle
 
@@ -93,19 +94,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topn(query_vectors: DataFrame, doc_vectors: DataFrame, n: Column | int = 50) -> DataFrame:
+def vector_topn(query_vectors: DataFrame, doc_vectors: DataFrame, n: int = 50) -> DataFrame:
     """(query_id, id, vector, place): exact nearest by cosine, n a query; vector is clamped to 0 to 1.
 
-    Vectors are unit rows: query_vectors(query_id, qv[, top_k]), doc_vectors(id, v).  Each task keeps its own n best of a
-    query before anything is shuffled.
+    Vectors are unit rows: query_vectors(query_id, qv), doc_vectors(id, v).
     """
-    n = F.lit(n) if isinstance(n, int) else n
-    pairs = doc_vectors.select("id", "v").join(checked(query_vectors))
-    scored = pairs.withColumn("cos", dot(F.col("qv"), F.col("v"))).drop("v", "qv")
-    order = [F.desc("cos"), F.asc("id")]
-    first = scored.withColumn("__t", F.spark_partition_id()).withColumn("__r", F.row_number().over(Window.partitionBy("query_id", "__t").orderBy(*order))).where(F.col("__r") <= n)
-    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= n)
-    return ranked.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("cos"))).alias("vector"), "place")
+    found = nearest(query_vectors.select(F.col("query_id").alias("id"), F.col("qv").alias("v")), doc_vectors.select(F.col("id").alias("eid"), F.col("v").alias("ev")), n)
+    return found.select(F.col("id").alias("query_id"), F.col("eid").alias("id"), clamped(F.col("sim")).alias("vector"), "place")
 
 
 def neighbours_wanted(top_k: Column) -> Column:
@@ -171,7 +166,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, now: Column, query_vector
     if query_vectors is None or doc_vectors is None:
         vector = spark.createDataFrame([], "query_id long, id long, vector double")
     else:
-        wanted = F.lit(min(max(top_k * 5, 50), 200))
+        wanted = min(max(top_k * 5, 50), 200)
         vector = vector_topn(query_vectors, doc_vectors, wanted).select("query_id", "id", "vector")
     rows = first_gate(candidates(keyword, vector))
     flat_stem, words = name_parts(F.col("name"))

@@ -1,7 +1,7 @@
 """Classification and example retrieval over vectors.
 
 Documents, examples and labels carry unit vectors as arrays.  Labels and queries are the small side, checked before they
-are broadcast; leave-one-out neighbours compare all with all in blocks.
+are broadcast; neighbours come from the module nearest.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.lexicon import CATEGORIES, EXAMPLE_THRESHOLD, LABEL_THRESHOLD, NEIGHBOURS
+from docloom.operators.nearest import BLOCK, nearest
 from docloom.operators.retrieve import checked, dot
 
 
@@ -32,67 +33,6 @@ def zero_shot(docs: DataFrame, labels: DataFrame, threshold: float = LABEL_THRES
     return best.select("id", F.when(near, F.col("label")).otherwise("etc").alias("category"), "confidence", F.when(near, "label_zeroshot").otherwise("etc_fallback").alias("method"))
 
 
-#: Examples whose vectors are sent to every task at most.  More are met block by block, this many at a time.
-BLOCK = 20_000
-
-
-def best_of(ids: np.ndarray, x: np.ndarray, eids: np.ndarray, y: np.ndarray, n: int, barred: np.ndarray | None = None) -> pd.DataFrame:
-    """(id, eid, sim): the n best of y for each row of x, ties by example id; eids ascend.  barred pairs do not count."""
-    out = [pd.DataFrame({"id": ids[:0], "eid": eids[:0], "sim": np.zeros(0)})]
-    for at in range(0, len(x) if len(y) else 0, 1024):
-        sims = x[at : at + 1024] @ y.T
-        if barred is not None:
-            sims[barred[at : at + 1024]] = -np.inf
-        keep = min(n, sims.shape[1])
-        floor = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1 : keep]  # sort only what can be among the best
-        row, col = np.nonzero((sims >= floor) & np.isfinite(sims))
-        sim = sims[row, col]
-        order = np.lexsort((col, -sim, row))
-        row, col, sim = row[order], col[order], sim[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col, sim = row[place < n], col[place < n], sim[place < n]
-        out.append(pd.DataFrame({"id": ids[at + row], "eid": eids[col], "sim": sim}))
-    return pd.concat(out)
-
-
-def matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 0))
-
-
-def nearest(docs: DataFrame, examples: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
-    """docs(id, v), examples(eid, ev, ...) to (id, eid, sim, place): the n nearest examples, ties by example id.
-
-    Up to a block of examples goes to every task, and documents are not moved at all.  More examples are cut into blocks;
-    documents are copied once a block, every block keeps its n best of each document, and those meet.
-    """
-    kinds = f"id {docs.schema['id'].dataType.simpleString()}, eid {examples.schema['eid'].dataType.simpleString()}, sim double"
-    count = examples.count()
-    if count <= block:
-        table = examples.select("eid", "ev").orderBy("eid").toPandas()
-        held = docs.sparkSession.sparkContext.broadcast((table["eid"].to_numpy(), matrix(table["ev"])))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield best_of(batch["id"].to_numpy(), matrix(batch["v"]), *held.value, n)
-
-        met = docs.select("id", "v").mapInPandas(run, kinds)
-    else:
-        parts = -(-count // block)
-        cut = examples.select("eid", "ev").withColumn("part", F.pmod(F.xxhash64("eid"), F.lit(parts)))
-        rows = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = docs.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(rows)).alias("slice")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        right = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-
-        def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            b = b.sort_values("eid")
-            return best_of(a["id"].to_numpy(), matrix(a["v"]), b["eid"].to_numpy(), matrix(b["ev"]), n) if len(a) else pd.DataFrame({"id": [], "eid": [], "sim": []})
-
-        met = left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInPandas(best, kinds)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "eid"))
-    return met.withColumn("place", place).where(F.col("place") <= n)
-
-
 def majority(votes: DataFrame, keys: list[str], label: str, place: str) -> DataFrame:
     """Most frequent label of each key; ties go to the label that comes first by place.  Also winner's votes and all votes."""
     counted = votes.groupBy(*keys, label).agg(F.count("*").alias("votes"), F.min(place).alias("__first"), F.max("sim").alias("best"))
@@ -102,7 +42,7 @@ def majority(votes: DataFrame, keys: list[str], label: str, place: str) -> DataF
 
 def user_knn_vote(docs: DataFrame, examples: DataFrame, k: int = NEIGHBOURS, threshold: float = EXAMPLE_THRESHOLD) -> DataFrame:
     """examples(eid, ev, category): the k nearest, of those the near and valid ones, their majority and its confidence."""
-    top = nearest(docs, examples, k).where(F.col("sim") >= threshold).join(examples.select("eid", "category"), "eid").where(F.col("category").isin(*CATEGORIES))
+    top = nearest(docs.select("id", "v"), examples, k).where(F.col("sim") >= threshold).join(examples.select("eid", "category").hint("merge"), "eid").where(F.col("category").isin(*CATEGORIES))
     won = majority(top, ["id"], "category", "place")
     return won.select("id", "category", F.least(F.lit(1.0), F.col("best") * F.col("votes") / F.col("of")).alias("confidence"), F.lit("user_knn").alias("method"))
 
@@ -111,7 +51,7 @@ def classify_cascade(docs: DataFrame, labels: DataFrame, examples: DataFrame) ->
     """The user's examples decide if any is near; else label definitions; else etc."""
     first = user_knn_vote(docs, examples).select("id", F.struct("category", "confidence", "method").alias("a"))
     second = zero_shot(docs, labels).select("id", F.struct("category", "confidence", "method").alias("b"))
-    return second.join(first, "id", "left").select("id", F.coalesce("a", "b").alias("c")).select("id", "c.*")
+    return second.join(first.hint("merge"), "id", "left").select("id", F.coalesce("a", "b").alias("c")).select("id", "c.*")
 
 
 def retrieve_context(docs: DataFrame, examples: DataFrame, k: int = NEIGHBOURS, most_examples: int = 3) -> DataFrame:
@@ -120,40 +60,22 @@ def retrieve_context(docs: DataFrame, examples: DataFrame, k: int = NEIGHBOURS,
     Neighbours of the same name and of unknown category are left out after the lookup, so fewer may remain.
     """
     want = min(max(most_examples, k) * 2, 10)
-    top = nearest(docs, examples, want).join(examples.drop("ev"), "eid").join(docs.select("id", F.col("name").alias("own")), "id")
+    top = nearest(docs.select("id", "v"), examples, want).join(examples.drop("ev").hint("merge"), "eid").join(docs.select("id", F.col("name").alias("own")).hint("merge"), "id")
     valid = top.where((F.col("name") != F.col("own")) & F.col("category").isin(*CATEGORIES))
     valid = valid.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("place")))
     won = majority(valid.where(F.col("n") <= k), ["id"], "category", "n").select("id", F.col("category").alias("knn_category"), (F.col("votes") / F.col("of")).alias("vote_ratio"))
     example = F.struct("n", F.coalesce("ideal_filename", "name").alias("file_name"), "category", F.substring("document", 1, 2000).alias("first_page_text"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "sim")).alias("score"))
     shown = valid.where(F.col("n") <= most_examples).groupBy("id").agg(F.array_sort(F.collect_list(example)).alias("e"))
-    return shown.join(won, "id", "left").select("id", F.transform("e", lambda x: x.dropFields("n")).alias("examples"), "knn_category", "vote_ratio")
+    return shown.join(won.hint("merge"), "id", "left").select("id", F.transform("e", lambda x: x.dropFields("n")).alias("examples"), "knn_category", "vote_ratio")
 
 
 def knn_leave_one_out(vectors: DataFrame, ks: tuple[int, ...] = (1, 3, 5), block: int = BLOCK) -> DataFrame:
-    """vectors(id, topic, label, v) to (id, label, k, predicted): neighbours of the same topic do not count.
-
-    All against all, in blocks: the table is cut into blocks, each pair of blocks meets in one task, and every
-    block keeps its best few of each vector.
-    """
-    parts, most = -(-max(1, vectors.count()) // block), max(ks)
-    cut = vectors.select("id", "topic", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    rows = max(parts, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    left = vectors.select("id", "topic", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rows)).alias("slice")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "eid": [], "sim": []})
-        b = b.sort_values("id")
-        barred = a["topic"].to_numpy()[:, None] == b["topic"].to_numpy()[None, :]
-        return best_of(a["id"].to_numpy(), matrix(a["v"]), b["id"].to_numpy(), matrix(b["v"]), most, barred)
-
-    met = left.groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInPandas(best, "id long, eid long, sim double")
-    top = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "eid"))).where(F.col("place") <= most)
-    top = top.join(vectors.select(F.col("id").alias("eid"), F.col("label").alias("elabel")), "eid")
+    """vectors(id, topic, label, v) to (id, label, k, predicted): neighbours of the same topic do not count."""
+    top = nearest(vectors.select("id", "topic", "v"), vectors.select(F.col("id").alias("eid"), "topic", F.col("v").alias("ev")), max(ks), block)
+    top = top.join(vectors.select(F.col("id").alias("eid"), F.col("label").alias("elabel")).hint("merge"), "eid")
     top = top.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where(F.col("place") <= F.col("k"))
     won = majority(top, ["id", "k"], "elabel", "place")
-    return vectors.select("id", "label").join(won, "id").select("id", "label", "k", F.col("elabel").alias("predicted"))
+    return vectors.select("id", "label").join(won.hint("merge"), "id").select("id", "label", "k", F.col("elabel").alias("predicted"))
 
 
 def hashed_embedding(texts: pd.Series, size: int = 64) -> pd.Series:
