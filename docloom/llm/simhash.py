@@ -9,8 +9,8 @@ the home of either is within radius plus threshold of the other, so the pair mee
 Fingerprints are made distinct first, so copies of a text cost one row however many there are.
 
 near_duplicates() links fingerprints.  one_of_each() thins a corpus by the similarity of word shingles instead: near copies in that
-sense differ in far more bits, so both sides go to the anchors around them, candidates are compared with the first
-fingerprints of their anchor only, and what they have in common is then counted exactly.
+sense mostly differ in far more bits than anchors can cover, so texts that share a band of minima of their shingles' hashes
+are candidates too, and what two texts have in common is then counted exactly.
 """
 
 from __future__ import annotations
@@ -160,104 +160,132 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs_fp.join(named.hint("merge"), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of a text's word shingles; a shorter text is one shingle, one without words has none."""
-    import xxhash
+#: Jaccard similarity of near copies.
+SIMILAR = 0.8
+#: Bands of minima that near copies are looked for by, and minima in each: two texts alike by 0.8 share no band once in 5,000 times.
+BANDS, MINIMA = 16, 4
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    width = min(width, len(words))
-    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[i : i + width])) for i in range(len(words) - width + 1)] if words else [], np.uint32)).view(np.int32)
+
+@lru_cache
+def multipliers(n: int) -> np.ndarray:
+    """n odd 64-bit numbers; times a hash, their upper halves are other hashes."""
+    return np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def to_leaders(around: DataFrame, within: int, in_all: int) -> DataFrame:
-    """(a, b): each fingerprint b of an anchor with the first a of that anchor that is at most within bits away, if any is.
+def sketch(text: str | None, width: int, bands: int = BANDS, minima: int = MINIMA) -> tuple[int, list[int], np.ndarray]:
+    """SimHash of a whole text, a signed key for each band, and the sorted distinct 32-bit hashes of its word shingles.
 
-    around has anchor, fp and further words of signs: pairs that differ in more than in_all bits over all words are left out.
-    Fingerprints stand in the order of a hash.  Those that are near none before them are the anchor's leaders; only they are kept in
-    memory, and they are more than within bits apart, so there are few of them however large the anchor.
+    A shorter text is one shingle.  A text without words has fingerprint zero, no hash, and keys that all such texts share.
     """
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    width = min(width, len(words))
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1 if words else np.zeros(0, np.int64)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if words else ends
+    n = len(words) - width + 1 if words else 0
+    h = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist() if n else (), strict=True)), np.uint64, n)
+    votes, least, by = np.zeros(64, np.int64), np.full(bands * minima, 1 << 32, np.uint64), multipliers(bands * minima)
+    for at in range(0, n, 4096):
+        part = h[at : at + 4096]
+        votes += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, ((part[:, None] * by) >> np.uint64(32)).min(axis=0))
+    keys = [digest(least[k * minima : (k + 1) * minima].tobytes(), k) for k in range(bands)]
+    fp = sum(1 << int(i) for i in np.flatnonzero(2 * votes > n))
+    return fp, np.array([fp, *keys], np.uint64).view(np.int64).tolist(), np.unique(h.astype(np.uint32)).view(np.int32)
+
+
+def sketches(texts: DataFrame, width: int) -> DataFrame:
+    """texts(id, th, text) to (id, th, fp, keys, s)."""
 
     def run(batches):
-        anchor, words = np.zeros(0, np.int64), np.zeros((0, len(more) + 1), np.uint64)
         for batch in batches:
-            anchor = np.concatenate([anchor, batch.column(0).to_numpy(zero_copy_only=False)])
-            words = np.concatenate([words, np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns[1:]], axis=1)])
-            found, leads = [], []
-            left = np.arange(len(anchor))
-            while len(left):  # each turn: the first fingerprint of every anchor that has some left leads those near it
-                first = np.flatnonzero(np.append(True, anchor[left][1:] != anchor[left][:-1]))
-                leads.append(left[first])
-                lead = np.repeat(left[first], np.diff(np.append(first, len(left))))
-                bits = np.bitwise_count(words[left] ^ words[lead])
-                near = bits[:, 0] <= within
-                told = near & (lead != left) & (bits.sum(axis=1) <= in_all)
-                found.append(np.stack([words[lead[told], 0], words[left[told], 0]], axis=1))
-                left = left[~near]
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["a", "b"])
-            leads = np.sort(np.concatenate(leads)) if leads else np.zeros(0, np.int64)
-            leads = leads[anchor[leads] == anchor[-1]] if len(leads) else leads  # the last anchor may go on
-            anchor, words = anchor[leads], words[leads]
-
-    more = [c for c in around.columns if c not in ("anchor", "fp")]
-    return around.select("anchor", "fp", *more).repartition("anchor").sortWithinPartitions("anchor", F.xxhash64("fp")).mapInArrow(run, "a long, b long")
-
-
-def rotated(fps: DataFrame, by: int) -> DataFrame:
-    return fps.withColumn("fp", F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", 64 - by))) if by else fps
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, reach: int = 2, within: int = 16, in_all: int = 44, turns: tuple[int, ...] = (0, 18), blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
-    """docs with one row of each group of near copies: texts that share words-word shingles at the Jaccard similarity, over any path.
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                made = [sketch(t, width) for t in part.column(2).to_pylist()]
+                columns = [pa.array([m[1][0] for m in made], pa.int64()), pa.array([m[1][1:] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "th", "fp", "keys", "s"])
 
-    Candidates meet at an anchor within radius plus reach of both, once for each turn of the bits; all that differ in
-    2 * reach bits of a turn's blocks do, others with a chance that falls with the bits.  Candidates are at most within bits apart
-    in the fingerprint and in_all bits in it and two more words of signs together (texts alike by 0.8 differ in 29 of those 192 bits
-    on average, with a standard deviation of 5).  Every link is then checked on whole texts.
-    The row that stays has the least id of its group, null ids last, then the least text hash.  Copies of a text and repeated
-    rows are one group.  Texts without a word are one group, null among them.  All columns and clashing names stay.
-    """
-    own = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, th long, fp long, keys array<long>, s array<int>")
 
-    def run(batches):
-        for batch in batches:
-            fps = np.array([signs(t, words, 3) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(fps[:, k].copy()) for k in range(3))], ["id", "th", "fp", "s1", "s2"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    marked = settle(own.select(F.col(id_col).alias("id"), F.col("__th").alias("th"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, th long, fp long, s1 long, s2 long"))
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
-    texts = settle(marked.groupBy("th", "fp", "s1", "s2").agg(least.alias("least")))
-    firsts = settle(texts.groupBy("fp").agg(F.min(F.struct("th", "s1", "s2")).alias("m")).select("fp", "m.*"))
-    around = [anchored(rotated(firsts, by), blocks, reach, ("s1", "s2")) for by in turns]
-    found = [to_leaders(x, within, in_all) for x in around]
-    back = lambda c, by: F.shiftrightunsigned(c, by).bitwiseOR(F.shiftleft(c, 64 - by)).alias(c) if by else F.col(c)
-    pairs = found[0]
-    for by, more in zip(turns[1:], found[1:], strict=True):
-        pairs = pairs.unionByName(more.select(back("a", by), back("b", by)))
-    pairs = pairs.distinct()
-    for end in "ab":
-        pairs = pairs.join(firsts.select(F.col("fp").alias(end), F.col("th").alias(f"t{end}")).hint("merge"), end)
-    same = texts.join(firsts.select("fp", F.col("th").alias("ta")).hint("merge"), "fp").where("th <> ta").select("ta", F.col("th").alias("tb"))
-    pairs = settle(pairs.select("ta", "tb").unionByName(same))
-    wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("__th")).distinct()
+def leaders(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(ta, tb, place): texts beside the first text of each bucket that they share, if that is of another component and near enough in size.
 
-    def hashes(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t, words) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))], ["th", "s"])
+    rows has key, th, n and comp.  The first of a bucket is so by a hash that changes with turn, so a bucket of any size makes at
+    most one pair a text.
+    """
+    order = F.xxhash64("th", F.lit(turn))
+    lead = settle(rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("th"), F.col("n"), F.col("comp"))).alias("l"), F.count("*").alias("many"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi"))
+    total = lead.agg(F.sum("many")).first()[0] or 0
+    met = by_key(rows, lead.select("key", "l"), lead.where(F.col("many") * HUBS > total), "key")
+    sized = F.greatest("n", "l.n") * similarity <= F.least(F.col("n"), F.col("l.n"))
+    return met.where((F.col("comp") != F.col("l.comp")) & sized).select(F.col("l.th").alias("ta"), F.col("th").alias("tb"), F.col("l.o").alias("place"))
 
-    sets = own.select("__th", F.col(text_col).cast("string").alias("t")).join(wanted.hint("merge"), "__th", "left_semi").dropDuplicates(["__th"]).select("__th", "t").mapInArrow(hashes, "th long, s array<int>")
-    sets = settle(sets)
-    # a text that leads many others is split over tasks by the others' hashes
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (ta, tb) those whose sets(th, s) are that similar; two empty sets are."""
+    # a text that leads many others meets them where they are
     busy = settle(pairs.groupBy("ta").count().where(F.col("count") * HUBS > pairs.count()))
-    with_a = by_key(pairs, sets.select(F.col("th").alias("ta"), F.col("s").alias("sa")), busy, "ta")
-    both = with_a.join(sets.select(F.col("th").alias("tb"), F.col("s").alias("sb")).hint("merge"), "tb")
+    both = pairs.join(sets.select(F.col("th").alias("tb"), F.col("s").alias("sb")).hint("merge"), "tb")
+    both = by_key(both, sets.select(F.col("th").alias("ta"), F.col("s").alias("sa")), busy, "ta")
     shared = F.size(F.array_intersect("sa", "sb"))
-    alike = F.when((F.size("sa") == 0) & (F.size("sb") == 0), True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))
-    comp = components(both.where(alike).select(F.col("ta").alias("a"), F.col("tb").alias("b")))
-    named = texts.join(comp.withColumnRenamed("id", "th").hint("merge"), "th", "left").withColumn("component", F.coalesce("component", "th"))
+    return both.where(F.when((F.size("sa") == 0) & (F.size("sb") == 0), True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))).select("ta", "tb")
+
+
+def near_copies(marked: DataFrame, similarity: float = SIMILAR, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
+    """(th, component): texts that are linked by the similarity of their shingles, over any path; texts without a link do not appear.
+
+    Candidates are fingerprints within 2 bits, which the anchors give without loss, and texts that share a band of minima: pairs
+    at 0.8 mostly differ in more bits.  In the first turn each text is compared with one candidate.  Then, turn by turn, whatever shares
+    a band but no component is compared with another first of its bucket, until a turn joins nothing.  Every link is checked on the
+    whole sets.
+    """
+    one = settle(marked.select("th", "fp", "keys", F.size("s").alias("n")).dropDuplicates(["th"]))
+    rows = one.select("th", "n", F.col("th").alias("comp"), F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").count().where("count > 1").select("key")
+    rows = settle(rows.join(shared.hint("merge"), "key", "left_semi"))
+    firsts = settle(one.groupBy("fp").agg(F.min("th").alias("first")))
+    near = links(firsts.select("fp"), 2, blocks).groupBy("b").agg(F.min("a").alias("a"))
+    for end in "ab":
+        near = near.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"t{end}")).hint("merge"), end)
+    same = one.join(firsts.hint("merge"), "fp").where("th <> first").select(F.col("first").alias("ta"), F.col("th").alias("tb"))
+    near = settle(near.select("ta", "tb").unionByName(same))
+    able = rows.select("th").unionByName(near.select(F.col("ta").alias("th"))).unionByName(near.select(F.col("tb").alias("th"))).distinct()
+    sets = settle(marked.select("th", "s").join(able.hint("merge"), "th", "left_semi").dropDuplicates(["th"]))
+
+    found = near.withColumn("place", F.lit(None).cast("long")).unionByName(leaders(rows, 0, similarity))
+    # one candidate a text: what is near in bits before others, and else the least of its buckets' firsts, which many texts share
+    pairs = settle(found.groupBy("tb").agg(F.min(F.struct(F.col("place").isNotNull().alias("far"), "place", "ta")).alias("m")).select("m.ta", "tb"))
+    tested, edges, turn = pairs, settle(alike(pairs, sets, similarity)), 0
+    while True:
+        comp = components(edges.select(F.col("ta").alias("a"), F.col("tb").alias("b")))
+        turn += 1
+        named = rows.drop("comp").join(comp.select(F.col("id").alias("th"), F.col("component").alias("comp")).hint("merge"), "th", "left").withColumn("comp", F.coalesce("comp", "th"))
+        split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        rows = settle(named.join(split.hint("merge"), "key", "left_semi"))
+        pairs = leaders(rows, turn, similarity).select("ta", "tb").distinct().join(tested.hint("merge"), ["ta", "tb"], "left_anti")
+        pairs = settle(pairs.join(tested.select(F.col("ta").alias("tb"), F.col("tb").alias("ta")).hint("merge"), ["ta", "tb"], "left_anti"))
+        more = settle(alike(pairs, sets, similarity))
+        if more.isEmpty():
+            return comp.select(F.col("id").alias("th"), "component")
+        tested, edges = tested.unionByName(pairs), edges.unionByName(more)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
+    """docs with one row of each group of near copies: texts that share words-word shingles at the Jaccard similarity, over any path.
+
+    The row that stays has the least id of its group, null ids last, then the least text hash.  Copies of a text and repeated
+    rows are one group.  Texts without a word are one group, null among them.  Texts are read whole, however long.  All columns
+    and clashing names stay.
+    """
+    own = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    marked = settle(sketches(own.select(F.col(id_col).alias("id"), F.col("__th").alias("th"), F.col(text_col).cast("string")), words))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
+    texts = settle(marked.groupBy("th").agg(least.alias("least")))
+    comp = near_copies(marked, similarity, blocks)
+    named = texts.join(comp.hint("merge"), "th", "left").withColumn("component", F.coalesce("component", "th"))
     stay = named.groupBy("component").agg(F.min(F.struct("least", "th")).alias("m")).select(F.col("m.least.id").alias("__id"), F.col("m.th").alias("__t"))
     kept = own.join(stay.hint("merge"), (F.col("__th") == F.col("__t")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     repeated = marked.groupBy("id", "th").count().where("count > 1").select(F.col("id").alias("__id"), F.col("th").alias("__t"))

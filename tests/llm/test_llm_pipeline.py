@@ -25,8 +25,7 @@ def test_stages(spark, sf):
     rows = kept["quality"].orderBy("doc_id").collect()
     label = jaccard_groups([r["text"] for r in rows])
     firsts = {rows[k]["doc_id"] for k in set(label)}
-    # the least of each group stays, and at most one in ten of the other copies
-    assert firsts <= set(ids["near_dedup"]) and len(ids["near_dedup"]) - len(firsts) <= 0.1 * (len(rows) - len(firsts)) + 1
+    assert firsts == set(ids["near_dedup"])  # the least of each group stays, and no other copy
     assert ids["mixing"] == ids["near_dedup"] == ids["bpe"]
 
 
