@@ -5,8 +5,8 @@ its path and its words.  (Words of a block stand together or not at all, so they
 Over the different pages of a host, tokens with the same occurrence vector form an equivalence class.  A class is
 valid if it is large enough and stands on nearly all pages, if its tokens come in the same order on each of them, and if it
 lies in one and the same slot of the root class, the class of tokens that stand once on a page.  The valid classes, so nested,
-are the host's template.  Its constant blocks are no text of a page, and its elements tell menus and adverts by their
-links and names.  What remains in the slots of the article, or of the body where there is none, is the page's text.
+are the host's template.  Its constant blocks are no text of a page that does not mark its article, and its elements tell menus and
+adverts by their links and names.  What remains in the slots of the article, or of the body where there is none, is the page's text.
 
 Spark forms vectors, classes and their validity by sums over pages; a page is parsed once for that.  The busiest hosts meet
 their pages by broadcast, the others by a shuffle.
@@ -209,15 +209,22 @@ class Page:
             self.pop()
 
     def text(self, constant: frozenset[int] = frozenset()) -> list[str]:
-        """Blocks of text: those of articles, else of a main element, else of elements named as content, else all."""
+        """Blocks of text: those of articles, with what stands beside them in one main element, else of a main element, else of elements
+        named as content, else all.
+
+        Blocks of the template are left out in the last case alone: where the page itself marks its article, a heading or a
+        sentence that all pages of the host have is text like any other.
+        """
         kept = [(region, words) for token, region, words in self.blocks if region]
         total = sum(len(w) for _, w in kept)
         for bit, least in ((2, 0), (4, 0), (8, total / 2)):
             if any(r & bit for r, _ in kept) and sum(len(w) for r, w in kept if r & bit) >= least:
                 break
         else:
-            bit = 1
-        return [words for token, region, words in self.blocks if region & bit and token not in constant]
+            return [words for token, region, words in self.blocks if region and token not in constant]
+        if bit == 2 and all(r & 4 for r, _ in kept if r & 2):
+            bit = 4
+        return [words for region, words in kept if region & bit]
 
 
 def hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
