@@ -26,9 +26,11 @@ BSD_HEAD = """Redistribution and use in source and binary forms, with or without
 BSD_CLAUSE = """<<optional>><<any:3|c>><</optional>> Neither the name of <<var>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY <<var>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
 IN NO EVENT SHALL <<var>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: A notice names a year or bears the sign; without either the word begins prose.
+YEARS = "|".join(map(str, range(1950, 2051)))
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "all-rights-reserved": ("All rights reserved",),
-    "copyright-notice": ("Copyright <<optional>>(c)<</optional>> <<var>> All rights reserved",),
+    "copyright-notice": ("Copyright <<any:c|©>> <<var>> All rights reserved", f"Copyright <<any:{YEARS}>> <<var>> All rights reserved"),
     "apache-2.0": (
         "Licensed under the Apache License, <<optional>>Version<</optional>> 2.0",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<any:this file|this software|these files|this work>> except in compliance with the License.
