@@ -15,7 +15,7 @@ are candidates too, and what two texts have in common is then counted exactly.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -234,13 +234,13 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.when((F.size("sa") == 0) & (F.size("sb") == 0), True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))).select("ta", "tb")
 
 
-def near_copies(marked: DataFrame, similarity: float = SIMILAR, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
+def near_copies(marked: DataFrame, similarity: float = SIMILAR, blocks: tuple[str, ...] = BLOCKS, turns: int = 4) -> DataFrame:
     """(th, component): texts that are linked by the similarity of their shingles, over any path; texts without a link do not appear.
 
     Candidates are fingerprints within 2 bits, which the anchors give without loss, and texts that share a band of minima: pairs
-    at 0.8 mostly differ in more bits.  In the first turn each text is compared with one candidate.  Then, turn by turn, whatever shares
-    a band but no component is compared with another first of its bucket, until a turn joins nothing.  Every link is checked on the
-    whole sets.
+    at 0.8 mostly differ in more bits.  First each text is compared with one candidate.  Then whatever shares a band but no component
+    is compared with other firsts of its buckets, one in each of the further turns.  Every link is checked on the whole sets.  A link
+    is lost if its texts share no band, or if in each bucket that they share no first of any turn links either to the other's component.
     """
     one = settle(marked.select("th", "fp", "keys", F.size("s").alias("n")).dropDuplicates(["th"]))
     rows = one.select("th", "n", F.col("th").alias("comp"), F.explode("keys").alias("key"))
@@ -258,19 +258,16 @@ def near_copies(marked: DataFrame, similarity: float = SIMILAR, blocks: tuple[st
     found = near.withColumn("place", F.lit(None).cast("long")).unionByName(leaders(rows, 0, similarity))
     # one candidate a text: what is near in bits before others, and else the least of its buckets' firsts, which many texts share
     pairs = settle(found.groupBy("tb").agg(F.min(F.struct(F.col("place").isNotNull().alias("far"), "place", "ta")).alias("m")).select("m.ta", "tb"))
-    tested, edges, turn = pairs, settle(alike(pairs, sets, similarity)), 0
-    while True:
-        comp = components(edges.select(F.col("ta").alias("a"), F.col("tb").alias("b")))
-        turn += 1
-        named = rows.drop("comp").join(comp.select(F.col("id").alias("th"), F.col("component").alias("comp")).hint("merge"), "th", "left").withColumn("comp", F.coalesce("comp", "th"))
-        split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rows = settle(named.join(split.hint("merge"), "key", "left_semi"))
-        pairs = leaders(rows, turn, similarity).select("ta", "tb").distinct().join(tested.hint("merge"), ["ta", "tb"], "left_anti")
-        pairs = settle(pairs.join(tested.select(F.col("ta").alias("tb"), F.col("tb").alias("ta")).hint("merge"), ["ta", "tb"], "left_anti"))
-        more = settle(alike(pairs, sets, similarity))
-        if more.isEmpty():
-            return comp.select(F.col("id").alias("th"), "component")
-        tested, edges = tested.unionByName(pairs), edges.unionByName(more)
+    edges = settle(alike(pairs, sets, similarity))
+    comp = components(edges.select(F.col("ta").alias("a"), F.col("tb").alias("b"))).select(F.col("id").alias("th"), F.col("component").alias("comp"))
+    named = rows.drop("comp").join(comp.hint("merge"), "th", "left").withColumn("comp", F.coalesce("comp", "th"))
+    split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rows = settle(named.join(split.hint("merge"), "key", "left_semi"))
+    pairs = reduce(DataFrame.unionByName, [leaders(rows, turn, similarity) for turn in range(1, turns)]).select("ta", "tb").distinct()
+    more = alike(settle(pairs), sets, similarity)
+    # the components so far are stars of their least text
+    stars = comp.where("th <> comp").select(F.col("comp").alias("a"), F.col("th").alias("b"))
+    return components(stars.unionByName(more.select(F.col("ta").alias("a"), F.col("tb").alias("b")))).select(F.col("id").alias("th"), "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
