@@ -43,18 +43,34 @@ def entropy(rows: DataFrame, label: str) -> DataFrame:
 
 
 def information_gain(rows: DataFrame, label: str, keys: list[str]) -> DataFrame:
-    """One row: H(label), H(label given keys), gain, its share, the majority rule's accuracy, and the number of groups.
+    """One row: H(label), H(label given keys), gain, its share, the majority rule's accuracy, and the number of groups."""
+    return information_gains(rows, label, [keys])
 
-    Everything follows from the counts by keys and label, which Spark sums before it shuffles.
+
+def information_gains(rows: DataFrame, label: str, key_sets: list[list[str]]) -> DataFrame:
+    """A row for each set of keys: signal, H(label), H(label given keys), gain, its share, the majority rule's accuracy, groups.
+
+    The rows are read once, into counts by all keys and label, which Spark sums before it shuffles.  Every key set rolls those counts
+    up, so what follows grows with the different values and not with the rows.  Null is a value.  At most 63 keys in all.
     """
-    pairs = rows.groupBy(*keys, label).agg(F.count("*").alias("c"))
-    groups = pairs.groupBy(*keys).agg(F.sum("c").alias("g"), F.max("c").alias("top"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
+    every = list(dict.fromkeys(k for keys in key_sets for k in keys))
+    fine = rows.groupBy(*every, F.col(label).alias("__label")).agg(F.count("*").alias("c"))
+    sets = [[*keys, "__label"] for keys in key_sets]
+    # several sets of the same keys count once; a grouping id tells the sets apart, as null may be a value
+    counts = fine.groupingSets([[F.col(k) for k in s] for s in {tuple(sorted(s)): s for s in sets}.values()], *every, "__label").agg(F.grouping_id().alias("__set"), F.sum("c").alias("c"))
+    groups = counts.groupBy("__set", *every).agg(F.sum("c").alias("g"), F.max("c").alias("top"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
     # sum over a group of -c log2(c / g) is g log2 g - sum c log2 c
-    inside = groups.agg(F.sum(F.col("g") * F.log2("g") - F.col("clogc")).alias("bits"), F.sum("top").alias("top"), F.sum("g").alias("n"), F.count("*").alias("groups"))
-    labels = pairs.groupBy(label).agg(F.sum("c").alias("c")).agg(F.sum("c").alias("ln"), F.sum(F.col("c") * F.log2("c")).alias("lclogc"))
+    inside = groups.groupBy("__set").agg(F.sum(F.col("g") * F.log2("g") - F.col("clogc")).alias("bits"), F.sum("top").alias("top"), F.sum("g").alias("n"), F.count("*").alias("groups"))
+    some = F.min("__set").alias("__set")  # the labels' own counts follow from any of the sets
+    one = counts.agg(some)
+    labels = counts.join(F.broadcast(one), "__set").groupBy("__label").agg(F.sum("c").alias("c")).agg(F.sum("c").alias("ln"), F.sum(F.col("c") * F.log2("c")).alias("lclogc"))
     h = F.log2("ln") - F.col("lclogc") / F.col("ln")
     conditional = F.col("bits") / F.col("n")
-    return inside.join(F.broadcast(labels)).select(F.lit("+".join(keys)).alias("signal"), h.alias("h_label"), conditional.alias("h_given"), (h - conditional).alias("gain"), F.when(h > 0, (h - conditional) / h).alias("gain_share"), (F.col("top") / F.col("n")).alias("ceiling"), "groups")
+    # bit k of the id, from the left, is set if the k-th key is summed over
+    ids = [sum((k not in keys) << (len(every) - i) for i, k in enumerate(every)) for keys in key_sets]
+    named = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("__set"), F.lit("+".join(keys)).alias("signal")) for i, keys in zip(ids, key_sets, strict=True))))
+    inside = inside.withColumn("__n", named).where("__set = __n.__set")
+    return inside.join(F.broadcast(labels)).select("__n.signal", h.alias("h_label"), conditional.alias("h_given"), (h - conditional).alias("gain"), F.when(h > 0, (h - conditional) / h).alias("gain_share"), (F.col("top") / F.col("n")).alias("ceiling"), "groups")
 
 
 def cross_tab_purity(rows: DataFrame, a: str, b: str, label: str) -> DataFrame:

@@ -206,6 +206,16 @@ def j5_information_gain_of_two(spark, sf_dir):
     return out.select("signal", *(F.round(c, 6).alias(c) for c in ("h_label", "h_given", "gain", "gain_share", "ceiling")), "groups")
 
 
+LATTICE = [["o_orderstatus"], ["o_orderdate"], ["o_custkey"], ["o_orderstatus", "o_custkey"], ["o_orderstatus", "o_orderdate"]]
+
+
+@query(" union all ".join(f"select * from ({gain_sql('orders', 'o_orderpriority', keys)})" for keys in LATTICE))
+def j5_information_gain_lattice(spark, sf_dir):
+    """Five sets of keys from one reading."""
+    out = ql.information_gains(read(spark, sf_dir, "orders"), "o_orderpriority", LATTICE)
+    return out.select("signal", *(F.round(c, 6).alias(c) for c in ("h_label", "h_given", "gain", "gain_share", "ceiling")), "groups")
+
+
 @query("select l_returnflag, l_linestatus, count(*) as n, string_agg(distinct l_linenumber::varchar, ',' order by l_linenumber::varchar) as labels, count(distinct l_linenumber) > 1 as impure from lineitem group by l_returnflag, l_linestatus")
 def j6_cross_tab_purity(spark, sf_dir):
     return ql.cross_tab_purity(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_linenumber")

@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from docloom.sources.versions import VersionedTable
 
 
 def steps(events: DataFrame) -> DataFrame:
@@ -41,40 +42,43 @@ def without_own(events: DataFrame, moves: DataFrame, seconds: int = 10) -> DataF
 
 
 def follow(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, on_change: Callable[[DataFrame], None] | None = None, own_moves: DataFrame | None = None, files_per_batch: int | None = None) -> int:
-    """Run what there is of a folder of event files into versions of a table, once: table/v=<batch>.  Returns the last version.
+    """Run what there is of a folder of event files into versions of a table, once.  Returns the last version.
 
-    A version holds the whole state after its batch, so a batch that runs twice writes the same rows again.  Events may come
-    late, out of order and more than once: the state keeps the newest of each path by time and event id, gone ones too, so
-    any order gives the same table.  own_moves(path, applied_at): changes that they explain are left out.
+    The table is one in versions: a batch writes the buckets of the paths that it touches, and a batch that runs twice writes the
+    same rows again.  Events may come late, out of order and more than once: the state keeps the newest of each path by time and
+    event id, gone ones too, so any order gives the same table.  own_moves(path, applied_at): changes that they explain are left
+    out.  Where nothing is new, the last version is returned, or -1 if there is none.
     """
     stream = spark.readStream.schema(schema).options(**({"maxFilesPerTrigger": files_per_batch} if files_per_batch else {})).parquet(source)
+    state = state_table(spark, table)
 
     def batch(rows: DataFrame, number: int) -> None:
-        before = states(spark, table, number - 1)
         changed = (rows if own_moves is None else without_own(rows, own_moves)).persist()
         try:
-            merged(before, changed).write.mode("overwrite").parquet(f"{table}/v={number}")
+            state.commit(latest_state(changed), newest_of, number)
             if on_change is not None:
                 on_change(latest_state(changed))
         finally:
             changed.unpersist()
 
-    run = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return max((p["batchId"] for p in run.recentProgress if p["numInputRows"]), default=-1)
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return state.last()
 
 
-def merged(table: DataFrame, events: DataFrame) -> DataFrame:
-    """table(path, gone, mtime_us, ts, event_id) after the events; paths that are gone stay known, so late events cannot bring them back."""
-    newest = F.max(F.struct("ts", "event_id", "gone", "mtime_us")).alias("l")
-    return latest_state(events).unionByName(table.select("path", "gone", "mtime_us", "ts", "event_id")).groupBy("path").agg(newest).select("path", "l.gone", "l.mtime_us", "l.ts", "l.event_id")
+STATE = "path string, gone boolean, mtime_us long, ts timestamp, event_id long"
+
 
+def state_table(spark: SparkSession, table: str) -> VersionedTable:
+    return VersionedTable(spark, table, STATE, "path")
 
-def states(spark: SparkSession, table: str, number: int) -> DataFrame:
-    schema = "path string, gone boolean, mtime_us long, ts timestamp, event_id long"
-    return spark.read.schema(schema).parquet(f"{table}/v={number}") if number >= 0 else spark.createDataFrame([], schema)
+
+def newest_of(table: DataFrame, states: DataFrame) -> DataFrame:
+    """The newest state of each path; paths that are gone stay known, so late events cannot bring them back."""
+    newest = F.max(F.struct("ts", "event_id", "gone", "mtime_us")).alias("l")
+    columns = ["path", "gone", "mtime_us", "ts", "event_id"]
+    return table.select(columns).unionByName(states.select(columns)).groupBy("path").agg(newest).select("path", "l.gone", "l.mtime_us", "l.ts", "l.event_id")
 
 
 def version(spark: SparkSession, table: str, number: int) -> DataFrame:
     """(path, mtime_us, ts, event_id) of the files that are there in a version."""
-    return states(spark, table, number).where(~F.col("gone")).drop("gone")
+    return state_table(spark, table).read(number).where(~F.col("gone")).drop("gone")

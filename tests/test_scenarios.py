@@ -262,12 +262,6 @@ def test_undo_of_a_chain_runs_backwards(spark):
     assert got == [("/n", "/m", "restored", ""), ("/q", "/p", "skipped", "moved_file_missing"), ("/y", "/x", "skipped", "original_slot_occupied"), ("/c", "/b", "restored", ""), ("/b", "/a", "restored", "")]
 
 
-def test_steps_are_tied_over_chains(spark):
-    rows = [(k, f"/{k}", f"/{k + 1}") for k in range(0, 9)] + [(20, "/q", "/r"), (21, "/s", "/t"), (22, "/t", "/u")]
-    got = {r["seq"]: r["tie"] for r in mv.tied(spark.createDataFrame(rows, "seq long, `from` string, `to` string")).collect()}
-    assert got == dict.fromkeys(range(9), 0) | {20: 20, 21: 21, 22: 21}
-
-
 def test_many_moves_to_one_name(spark):
     """A hot name is numbered by a window; names that only look alike after their numbers are resolved beside it."""
     rows = [(f"/r/{i}.pdf", "x", "hot.pdf") for i in range(300)] + [("/r/a.pdf", "x", "b..pdf"), ("/r/b.pdf", "x", "b..pdf"), ("/r/c.pdf", "x", "b.pdf"), ("/r/d.pdf", "x", "b.pdf")]
