@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,17 +78,54 @@ def cross_tab_purity(rows: DataFrame, a: str, b: str, label: str) -> DataFrame:
     return out.withColumn("impure", F.col("kinds") > 1).drop("kinds")
 
 
-def dataset_gate(rows: DataFrame, expected_rows: int, status_col: str = "extraction_status") -> DataFrame:
-    """One row: passed and the list of failures."""
-    found = rows.agg(F.count("*").alias("n"), F.count_if(F.col(status_col) == "success").alias("success"), F.count_if(F.col(status_col) == "ok").alias("odd"))
-    failures = F.filter(F.array(F.when(F.col("n") != expected_rows, "row_count"), F.when(F.col("success") == 0, "no_success"), F.when(F.col("odd") > 0, "unexpected_status")), lambda x: x.isNotNull())
-    return found.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)
+def gate_metrics(status_col: str, text_col: str | None, domains: dict[str, list[str]]) -> list[Column]:
+    """What the gate needs of the rows, as aggregates of a bounded size: counts, and for each declared column one count a value."""
+    known = lambda c, values: [F.count_if(F.col(c) == v) for v in values]
+    other = lambda c, values: F.count_if(~F.coalesce(F.col(c).isin(*values), F.lit(False)))
+    broken = F.count_if(F.contains(text_col, F.lit("\ufffd"))) if text_col else F.lit(0).cast("long")
+    counts = [F.array(*known(c, values), other(c, values)).alias(f"of_{c}") for c, values in domains.items()]
+    return [F.count("*").alias("n"), F.count_if(F.col(status_col) == "success").alias("success"), F.count_if(F.col(status_col) == "ok").alias("odd"), broken.alias("mojibake"), *counts]
+
+
+def gate_verdict(found: DataFrame, expected_rows: int, domains: dict[str, list[str]], closed: tuple[str, ...], skew: float) -> DataFrame:
+    """(n, success, odd, mojibake, failures, passed) from one row of metrics; failures stand in the order of the rules."""
+    failures = [F.when(F.col("n") != expected_rows, "row_count"), F.when(F.col("success") == 0, "no_success"), F.when(F.col("odd") > 0, "unexpected_status")]
+    for c, values in domains.items():
+        at = lambda k, c=c: F.col(f"of_{c}")[k]
+        if c in closed:
+            failures += [F.when(at(k) == 0, f"missing_{c}:{v}") for k, v in enumerate(values)] + [F.when(at(len(values)) > 0, f"unknown_{c}")]
+        failures += [F.when(at(k) / F.nullif("n", F.lit(0)) > skew, f"skew_{c}:{v}") for k, v in enumerate([*values, "other"])]
+    failures.append(F.when(F.col("mojibake") > 0, "replacement_characters"))
+    out = found.withColumn("failures", F.filter(F.array(*failures), lambda x: x.isNotNull()))
+    return out.withColumn("passed", F.size("failures") == 0).drop(*(f"of_{c}" for c in domains))
+
+
+def dataset_gate(rows: DataFrame, expected_rows: int, status_col: str = "extraction_status", text_col: str | None = None, domains: dict[str, list[str]] | None = None, closed: tuple[str, ...] = ("category",), skew: float = SKEW) -> DataFrame:
+    """One row: passed and the list of failures, all from one reading of the rows.
+
+    domains names the values that a column may have.  In closed columns every one must occur and no other may; in any of them no
+    value may hold more than skew of the rows.  Values that are not named, null too, count together as other.
+    """
+    domains = domains or {}
+    return gate_verdict(rows.agg(*gate_metrics(status_col, text_col, domains)), expected_rows, domains, closed, skew)
+
+
+def write_gated(rows: DataFrame, path: str, expected_rows: int, status_col: str = "extraction_status", text_col: str | None = None, domains: dict[str, list[str]] | None = None, closed: tuple[str, ...] = ("category",), skew: float = SKEW) -> DataFrame:
+    """Write rows as Parquet and return the gate's row: its metrics are observed while the rows are written, not read again."""
+    domains, seen = domains or {}, Observation()
+    rows.observe(seen, *gate_metrics(status_col, text_col, domains)).write.mode("overwrite").parquet(path)
+    schema = "n long, success long, odd long, mojibake long" + "".join(f", `of_{c}` array<long>" for c in domains)
+    return gate_verdict(rows.sparkSession.createDataFrame([tuple(seen.get.values())], schema), expected_rows, domains, closed, skew)
 
 
 def stable_sample(rows: DataFrame, index: str, n: int, seed: int = 42, order: str | None = None) -> DataFrame:
-    """The last row of each index by order, and of these n in the order of a hash of index and seed."""
-    if order:
-        rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(index).orderBy(F.desc(order)))).where("__r = 1").drop("__r")
-    else:
-        rows = rows.dropDuplicates([index])
-    return rows.orderBy(F.xxhash64(F.col(index), F.lit(seed)), index).limit(n)
+    """The last row of each index by order, and of these n in the order of the md5 of "index:seed".
+
+    Both steps merge: maxima are formed before the shuffle, and each task hands on its first n.  Ties in order go to the row that
+    is largest in its other columns, from left to right; without order that row is the one.
+    """
+    first = [order] if order else []
+    rest = [c for c in rows.columns if c not in (index, *first)]
+    last = rows.groupBy(index).agg(F.max(F.struct(*first, *rest)).alias("__l")) if first or rest else rows.distinct()
+    drawn = last.orderBy(F.md5(F.concat(F.coalesce(F.col(index).cast("string"), F.lit("")), F.lit(f":{seed}"))), index).limit(n)
+    return drawn.select(*(F.col(c) if c == index else F.col("__l")[c].alias(c) for c in rows.columns))

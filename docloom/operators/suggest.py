@@ -260,9 +260,10 @@ def ideal_path(category: Column, course: Column, semester: Column, name: Column)
 
 
 def qa_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, question, context, answer): topic and template are drawn by a hash of the id."""
-    pick = lambda values, seed: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(len(values))) + 1).cast("int"))
-    at = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(len(QUESTION_TEMPLATES))).cast("int") + 1
+    """(id, question, context, answer): template and topic are drawn by the first eight digits of the md5 of "id:1" and "id:2"."""
+    drawn = lambda seed, n: (F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long") % n + 1).cast("int")
+    pick = lambda values, seed: F.element_at(F.array(*map(F.lit, values)), drawn(seed, len(values)))
+    at = drawn(1, len(QUESTION_TEMPLATES))
     title = F.concat(F.lit("문서"), F.col(id_col).cast("string"))
     summary = F.when(F.length(F.col(text_col)) > 0, F.concat(F.substring(F.get(F.split(F.regexp_replace(F.col(text_col), rf"\A{S}+", ""), "\n"), F.lit(0)), 1, 120), F.lit("..."))).otherwise("요약 없음")
     fill = lambda c: reduce(lambda c, kv: F.replace(c, F.lit("{" + kv[0] + "}"), kv[1]), (("title", title), ("topic", pick(TOPICS, 2)), ("summary", summary)), c)

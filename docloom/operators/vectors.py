@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.functions.text import let
 from docloom.lexicon import CATEGORIES, EXAMPLE_THRESHOLD, LABEL_THRESHOLD, NEIGHBOURS
 from docloom.operators.nearest import BLOCK, nearest
 from docloom.operators.retrieve import checked, dot
@@ -78,26 +79,52 @@ def knn_leave_one_out(vectors: DataFrame, ks: tuple[int, ...] = (1, 3, 5), block
     return vectors.select("id", "label").join(won.hint("merge"), "id").select("id", "label", "k", F.col("elabel").alias("predicted"))
 
 
-def hashed_embedding(texts: pd.Series, size: int = 64) -> pd.Series:
-    """A deterministic stand-in for a model: counts of hashed character trigrams, at unit length."""
-    from zlib import crc32
+def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, size: int = 64) -> DataFrame:
+    """(id, v): a deterministic stand-in for a model, counts of hashed runs of three characters at unit length.
 
-    def one(text: str | None) -> list[float]:
-        v = np.zeros(size)
-        padded = f" {(text or '').lower()} ".encode()
-        for i in range(len(padded) - 2):
-            v[crc32(padded[i : i + 3]) % size] += 1
-        return (v / max(np.sqrt((v * v).sum()), 1e-9)).tolist()
-
-    return texts.map(one)
-
-
-def embed(docs: DataFrame, text_col: str, embedder: Callable[[pd.Series], pd.Series] = hashed_embedding, out: str = "v") -> DataFrame:
-    """docs with a vector column from any batch embedder; the text reaches it in Arrow batches."""
+    The lower-cased text stands between two spaces; of a run a, b, c the bucket is ((7919 a + b) 104729 + c) mod 1000003 mod size, in
+    code points.  Runs are counted by id and bucket before anything is shuffled, so a text of any length moves as size counts.
+    Null and empty texts give zeros; texts that share an id count together.
+    """
+    hashed = lambda c, i: F.pmod((c[i] * 7919 + c[i + 1]) * 104729 + c[i + 2], F.lit(1_000_003)) % size
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: hashed(c, i))
+    letters = F.split(F.concat(F.lit(" "), F.lower(text_col), F.lit(" ")), "")
+    buckets = let(F.transform(letters, lambda x: F.ascii(x).cast("long")), lambda c: F.when(F.size(c) > 2, runs(c)))
+    counts = docs.select(id_col, F.explode_outer(buckets).alias("__b")).groupBy(id_col, "__b").agg(F.count("*").cast("double").alias("__n"))
+    by = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("__b", "__n")))).alias("__m"))
+    length = F.greatest(F.sqrt(F.aggregate(F.map_values("__m"), F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
+    return by.select(id_col, F.transform(places, lambda k: F.coalesce(F.try_element_at("__m", k), F.lit(0.0)) / length).alias("v"))
+
+
+def isolated(embedder: Callable[[pd.Series], pd.Series], texts: pd.Series) -> tuple[list, list[str]]:
+    """Vectors and errors of a batch.  A batch that fails is halved until the bad texts stand alone: one costs 2 log2(n) more calls."""
+    vectors, errors, todo = [None] * len(texts), [""] * len(texts), [(0, len(texts))] if len(texts) else []
+    while todo:
+        a, b = todo.pop()
+        try:
+            got = list(embedder(texts.iloc[a:b]))
+            if len(got) != b - a:
+                raise ValueError(f"{len(got)} vectors for {b - a} texts")
+            vectors[a:b] = got
+        except Exception as error:  # whatever a model throws is a row's error, not the end of the job
+            if b - a == 1:
+                errors[a] = f"{type(error).__name__}: {error}"
+            else:
+                todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+    return vectors, errors
+
+
+def embed(docs: DataFrame, text_col: str, embedder: Callable[[pd.Series], pd.Series], out: str = "v", error: str = "error") -> DataFrame:
+    """docs with a vector from any batch embedder, and an error, empty where there is none; texts reach it in Arrow batches.
+
+    A text that the embedder fails on has a null vector and its error; all others of its batch have their vectors.
+    """
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("v array<float>, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield embedder(batch)
+            vectors, errors = isolated(embedder, batch)
+            yield pd.DataFrame({"v": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    return docs.withColumn(out, run(F.col(text_col)))
+    return docs.withColumn("__e", run(F.col(text_col))).withColumns({out: F.col("__e.v"), error: F.col("__e.error")}).drop("__e")

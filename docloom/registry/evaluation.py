@@ -9,7 +9,7 @@ from docloom.operators import evaluate as ev
 from docloom.operators import quality as ql
 from docloom.operators import vectors as vx
 from docloom.registry.search import LABEL, LV, label_name, label_vectors
-from docloom.registry.tables import DOCS, VECTORS, docs, read, vectors
+from docloom.registry.tables import DOCS, VECTORS, docs, read, scratch, vectors
 
 QUERIES, ORACLES = {}, {}
 
@@ -224,11 +224,35 @@ def j6_cross_tab_purity(spark, sf_dir):
 @query("select count(*) as n, count_if(doc_id % 4 <> 0) as success, count_if(doc_id % 8 = 0) as odd, 'row_count,unexpected_status' as failures, false as passed from documents")
 def j7_dataset_gate(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 8 == 0, "ok").when(F.col("doc_id") % 4 == 0, "error").otherwise("success").alias("extraction_status"))
-    return ql.dataset_gate(d, 7).withColumn("failures", F.array_join("failures", ","))
+    return ql.dataset_gate(d, 7).withColumn("failures", F.array_join("failures", ",")).drop("mojibake")
 
 
-@query()
-def j8_stable_sample(spark, sf_dir):
-    return ql.stable_sample(read(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", 40, order="event_id")
+GATED = {"category": ["en", "de", "fr", "tlh"], "extension": ["src0", "src1", "src2"]}
+OTHERS = {"category": "lang", "extension": "source"}
+
+
+def gate_sql() -> str:
+    """The rules of the gate over documents, with every failure as a case."""
+    held = lambda c, v: f"count_if({OTHERS[c]} = '{v}')" if v != "other" else f"count_if({OTHERS[c]} is null or {OTHERS[c]} not in ({', '.join(repr(x) for x in GATED[c])}))"
+    rules = [("count(*) <> 7", "row_count"), ("count_if(doc_id % 4 <> 0) = 0", "no_success"), ("count_if(doc_id % 8 = 0) > 0", "unexpected_status")]
+    for c in GATED:
+        if c == "category":
+            rules += [(f"{held(c, v)} = 0", f"missing_{c}:{v}") for v in GATED[c]] + [(f"{held(c, 'other')} > 0", f"unknown_{c}")]
+        rules += [(f"{held(c, v)} > 0.3 * count(*)", f"skew_{c}:{v}") for v in [*GATED[c], "other"]]
+    rules.append(("count_if(doc_id % 50 = 0) > 0", "replacement_characters"))
+    failed = ", ".join(f"case when {when} then '{name}' end" for when, name in rules)
+    return f"select count(*) as n, count_if(doc_id % 4 <> 0) as success, count_if(doc_id % 8 = 0) as odd, count_if(doc_id % 50 = 0) as mojibake, concat_ws(',', {failed}) as failures, false as passed from documents"
 
 
+@query(gate_sql())
+def j7_gated_write(spark, sf_dir):
+    """The documents are written, and what the gate judges is observed on the way."""
+    status = F.when(F.col("doc_id") % 8 == 0, "ok").when(F.col("doc_id") % 4 == 0, "error").otherwise("success")
+    text = F.when(F.col("doc_id") % 50 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\ufffd"))).otherwise(F.replace("text", F.lit("\ufffd"), F.lit("")))
+    d = read(spark, sf_dir, "documents").select("doc_id", status.alias("extraction_status"), text.alias("first_page_text"), F.col("lang").alias("category"), F.col("source").alias("extension"))
+    return ql.write_gated(d, f"{scratch(spark)}/gated", 7, text_col="first_page_text", domains=GATED).withColumn("failures", F.array_join("failures", ","))
+
+
+@query("select user_id, max(event_id) as event_id from events group by user_id order by md5(user_id::varchar || ':42'), user_id limit 40")
+def j8_stable_sample(spark, sf_dir):
+    return ql.stable_sample(read(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", 40, order="event_id")

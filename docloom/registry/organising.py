@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from docloom import lexicon as lx
 from docloom.operators import index
 from docloom.operators import suggest as sg
+from docloom.operators import vectors
 from docloom.plans import moves as mv
 from docloom.registry.tables import DOCS, docs, read, scratch
 from docloom.registry.texts import q
-from docloom.streaming import changes
+from docloom.streaming import changes, own_moves
 
 QUERIES, ORACLES = {}, {}
 
@@ -62,6 +63,20 @@ def f3_failures(spark, sf_dir):
     return index.with_failures(d).select("id", "status", "reason")
 
 
+def sized(texts):
+    """An embedder that fails on a batch with a text that it cannot read."""
+    if texts.eq("poison").any():
+        raise ValueError("bad bytes")
+    return texts.map(lambda t: [float(len(t or "")), 1.0])
+
+
+@query(f"select id, case when id % 97 = 0 or length(trim(coalesce(body, ''))) = 0 then 'failed' else 'done' end as status, case when id % 97 = 0 then 'ValueError: bad bytes' when length(trim(coalesce(body, ''))) = 0 then 'empty_text' else '' end as reason, case when id % 97 <> 0 then length(coalesce(body, ''))::double end as size from {DOCS}")
+def f3_fault_isolation(spark, sf_dir):
+    """Texts that the embedder fails on are failed rows; the others of their batches are done."""
+    d = docs(spark, sf_dir).select("id", F.when(F.col("id") % 97 == 0, "poison").otherwise(F.col("body")).alias("normalized_text"))
+    return index.with_failures(vectors.embed(d, "normalized_text", sized)).select("id", "status", "reason", F.col("v")[0].cast("double").alias("size"))
+
+
 @query(f"with {STATES}, c as (select count(*) as total, count_if(state = 'changed') as done, count_if(state = 'skipped') as skipped, count_if(state = 'new') as failed from ds) select *, done + skipped as processed, round(case when done + skipped > 0 and total > done + skipped then (total - done - skipped) * 60.0 / (done + skipped) end, 6) as eta_sec from c")
 def f4_index_report(spark, sf_dir):
     store, catalog = store_and_catalog(spark, sf_dir)
@@ -112,6 +127,23 @@ def f7_self_change_suppression(spark, sf_dir):
     return changes.without_own(e, own, 600).select("event_id")
 
 
+OWN = """own as (select '/u' || user_id as path, epoch_us(ts) as at from events where event_type = 'click' and event_id % 2 = 0 union all select '/u' || user_id || '/moved', epoch_us(ts) from events where event_type = 'click' and event_id % 2 = 0),
+ un as (select * from st where not exists (select 1 from own where own.path = st.path and abs(own.at - epoch_us(st.ts)) <= 600000000)),
+ lu as (select * from (select *, row_number() over (partition by path order by ts desc, event_id desc, gone desc) as r from un) where r = 1)"""
+
+
+@query(f"with {LATEST}, {OWN} select path, event_id from lu where not gone")
+def f7_late_move_records(spark, sf_dir):
+    """Changes in two batches, and records of own moves for both of their paths: half of the records come in another batch than their change."""
+    place, e = scratch(spark), change_events(spark, sf_dir)
+    moved = e.where("kind = 'move' and event_id % 2 = 0").select("event_id", F.explode(F.array("path", "new_path")).alias("path"), F.col("ts").alias("applied_at"))
+    for k in range(2):
+        e.where(F.col("event_id") % 4 >= 2 if k else F.col("event_id") % 4 < 2).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        moved.where(F.col("event_id") % 8 >= 4 if k else F.col("event_id") % 8 < 4).drop("event_id").coalesce(1).write.mode("append").parquet(f"{place}/own")
+    last = own_moves.follow(spark, f"{place}/in", SCHEMA, f"{place}/own", f"{place}/table", f"{place}/checkpoint", seconds=600, files_per_batch=1)
+    return own_moves.version(spark, f"{place}/table", last).select("path", "event_id")
+
+
 # --- suggestions
 
 
@@ -260,7 +292,15 @@ def g14_ideal_filename(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", sg.ideal_filename(F.col("p_brand"), F.col("p_name"), F.col("p_type"), F.lit("2025-1"), F.lit(".pdf")).alias("filename"), sg.ideal_path(F.lit("report"), F.col("p_brand"), F.lit("2025-1"), F.lit("x.pdf")).alias("path"))
 
 
-@query()
+def qa_sql() -> str:
+    drawn = lambda seed, n: f"(('0x' || substring(md5(id || ':{seed}'), 1, 8))::bigint % {n} + 1)"
+    listed = lambda values, seed: f"list_extract([{', '.join(map(q, values))}], {drawn(seed, len(values))})"
+    filled = lambda k: f"replace(replace(replace({listed([t[k] for t in sg.QUESTION_TEMPLATES], 1)}, '{{title}}', '문서' || id), '{{topic}}', {listed(sg.TOPICS, 2)}), '{{summary}}', summary)"
+    summary = r"case when length(body) > 0 then substring(string_split(regexp_replace(body, '^\s+', ''), chr(10))[1], 1, 120) || '...' else '요약 없음' end"
+    return f"select id, {filled(0)} as question, substring(body, 1, 2000) as context, {filled(1)} as answer from (select *, {summary} as summary from {DOCS})"
+
+
+@query(qa_sql())
 def g15_qa_pairs(spark, sf_dir):
     return sg.qa_pairs(docs(spark, sf_dir).select("id", F.col("body").alias("text")))
 
