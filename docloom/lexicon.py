@@ -3,6 +3,9 @@
 #: File kinds that are searched and organised.
 EXTENSIONS = ("pdf", "docx", "doc", "pptx", "ppt", "hwpx", "hwp")
 
+#: Kinds of files that are read as plain text; fixed values.
+PLAIN_KINDS = ("txt", "md", "py", "sql", "json", "html", "xml", "yaml", "yml")
+
 #: Characters that join the parts of a file name.
 NAME_SEPARATORS = "_-.()[]{}·,~"
 

@@ -199,6 +199,17 @@ def d13_hybrid_search(spark, sf_dir):
     return out.select("query_id", "rank", "id", "path", F.round("score", 6).alias("score"), "matched_text")
 
 
+ONE_PATH = HYBRID.replace("'/' || source || '/' || lang || '/doc_' || doc_id || '.pdf' as path", "'/all/doc_' || (doc_id // 2) || '.pdf' as path").replace("from sc) where", "from (select * from sc qualify row_number() over (partition by query_id, path order by score desc, id) = 1)) where")
+
+
+@query(f"{ONE_PATH}, top as (select *, row_number() over (partition by query_id order by round(score, 9) desc, path) as rank from g2) select query_id, rank, id, path, round(least(1.0, score), 6) as score from top where rank <= 20")
+def d11_best_row_of_a_path(spark, sf_dir):
+    """Two documents share each path, as parts of one file: only the better one takes a place."""
+    d = docs(spark, sf_dir).withColumn("path", F.concat(F.lit("/all/doc_"), F.floor(F.col("id") / 2).cast("string"), F.lit(".pdf")))
+    out = rt.hybrid_search(parsed(spark, sf_dir), d, F.to_timestamp(F.lit("2024-03-01")), query_vectors(spark, sf_dir).select("query_id", "qv"), vectors(spark, sf_dir), top_k=20, index=word_index(spark, sf_dir))
+    return out.select("query_id", "rank", "id", "path", F.round("score", 6).alias("score"))
+
+
 @query(f"with {PARSED} select query_id, 'Instruct: find documents that answer the query' || chr(10) || 'Query: ' || cleaned as instructed from qr")
 def d16_query_instruction(spark, sf_dir):
     return parsed(spark, sf_dir).select("query_id", rt.query_instruction(F.col("cleaned"), F.col("query")).alias("instructed"))

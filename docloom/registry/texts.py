@@ -224,6 +224,24 @@ def a10_preview_text(spark, sf_dir):
     return docs(spark, sf_dir).select("id", files.preview_text(F.when(F.col("id") % 2 == 0, "csv").otherwise("txt"), F.col("body")).alias("preview"))
 
 
+LINES = "string_split(coalesce(body, ''), chr(10))"
+#: The cells that begin before the 4000th character: the lines up to there, a line a cell.
+CELLS = f"(select string_agg(l, chr(10) order by i) from (select l, i, coalesce(sum(length(l) + 1) over (order by i rows between unbounded preceding and 1 preceding), 0) as before from (select unnest({LINES}) as l, unnest(range(1, len({LINES}) + 1)) as i)) where before = 0 or before - 1 < 4000)"
+
+
+@query(f"""select id, case when id % 4 = 2 then 'unsupported_extension' when id % 4 = 3 and id % 5 = 0 then 'ipynb_error' else 'success' end as status,
+ case when id % 4 = 2 or (id % 4 = 3 and id % 5 = 0) then '' when id % 4 = 3 then substring({collapse(CELLS)}, 1, 4000) else substring({collapse("coalesce(body, '')")}, 1, 4000) end as preview from {DOCS}""")
+def a10_preview_status(spark, sf_dir):
+    """Texts, kinds without a reader, notebooks with a cell a line in both layouts, and cut ones."""
+    d = docs(spark, sf_dir)
+    lines = F.split(F.coalesce("body", F.lit("")), "\n")
+    listed = F.to_json(F.struct(F.transform(lines, lambda x: F.struct(F.array(x).alias("source"))).alias("cells")))
+    flat = F.to_json(F.struct(F.transform(lines, lambda x: F.struct(x.alias("source"))).alias("cells")))
+    notebook = F.when(F.col("id") % 5 == 0, F.substring(listed, 1, 20)).when(F.col("id") % 3 == 0, flat).otherwise(listed)
+    kind = F.element_at(F.array(*map(F.lit, ("txt", "md", "mp4", "ipynb"))), (F.col("id") % 4 + 1).cast("int"))
+    return d.select("id", files.preview(kind, F.when(kind == "ipynb", notebook).otherwise(F.col("body"))).alias("p")).select("id", "p.status", "p.preview")
+
+
 _bad = f"(length({strip(NORMAL)}) > 0 and {ratio(NORMAL)} < 0.5)"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions.text import collapse, is_garbled, normalize_pdf_text, select_analysis_text, slashes
-from docloom.lexicon import EXTENSIONS
+from docloom.lexicon import EXTENSIONS, PLAIN_KINDS
 
 #: Where the text of zipped formats lies.
 PARTS = {"docx": ("word/document.xml",), "pptx": ("ppt/slides/slide",), "hwpx": ("Contents/section",)}
@@ -119,16 +119,34 @@ def markup_text(c: Column) -> Column:
     return collapse(F.regexp_replace(c, r"(?s)<[^>]*>", " "))
 
 
+def notebook_text(text: Column, n: int = 4000) -> Column:
+    """Sources of a notebook's cells, one below the other; cells after the n-th character are not read."""
+    cells = F.from_json(text, "cells array<struct<source: array<string>>>")["cells"]
+    flat = F.from_json(text, "cells array<struct<source: string>>")["cells"]
+    both = F.arrays_zip(cells.alias("a"), flat.alias("b"))
+    source = lambda x: F.coalesce(F.array_join(x["a"]["source"], ""), x["b"]["source"], F.lit(""))
+    longer = lambda t, x: F.when(F.length(t) >= n, t).otherwise(F.concat(F.coalesce(F.concat(t, F.lit("\n")), F.lit("")), source(x)))
+    return F.coalesce(F.aggregate(both, F.lit(None).cast("string"), longer), F.lit(""))
+
+
 def preview_text(kind: Column, text: Column, n: int = 4000) -> Column:
     """Preview of a whole file: the first 30 lines of CSV, the cells of a notebook, the start of any other text."""
     lines = F.array_join(F.slice(F.split(text, "\n"), 1, 30), "\n")
-    cells = F.from_json(text, "cells array<struct<source: array<string>>>")["cells"]
-    flat = F.from_json(text, "cells array<struct<source: string>>")["cells"]
-    notebook = F.array_join(F.transform(F.arrays_zip(cells.alias("a"), flat.alias("b")), lambda x: F.coalesce(F.array_join(x["a"]["source"], ""), x["b"]["source"], F.lit(""))), "\n")
-    chosen = F.when(kind == "csv", lines).when(kind == "ipynb", notebook).otherwise(text)
+    chosen = F.when(kind == "csv", lines).when(kind == "ipynb", notebook_text(text, n)).otherwise(text)
     return F.substring(collapse(F.translate(chosen, "\x00", " ")), 1, n)
 
 
+def preview(kind: Column, text: Column, n: int = 4000) -> Column:
+    """(preview, status): success, ipynb_error for what is no JSON object, unsupported_extension for kinds without a reader.
+
+    A null text is an empty file.  Where the status is not success the preview is empty.
+    """
+    text = F.coalesce(text, F.lit(""))
+    broken = (kind == "ipynb") & (F.try_parse_json(text).isNull() | ~text.rlike(r"\A\s*\{"))
+    status = F.when(F.coalesce(~kind.isin("csv", "ipynb", *PLAIN_KINDS), F.lit(True)), "unsupported_extension").when(broken, "ipynb_error").otherwise("success")
+    return F.struct(F.when(status == "success", preview_text(kind, text, n)).otherwise("").alias("preview"), status.alias("status"))
+
+
 def extract_batch(docs: DataFrame, n: int = 1000, compose: bool = True) -> DataFrame:
     """docs(path, name, extension, raw_text, error) with normalised and sampled texts; garbled texts become errors."""
     normal = normalize_pdf_text(F.coalesce("raw_text", F.lit("")), compose)
