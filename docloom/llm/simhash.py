@@ -15,14 +15,14 @@ are candidates too, and what two texts have in common is then counted exactly.
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import HUBS, by_key, components, settle
+from docloom.llm.shared import HUBS, by_key, components, key_of, settle
 
 #: code name: (bits, generator polynomial, covering radius)
 CODES = {"golay": (23, 0b101011100011, 3), "hamming": (15, 0b10011, 1)}
@@ -210,18 +210,27 @@ def sketches(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, th long, fp long, keys array<long>, s array<int>")
 
 
-def leaders(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(ta, tb, place): texts beside the first text of each bucket that they share, if that is of another component and near enough in size.
+def leaders(rows: DataFrame, turns: range, similarity: float) -> DataFrame:
+    """(ta, tb, place, ok): texts beside the first text of each bucket that they share, one first for each turn.
 
-    rows has key, th, n and comp.  The first of a bucket is so by a hash that changes with turn, so a bucket of any size makes at
-    most one pair a text.
+    rows has key, th, n and label.  The first of a bucket is so by a hash that changes with the turn, so a bucket of any size makes
+    at most one pair a text and turn.  Buckets of one label are left out.  ok: the labels differ and the sizes are near enough.
     """
-    order = F.xxhash64("th", F.lit(turn))
-    lead = settle(rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("th"), F.col("n"), F.col("comp"))).alias("l"), F.count("*").alias("many"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi"))
+    first = [F.min(F.struct(F.xxhash64("th", F.lit(t)).alias("o"), F.col("th"), F.col("n"), F.col("label"))) for t in turns]
+    lead = settle(rows.groupBy("key").agg(F.array(*first).alias("firsts"), F.count("*").alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi"))
     total = lead.agg(F.sum("many")).first()[0] or 0
-    met = by_key(rows, lead.select("key", "l"), lead.where(F.col("many") * HUBS > total), "key")
-    sized = F.greatest("n", "l.n") * similarity <= F.least(F.col("n"), F.col("l.n"))
-    return met.where((F.col("comp") != F.col("l.comp")) & sized).select(F.col("l.th").alias("ta"), F.col("th").alias("tb"), F.col("l.o").alias("place"))
+    busy = F.col("many") * HUBS > total
+    # a key with over 1/200 of all rows is busy: there are fewer than 200, and their rows stay where they are
+    few, rest = F.broadcast(lead.where(busy).select("key", "firsts")), lead.where(~busy).select("key", "firsts")
+    met = rows.join(few, "key").unionByName(rows.join(few.select("key"), "key", "left_anti").join(rest.hint("merge"), "key"))
+
+    def differ(f):
+        return (f["label"] != F.col("label")) & (F.greatest(F.col("n"), f["n"]) * similarity <= F.least(F.col("n"), f["n"]))
+
+    if len(turns) > 1:
+        return met.select("th", F.explode(F.filter("firsts", differ)).alias("f")).select(F.col("f.th").alias("ta"), F.col("th").alias("tb"), F.col("f.o").alias("place"), F.lit(True).alias("ok"))
+    f = F.col("firsts")[0]
+    return met.select(f["th"].alias("ta"), F.col("th").alias("tb"), f["o"].alias("place"), differ(f).alias("ok"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -234,40 +243,36 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.when((F.size("sa") == 0) & (F.size("sb") == 0), True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))).select("ta", "tb")
 
 
-def near_copies(marked: DataFrame, similarity: float = SIMILAR, blocks: tuple[str, ...] = BLOCKS, turns: int = 4) -> DataFrame:
+def near_copies(marked: DataFrame, one: DataFrame, similarity: float = SIMILAR, blocks: tuple[str, ...] = BLOCKS, turns: int = 4) -> DataFrame:
     """(th, component): texts that are linked by the similarity of their shingles, over any path; texts without a link do not appear.
 
-    Candidates are fingerprints within 2 bits, which the anchors give without loss, and texts that share a band of minima: pairs
-    at 0.8 mostly differ in more bits.  First each text is compared with one candidate.  Then whatever shares a band but no component
-    is compared with other firsts of its buckets, one in each of the further turns.  Every link is checked on the whole sets.  A link
-    is lost if its texts share no band, or if in each bucket that they share no first of any turn links either to the other's component.
+    marked has th and s, one has a row for each th with fp, keys and n.  Candidates are fingerprints within 2 bits, which the anchors
+    give without loss, and texts that share a band of minima or a fingerprint: pairs at 0.8 mostly differ in more bits.  First each text
+    is compared with one candidate, and a link that holds labels it by that candidate.  Then whatever shares a bucket but no label is
+    compared with other firsts of its buckets, one in each of the further turns.  Every link is checked on the whole sets.  A link is
+    lost if its texts share no bucket, or if in each bucket that they share no first of any turn links either to the other's component.
     """
-    one = settle(marked.select("th", "fp", "keys", F.size("s").alias("n")).dropDuplicates(["th"]))
-    rows = one.select("th", "n", F.col("th").alias("comp"), F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").count().where("count > 1").select("key")
-    rows = settle(rows.join(shared.hint("merge"), "key", "left_semi"))
-    firsts = settle(one.groupBy("fp").agg(F.min("th").alias("first")))
-    near = links(firsts.select("fp"), 2, blocks).groupBy("b").agg(F.min("a").alias("a"))
-    for end in "ab":
-        near = near.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"t{end}")).hint("merge"), end)
-    same = one.join(firsts.hint("merge"), "fp").where("th <> first").select(F.col("first").alias("ta"), F.col("th").alias("tb"))
-    near = settle(near.select("ta", "tb").unionByName(same))
-    able = rows.select("th").unionByName(near.select(F.col("ta").alias("th"))).unionByName(near.select(F.col("tb").alias("th"))).distinct()
-    sets = settle(marked.select("th", "s").join(able.hint("merge"), "th", "left_semi").dropDuplicates(["th"]))
-
-    found = near.withColumn("place", F.lit(None).cast("long")).unionByName(leaders(rows, 0, similarity))
+    key = F.explode(F.concat("keys", F.array("fp"))).alias("key")
+    firsts = one.groupBy("fp").agg(F.min("th").alias("first"))
+    homes = anchored(firsts, blocks, 0, ("first",)).select("anchor", F.col("fp").alias("a"), F.col("first").alias("ta"))
+    around = anchored(firsts, blocks, 2, ("first",)).select("anchor", F.col("fp").alias("b"), F.col("first").alias("tb"))
+    near = around.join(homes.hint("shuffle_hash"), "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
+    near = near.select("ta", "tb", F.lit(None).cast("long").alias("place"), F.lit(True).alias("ok"))
+    met = leaders(one.select("th", "n", F.col("th").alias("label"), key), range(1), similarity)
     # one candidate a text: what is near in bits before others, and else the least of its buckets' firsts, which many texts share
-    pairs = settle(found.groupBy("tb").agg(F.min(F.struct(F.col("place").isNotNull().alias("far"), "place", "ta")).alias("m")).select("m.ta", "tb"))
-    edges = settle(alike(pairs, sets, similarity))
-    comp = components(edges.select(F.col("ta").alias("a"), F.col("tb").alias("b"))).select(F.col("id").alias("th"), F.col("component").alias("comp"))
-    named = rows.drop("comp").join(comp.hint("merge"), "th", "left").withColumn("comp", F.coalesce("comp", "th"))
-    split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = settle(named.join(split.hint("merge"), "key", "left_semi"))
-    pairs = reduce(DataFrame.unionByName, [leaders(rows, turn, similarity) for turn in range(1, turns)]).select("ta", "tb").distinct()
-    more = alike(settle(pairs), sets, similarity)
-    # the components so far are stars of their least text
-    stars = comp.where("th <> comp").select(F.col("comp").alias("a"), F.col("th").alias("b"))
-    return components(stars.unionByName(more.select(F.col("ta").alias("a"), F.col("tb").alias("b")))).select(F.col("id").alias("th"), "component")
+    found = met.unionByName(near).select(F.col("tb").alias("th"), F.when(F.col("ok"), F.struct(F.col("place").isNotNull().alias("far"), "place", "ta")).alias("m"))
+    found = found.unionByName(near.select(F.col("ta").alias("th"), F.lit(None).cast(found.schema["m"].dataType).alias("m")))
+    chosen = settle(found.groupBy("th").agg(F.min("m").alias("m")))
+    sets = settle(marked.select("th", "s").join(chosen.select("th").hint("merge"), "th", "left_semi").dropDuplicates(["th"]))
+    edges = settle(alike(chosen.where("m is not null").select("m.ta", F.col("th").alias("tb")), sets, similarity))
+
+    # labels are one or two links away: finer than components, so no pair is left out that components would compare
+    far = edges.alias("x").join(edges.select(F.col("tb").alias("ta"), F.col("ta").alias("up")).hint("merge"), "ta", "left").select(F.col("tb").alias("th"), F.coalesce("up", "ta").alias("label"))
+    able = one.select("th", "n", "fp", "keys").join(chosen.select("th").hint("merge"), "th", "left_semi")
+    able = settle(able.join(far.hint("merge"), "th", "left").withColumn("label", F.coalesce("label", "th")))
+    pairs = settle(leaders(able.select("th", "n", "label", key), range(1, turns), similarity).select("ta", "tb").distinct())
+    both = edges.unionByName(alike(pairs, sets, similarity))
+    return components(both.select(F.col("ta").alias("a"), F.col("tb").alias("b"))).select(F.col("id").alias("th"), "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
@@ -275,22 +280,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The row that stays has the least id of its group, null ids last, then the least text hash.  Copies of a text and repeated
     rows are one group.  Texts without a word are one group, null among them.  Texts are read whole, however long.  All columns
-    and clashing names stay.
+    and clashing names stay, but for __th and __id, which are dropped.
     """
-    own = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    own = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("__id", key_of(F.col(id_col)))
     marked = settle(sketches(own.select(F.col(id_col).alias("id"), F.col("__th").alias("th"), F.col(text_col).cast("string")), words))
-    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id")))
-    texts = settle(marked.groupBy("th").agg(least.alias("least")))
-    comp = near_copies(marked, similarity, blocks)
-    named = texts.join(comp.hint("merge"), "th", "left").withColumn("component", F.coalesce("component", "th"))
-    stay = named.groupBy("component").agg(F.min(F.struct("least", "th")).alias("m")).select(F.col("m.least.id").alias("__id"), F.col("m.th").alias("__t"))
-    kept = own.join(stay.hint("merge"), (F.col("__th") == F.col("__t")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    repeated = marked.groupBy("id", "th").count().where("count > 1").select(F.col("id").alias("__id"), F.col("th").alias("__t"))
-    twice = (F.col("__th") == F.col("__t")) & F.col(id_col).eqNullSafe(F.col("__id"))
-    kept = settle(kept)
-    once = kept.join(repeated.hint("merge"), twice, "left_anti")
-    more = kept.join(repeated.hint("merge"), twice, "left_semi").dropDuplicates(["__th", id_col])
-    return once.unionByName(more).drop("__th")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"))).alias("least")
+    one = settle(marked.groupBy("th").agg(least, F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first(F.size("s")).alias("n")))
+    comp = near_copies(marked, one, similarity, blocks)
+    named = one.select("th", "least").join(comp.hint("merge"), "th", "left").withColumn("component", F.coalesce("component", "th"))
+    stay = named.groupBy("component").agg(F.min(F.struct("least", "th")).alias("m")).select(F.col("m.th").alias("__th"), key_of(F.col("m.least.id")).alias("__id"))
+    kept = own.join(stay.hint("merge"), ["__th", "__id"], "left_semi")
+    return kept.dropDuplicates(["__th", "__id"]).drop("__th", "__id")
 
 
 def op3_simhash_near_dedup(spark, sf_dir):
