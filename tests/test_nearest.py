@@ -91,3 +91,48 @@ def test_nothing_on_a_side(data):
         assert nr.nearest(d.where("false"), p, 3, block, 0).count() == 0
     assert nr.nearest(d, p.where("false"), 3).count() == 0
     assert nr.Cells(p.where("false"), 3).nearest(d).count() == 0
+
+
+def test_pieces_of_a_task_stay_small(spark, monkeypatch):
+    """However many pairs and cells there are, no matrix and no batch that a task hands on is larger than a piece."""
+    largest = []
+    held = np.nonzero
+
+    def seen(a):
+        largest.append(a.size)
+        return held(a)
+
+    monkeypatch.setattr(nr.np, "nonzero", seen)
+    x = clustered(9000, 20, 8, 0.3, 5)
+    topic = np.arange(9000) % 3
+    got = nr.best_of(np.arange(9000), x, np.arange(9000), x, 5, (topic, topic))
+    monkeypatch.undo()
+    assert max(largest) <= nr.ROWS * nr.COLUMNS
+    for i in (0, 17, 8999):
+        sims = np.where(topic == topic[i], -np.inf, np.round(x @ x[i], nr.DIGITS))
+        assert got[got["id"] == i]["eid"].tolist() == sorted(range(9000), key=lambda e: (-sims[e], e))[:5]
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x[:2000])], "eid long, ev array<double>").coalesce(1)
+    docs = points.selectExpr("eid as id", "ev as v", "double('-infinity') as floor")
+    sizes = nr.Cells(points, 5).visits(docs).select(F.spark_partition_id().alias("p"))
+    assert sizes.count() > 2000 * 30  # all cells, handed on in pieces
+
+
+def test_blocks_where_cells_do_not_pay(spark):
+    even = np.random.default_rng(6).normal(size=(1500, 32))  # no cell can be left out
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(even)], "eid long, ev array<double>")
+    docs = points.selectExpr("eid as id", "ev as v").where("id % 5 = 0")
+    assert not nr.Cells(points, 5, 300).pays(docs)
+    wanted = brute([(k, v) for k, v in enumerate(even) if k % 5 == 0], list(enumerate(even)), 5)
+    assert rows(nr.nearest(docs, points, 5, 300, 100)) == wanted
+    x = clustered(3000, 60, 16, 0.05, 2)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "eid long, ev array<double>")
+    assert nr.Cells(points, 5, 300).pays(points.selectExpr("eid as id", "ev as v"))
+
+
+def test_floors_leave_the_best(data):
+    docs, points, _, _ = data
+    x, y = np.array([v for _, v, _ in docs]), np.array([v for _, v, _ in points])
+    ids, eids = np.array([i for i, _, _ in docs]), np.array([e for e, _, _ in points])
+    every = nr.best_of(ids, x, eids, y, 7)
+    floor = every.groupby("id", sort=False)["sim"].min().reindex(ids).to_numpy()
+    assert nr.best_of(ids, x, eids, y, 7, None, floor).equals(every)
