@@ -38,3 +38,23 @@ def test_moves_beyond_the_last_number(spark, full_lists, name):
     found = same(spark, full_lists, name, ["documents"])
     if name == "h2_assign_targets":
         assert any("conflict_exhausted" in r for r in found)
+
+
+def test_equal_scores_go_by_path(spark):
+    """Sums that differ in their last digits only are ties: the words weigh the same, but are summed in another order."""
+    from pyspark.sql import functions as F
+
+    from docloom.operators import retrieve as rt
+
+    words = [f"w{k:02d}" for k in range(20)]
+    bodies = [" ".join(words[k:] + words[:k]) for k in range(12)]
+    docs = spark.createDataFrame([(k, f"/p{k:02d}.pdf", f"p{k:02d}.pdf", b) for k, b in enumerate(bodies)], "id long, path string, name string, body string").withColumn("modified_at", F.to_timestamp(F.lit("2024-01-01")))
+    queries = spark.createDataFrame([(1, " ".join(words), words, None)], "query_id long, query string, tokens array<string>, half_life double")
+    apart = F.when(F.col("id") % 2 == 0, 1e-13).otherwise(0.0)
+    held = rt.keyword_scores
+    rt.keyword_scores = lambda *a, **k: held(*a, **k).withColumn("keyword", F.col("keyword") - apart)
+    try:
+        out = rt.hybrid_search(queries, docs, F.to_timestamp(F.lit("2024-03-01"))).collect()
+    finally:
+        rt.keyword_scores = held
+    assert [r["id"] for r in sorted(out, key=lambda r: r["rank"])] == list(range(12))
