@@ -24,3 +24,21 @@ def test_a_file_name_reads_its_evidence_a_few_times(spark, tmp_path):
     seconds(flat)
     once = seconds(flat)
     assert seconds(QUERIES["g5_build_filename"](spark, str(tmp_path))) < 30 * once + 5
+
+
+def test_files_are_unpacked_a_few_at_a_time(spark):
+    import io
+    import zipfile
+
+    from docloom.sources import files
+
+    def packed(k):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            z.writestr("word/document.xml", f"<d><p>text {k}</p></d>")
+        return held.getvalue() if k % 50 else b"broken"
+
+    rows = spark.createDataFrame([(f"/{k}.docx", packed(k)) for k in range(3 * files.ROWS_AT_ONCE + 7)], "path string, content binary").coalesce(1)
+    out = {r["path"]: (r["text"], r["error"]) for r in files.container_text(rows).collect()}
+    assert len(out) == 3 * files.ROWS_AT_ONCE + 7 and out["/101.docx"] == ("text 101", "")
+    assert out["/100.docx"] == ("", "BadZipFile: 100.docx")
