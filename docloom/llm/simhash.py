@@ -219,10 +219,12 @@ def leaders(rows: DataFrame, turns: range, similarity: float) -> DataFrame:
     first = [F.min(F.struct(F.xxhash64("th", F.lit(t)).alias("o"), F.col("th"), F.col("n"), F.col("label"))) for t in turns]
     lead = settle(rows.groupBy("key").agg(F.array(*first).alias("firsts"), F.count("*").alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi"))
     total = lead.agg(F.sum("many")).first()[0] or 0
-    busy = F.col("many") * HUBS > total
     # a key with over 1/200 of all rows is busy: there are fewer than 200, and their rows stay where they are
-    few, rest = F.broadcast(lead.where(busy).select("key", "firsts")), lead.where(~busy).select("key", "firsts")
-    met = rows.join(few, "key").unionByName(rows.join(few.select("key"), "key", "left_anti").join(rest.hint("merge"), "key"))
+    busy = [r["key"] for r in lead.where(F.col("many") * HUBS > total).select("key").collect()]
+    few, rest = F.broadcast(lead.where(F.col("key").isin(busy)).select("key", "firsts")), lead.where(~F.col("key").isin(busy)).select("key", "firsts")
+    met = rows.where(~F.col("key").isin(busy)).join(rest.hint("merge"), "key")
+    if busy:
+        met = met.unionByName(rows.where(F.col("key").isin(busy)).join(few, "key"))
 
     def differ(f):
         return (f["label"] != F.col("label")) & (F.greatest(F.col("n"), f["n"]) * similarity <= F.least(F.col("n"), f["n"]))

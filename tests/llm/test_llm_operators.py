@@ -412,6 +412,14 @@ def test_bands_miss_hardly_a_pair_at_the_limit():
     assert lost <= 1
 
 
+def test_plain_rows_pass_no_join_for_busy_buckets(spark):
+    """The rows of all other buckets are told from busy ones by a filter, so no join hands all of them on."""
+    rows = spark.createDataFrame([(k % 300 if k < 600 else 999, k, 10, k) for k in range(1200)], "key long, th long, n int, label long")
+    met = simhash.leaders(rows, range(1), 0.8)
+    assert met.count() == 1200
+    assert "LeftAnti" not in met._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_chain_of_near_copies_is_one_group(spark):
     """Each text is alike only to its neighbours in the chain, and all share their first words with others that are no copies."""
     words = [f"v{k}" for k in range(1000)]
