@@ -245,14 +245,29 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.when((F.size("sa") == 0) & (F.size("sb") == 0), True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))).select("ta", "tb")
 
 
+def across(rows: DataFrame, similarity: float) -> DataFrame:
+    """(ta, tb): all pairs of texts that share a bucket of rows(key, th, n, label), differ in label and are near enough in size, each once.
+
+    Rows of a bucket's commonest label meet only those of others, so a bucket of one label costs nothing.
+    """
+    sizes = rows.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"))
+    mixed_up = settle(rows.join(sizes.where("labels > 1").select("key", F.col("m.label").alias("most")).hint("merge"), "key"))
+    x, y = mixed_up.where("label <> most").alias("x"), mixed_up.alias("y")
+    once = (F.col("y.label") == F.col("y.most")) | (F.col("x.th") < F.col("y.th"))
+    near = F.greatest("x.n", "y.n") * similarity <= F.least("x.n", "y.n")
+    met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & near)
+    return met.select(F.least("x.th", "y.th").alias("ta"), F.greatest("x.th", "y.th").alias("tb")).distinct()
+
+
 def near_copies(marked: DataFrame, one: DataFrame, similarity: float = SIMILAR, blocks: tuple[str, ...] = BLOCKS, turns: int = 4) -> DataFrame:
     """(th, component): texts that are linked by the similarity of their shingles, over any path; texts without a link do not appear.
 
     marked has th and s, one has a row for each th with fp, keys and n.  Candidates are fingerprints within 2 bits, which the anchors
     give without loss, and texts that share a band of minima or a fingerprint: pairs at 0.8 mostly differ in more bits.  First each text
     is compared with one candidate, and a link that holds labels it by that candidate.  Then whatever shares a bucket but no label is
-    compared with other firsts of its buckets, one in each of the further turns.  Every link is checked on the whole sets.  A link is
-    lost if its texts share no bucket, or if in each bucket that they share no first of any turn links either to the other's component.
+    compared with other firsts of its buckets, one in each of the further turns, and components are formed.  Buckets that then still hold
+    several components are compared whole across them, so turns only save work.  Every link is checked on the whole sets.  A link is lost
+    only if its texts share no bucket.
     """
     key = F.explode(F.concat("keys", F.array("fp"))).alias("key")
     firsts = one.groupBy("fp").agg(F.min("th").alias("first"))
@@ -274,7 +289,19 @@ def near_copies(marked: DataFrame, one: DataFrame, similarity: float = SIMILAR,
     able = settle(able.join(far.hint("merge"), "th", "left").withColumn("label", F.coalesce("label", "th")))
     pairs = settle(leaders(able.select("th", "n", "label", key), range(1, turns), similarity).select("ta", "tb").distinct())
     both = edges.unionByName(alike(pairs, sets, similarity))
-    return components(both.select(F.col("ta").alias("a"), F.col("tb").alias("b"))).select(F.col("id").alias("th"), "component")
+    comp = settle(components(both.select(F.col("ta").alias("a"), F.col("tb").alias("b"))).select(F.col("id").alias("th"), "component"))
+
+    # what no first has shown: a bucket that still holds several components is compared across them, whatever its size
+    now = settle(able.select("th", "n", "fp", "keys").join(comp.hint("merge"), "th", "left").withColumn("label", F.coalesce("component", "th")).drop("component"))
+    rest = settle(across(now.select("th", "n", "label", key), similarity))
+    late = settle(alike(rest, sets, similarity)) if not rest.isEmpty() else rest
+    if late.isEmpty():
+        return comp
+    label = lambda c: now.select(F.col("th").alias(c), F.col("label").alias(f"l{c}")).hint("merge")
+    ends = late.join(label("ta"), "ta").join(label("tb"), "tb")
+    joined = components(ends.select(F.col("lta").alias("a"), F.col("ltb").alias("b"))).select(F.col("id").alias("label"), F.col("component").alias("all"))
+    found = comp.select("th", F.col("component").alias("label")).unionByName(ends.select(F.explode(F.array(F.struct(F.col("ta").alias("th"), F.col("lta").alias("label")), F.struct(F.col("tb").alias("th"), F.col("ltb").alias("label")))).alias("e")).select("e.*")).distinct()
+    return found.join(joined.hint("merge"), "label", "left").select("th", F.coalesce("all", "label").alias("component"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILAR, blocks: tuple[str, ...] = BLOCKS) -> DataFrame:
