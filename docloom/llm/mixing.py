@@ -17,14 +17,15 @@ import heapq
 import math
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.shared import key_of, numbered
+from docloom.llm.shared import key_of, numbered, settle
 
 #: Blocks about, and sources, that are scheduled at most: they bound what the driver holds.
 MOST_BLOCKS, MOST_SOURCES = 1 << 20, 4096
-REST = "+"  # the key of all sources beyond MOST_SOURCES; no source has it
+REST = "+"  # begins the key of a lot of sources beyond MOST_SOURCES; no source has it
 
 
 def phase(left: dict[str, int], weights: dict[str, Fraction], out: dict[str, list[int]], at: int) -> int:
@@ -77,13 +78,36 @@ def target_weights(counts: dict[str, int], weights: dict[str | None, float] | No
     return {k: Fraction(weights.get(k[1:] if k != "~" else None, least)) for k in counts}
 
 
+def in_lots(rows: DataFrame, sources: DataFrame, id_col: str, block_rows: int, most_blocks: int) -> DataFrame:
+    """rows, of sources(__key, count, __weight, __lot), with the lot as __key and __row: 0, 1, 2, ... by a schedule within each lot.
+
+    A lot's schedule is formed in one task from a row a source; its blocks grow as those of a table do.
+    """
+
+    def scheduled(lot: pd.DataFrame) -> pd.DataFrame:
+        counts = dict(zip(lot["__key"], lot["count"].tolist(), strict=True))
+        size = max(block_rows, -(-sum(counts.values()) // most_blocks))
+        slots = plan({s: -(-n // size) for s, n in sorted(counts.items())}, {s: Fraction(w) for s, w in zip(lot["__key"], lot["__weight"].tolist(), strict=True)})
+        blocks = sorted((slot, s, k) for s, own in slots.items() for k, slot in enumerate(own))
+        out = pd.DataFrame(blocks, columns=["slot", "__key", "__block"])[["__key", "__block"]]
+        long = [min(size, counts[s] - k * size) for _, s, k in blocks]
+        return out.assign(__lot=lot["__lot"].iloc[0], __size=size, __begin=pd.Series(long, dtype="int64").cumsum() - pd.Series(long, dtype="int64"))
+
+    begins = sources.groupBy("__lot").applyInPandas(scheduled, "__key string, __block long, __lot string, __size long, __begin long")
+    begins = settle(begins)
+    sizes = begins.groupBy("__key").agg(F.first("__size").alias("__size"))
+    own = numbered(rows, "__key", [F.col(id_col), F.col("__tie")], "__at_source").join(sizes.hint("merge"), "__key").withColumn("__block", F.floor(F.col("__at_source") / F.col("__size")))
+    met = own.drop("__size").join(begins.hint("merge"), ["__key", "__block"])
+    return met.withColumn("__row", F.col("__begin") + F.col("__at_source") % F.col("__size")).withColumn("__key", F.col("__lot")).select(*rows.columns, "__row")
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = 8, id_col: str = "doc_id", source_col: str = "source", tie_cols: tuple[str, ...] | None = None, most_blocks: int = MOST_BLOCKS, most_sources: int = MOST_SOURCES) -> DataFrame:
     """docs with block, slot and position (0, 1, 2, ... over the whole mix); no row is dropped or repeated.
 
     weights: target weight by source, any positive scale; without, rows to the power 0.7.  A source that weights does not name
     gets the least weight named; with {} all weigh the same.  Weight 0: after all other sources.  Negative weights are
-    an error.  Null is a source of its own.  Beyond most_sources sources, those with the fewest rows are mixed as one, with the
-    sum of their weights.  The last block of a source may be short.  Rows of a source are ordered by a hash of their id and
+    an error.  Null is a source of its own.  Beyond most_sources sources, those with the fewest rows are dealt into lots of about
+    as many; a lot has the sum of their weights, and its rows come in the order of a schedule of their own, so each source keeps its weight.  The last block of a source may be short.  Rows of a source are ordered by a hash of their id and
     tie_cols (without: text, if there is such a column); repeated rows keep a place each.  An empty table gives an empty result.
     Columns of docs stay, but for any that are called block, slot or position.
     """
@@ -94,14 +118,19 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     counts = {r[0]: r[1] for r in by_source.orderBy(F.desc("count"), "__key").limit(most_sources).collect()}
     named = target_weights(counts, weights)
     total = docs.count()
+    few, tail = base, None
     if (rest := total - sum(counts.values())) > 0:
-        # the sum of the others' weights, formed by Spark; their rows meet one schedule
+        # the sum of the others' weights, formed by Spark; the rows of a lot meet the main schedule as one source, in the order of the lot's own
         own = F.create_map(*(F.lit(x) for s, w in (weights or {}).items() if s is not None for x in ("=" + s, float(w)))) if weights else None
         least = float(min((w for w in (weights or {}).values() if w > 0), default=1.0))
         weight = F.pow("count", F.lit(0.7)) if weights is None else F.coalesce(own[F.col("__key")], F.lit(least)) if weights else F.lit(1.0)
-        named[REST] = Fraction(by_source.where(~F.col("__key").isin(list(counts))).agg(F.sum(weight)).first()[0])
-        base = base.withColumn("__key", F.when(F.col("__key").isin(list(counts)), F.col("__key")).otherwise(REST))
-        counts[REST] = rest
+        held = F.col("__key").isin(list(counts))
+        more = settle(by_source.where(~held).withColumn("__weight", weight.cast("double")))
+        lots = min(most_sources, -(-more.count() // most_sources))
+        more = more.withColumn("__lot", F.concat(F.lit(REST), F.pmod(F.xxhash64("__key"), F.lit(lots)).cast("string")))
+        for r in more.groupBy("__lot").agg(F.sum("count").alias("n"), F.sum("__weight").alias("w")).collect():
+            counts[r["__lot"]], named[r["__lot"]] = r["n"], Fraction(r["w"])
+        few, tail = base.where(held), in_lots(base.where(~held), more, id_col, block_rows, most_blocks)
     size = max(block_rows, -(-total // most_blocks))
     slots = plan({s: -(-n // size) for s, n in counts.items()}, named)
     # only a source's last block may be short; what stands after it moves up
@@ -114,7 +143,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
             g += 1
         starts.setdefault(s, []).append(slot * size - moved)
     table = docs.sparkSession.createDataFrame([(s, own, starts[s]) for s, own in slots.items() if own], "__key string, __slots array<int>, __starts array<long>")
-    placed = numbered(base, "__key", [F.col(id_col), F.col("__tie")], "__row", largest=max(counts.values(), default=0))
+    placed = numbered(few, "__key", [F.col(id_col), F.col("__tie")], "__row", largest=max(counts.values(), default=0))
+    placed = placed if tail is None else placed.unionByName(tail)
     # a row a source, and over all of them a number a block: at most about most_blocks
     placed = placed.join(F.broadcast(table), "__key").withColumn("block", F.floor(F.col("__row") / size).cast("long"))
     at = F.col("block").cast("int")

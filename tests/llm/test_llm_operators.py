@@ -362,6 +362,17 @@ def jaccard_groups(texts, words=5, similarity=0.8):
     return label
 
 
+def test_sources_beyond_the_most_keep_their_weights(spark):
+    """Two heavy and two light sources share what two others leave: the heavy ones come three times as often, as long as all last."""
+    rows = [(k, s) for s, n in (("a", 4000), ("b", 3000), ("c", 960), ("d", 960), ("e", 960), ("f", 960)) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix(docs, {"a": 1.0, "b": 1.0, "c": 3.0, "d": 3.0, "e": 1.0, "f": 1.0}, most_sources=2).collect()
+    assert sorted(r["position"] for r in got) == list(range(len(rows)))
+    order = [r["source"] for r in sorted(got, key=lambda r: r["position"]) if r["source"] in "cdef"]
+    heavy, light = sum(s in "cd" for s in order[:1280]), sum(s in "ef" for s in order[:1280])
+    assert abs(heavy - 960) <= 32 and abs(light - 320) <= 32
+
+
 def test_one_of_each_group_of_near_copies(spark, odd, nothing):
     """Against all pairs: no group loses its last text, all surplus copies go but one in a hundred, and only copies go."""
     rng = np.random.default_rng(8)
