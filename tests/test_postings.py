@@ -77,6 +77,19 @@ def test_empty_index_and_no_tokens(spark, tmp_path):
     assert found(index, spark, []) == set() and found(index, spark, [""]) == set()
 
 
+def test_one_pass_equals_substring_search(spark, sf, monkeypatch):
+    """Many words at once are looked for in one pass: no index is built for that, and each pair comes once."""
+    monkeypatch.setattr(WordIndex, "build", lambda *a: pytest.fail("an index was built"))
+    rows = postings.scanned(spark.createDataFrame([(t,) for t in TOKENS], "token string"), table(spark, FIRST)).collect()
+    out = {(r["token"], r["id"], r["in_name"]) for r in rows}
+    assert len(out) == len(rows) and out == brute(FIRST, TOKENS)
+    assert postings.scanned(spark.createDataFrame([], "token string"), table(spark, FIRST)).count() == 0
+    assert postings.scanned(spark.createDataFrame([("fox",)], "token string"), table(spark, [])).count() == 0
+    from docloom.registry import search
+
+    assert search.d1_lexical_candidates(spark, sf).count() > 0
+
+
 def test_no_python_in_the_search(spark, sf):
     from docloom.registry import search
 
