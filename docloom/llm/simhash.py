@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.shared import HUBS, by_key, components, key_of, settle
@@ -164,6 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SIMILAR = 0.8
 #: Bands of minima that near copies are looked for by, and minima in each: two texts alike by 0.8 share no band once in 5,000 times.
 BANDS, MINIMA = 16, 4
+#: Texts of a bucket that each of its other texts is compared with in one task.
+PART = 128
 
 
 @lru_cache
@@ -235,27 +237,42 @@ def leaders(rows: DataFrame, turns: range, similarity: float) -> DataFrame:
     return met.select(f["th"].alias("ta"), F.col("th").alias("tb"), f["o"].alias("place"), differ(f).alias("ok"))
 
 
+def similar(a: Column, b: Column, similarity: float) -> Column:
+    """Are two sets that similar?  Two empty ones are."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), True).otherwise(shared >= similarity * (F.size(a) + F.size(b) - shared))
+
+
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (ta, tb) those whose sets(th, s) are that similar; two empty sets are."""
     # a text that leads many others meets them where they are
     busy = settle(pairs.groupBy("ta").count().where(F.col("count") * HUBS > pairs.count()))
     both = pairs.join(sets.select(F.col("th").alias("tb"), F.col("s").alias("sb")).hint("merge"), "tb")
     both = by_key(both, sets.select(F.col("th").alias("ta"), F.col("s").alias("sa")), busy, "ta")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(F.when((F.size("sa") == 0) & (F.size("sb") == 0), True).otherwise(shared >= similarity * (F.size("sa") + F.size("sb") - shared))).select("ta", "tb")
+    return both.where(similar(F.col("sa"), F.col("sb"), similarity)).select("ta", "tb")
 
 
-def across(rows: DataFrame, similarity: float) -> DataFrame:
-    """(ta, tb): all pairs of texts that share a bucket of rows(key, th, n, label), differ in label and are near enough in size, each once.
+def across(rows: DataFrame, sets: DataFrame, similarity: float, turns: range) -> DataFrame:
+    """(ta, tb): all pairs of texts that share a bucket of rows(key, th, n, label), differ in label and are alike, each once.
 
-    Rows of a bucket's commonest label meet only those of others, so a bucket of one label costs nothing.
+    Pairs with a bucket's firsts are left out, as leaders gave them for these turns.  Rows of a bucket's commonest label meet only those of
+    others, so a bucket of one label costs nothing.  Sets go to the buckets, once for each PART texts of a bucket, and are compared there:
+    what is shuffled does not grow with the pairs, and a large bucket fills several tasks.
     """
-    sizes = rows.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"))
-    mixed_up = settle(rows.join(sizes.where("labels > 1").select("key", F.col("m.label").alias("most")).hint("merge"), "key"))
-    x, y = mixed_up.where("label <> most").alias("x"), mixed_up.alias("y")
+    first = [F.min(F.struct(F.xxhash64("th", F.lit(t)).alias("o"), "th"))["th"] for t in turns]
+    lead = rows.groupBy("key").agg(F.array(*first).alias("firsts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    left = settle(rows.join(lead.select("key", "firsts").hint("merge"), "key").where(~F.array_contains("firsts", F.col("th"))).drop("firsts"))
+    sizes = left.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("m"), F.count("*").alias("labels"), F.ceil(F.sum("count") / PART).cast("int").alias("parts"))
+    mixed_up = settle(left.join(sizes.where("labels > 1").select("key", F.col("m.label").alias("most"), "parts").hint("merge"), "key"))
+    whole = mixed_up.join(sets.select("th", "s").hint("merge"), "th")
+    # few bytes can mean many pairs, so adaptive plans must not put parts together by their bytes
+    dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "part")
+    x = dealt(whole.where("label <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))).alias("x")
+    y = dealt(whole.withColumn("part", F.pmod(F.xxhash64("th", F.lit(0)), F.col("parts")).cast("int"))).alias("y")
     once = (F.col("y.label") == F.col("y.most")) | (F.col("x.th") < F.col("y.th"))
     near = F.greatest("x.n", "y.n") * similarity <= F.least("x.n", "y.n")
-    met = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & once & near)
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & once & near
+    met = x.join(y.hint("merge"), same & similar(F.col("x.s"), F.col("y.s"), similarity))
     return met.select(F.least("x.th", "y.th").alias("ta"), F.greatest("x.th", "y.th").alias("tb")).distinct()
 
 
@@ -293,8 +310,7 @@ def near_copies(marked: DataFrame, one: DataFrame, similarity: float = SIMILAR,
 
     # what no first has shown: a bucket that still holds several components is compared across them, whatever its size
     now = settle(able.select("th", "n", "fp", "keys").join(comp.hint("merge"), "th", "left").withColumn("label", F.coalesce("component", "th")).drop("component"))
-    rest = settle(across(now.select("th", "n", "label", key), similarity))
-    late = settle(alike(rest, sets, similarity)) if not rest.isEmpty() else rest
+    late = settle(across(now.select("th", "n", "label", key), sets, similarity, range(1, turns)))
     if late.isEmpty():
         return comp
     label = lambda c: now.select(F.col("th").alias(c), F.col("label").alias(f"l{c}")).hint("merge")

@@ -432,6 +432,18 @@ def test_no_near_copy_of_a_busy_bucket_is_lost(spark):
     assert got == {(1000 + k, 1000 + k - k % 2) for k in range(40)}
 
 
+def test_sets_are_not_handed_on_pair_by_pair(spark, monkeypatch):
+    """300 texts in one bucket, alike two by two: pairs that carry their sets stay in proportion to the texts, and no link is lost."""
+    handed, held = [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda pairs, sets, similarity: handed.append(pairs.count()) or held(pairs, sets, similarity))
+    rows = [(1000 + k, [100 * (k // 2) + i for i in range(20)] + [90000 + k]) for k in range(300)]
+    marked = spark.createDataFrame(rows, "th long, s array<int>")
+    one = spark.createDataFrame([(th, th * 0x9E3779B97F4A7C15 % (1 << 63), [7], len(s)) for th, s in rows], "th long, fp long, keys array<long>, n int")
+    got = {(r["th"], r["component"]) for r in simhash.near_copies(marked, one).collect()}
+    assert got == {(1000 + k, 1000 + k - k % 2) for k in range(300)}
+    assert sum(handed) <= 4 * len(rows)
+
+
 def test_plain_rows_pass_no_join_for_busy_buckets(spark):
     """The rows of all other buckets are told from busy ones by a filter, so no join hands all of them on."""
     rows = spark.createDataFrame([(k % 300 if k < 600 else 999, k, 10, k) for k in range(1200)], "key long, th long, n int, label long")
