@@ -86,15 +86,16 @@ def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, size: int = 64)
     code points.  Runs are counted by id and bucket before anything is shuffled, so a text of any length moves as size counts.
     Null and empty texts give zeros; texts that share an id count together.
     """
-    hashed = lambda c, i: F.pmod((c[i] * 7919 + c[i + 1]) * 104729 + c[i + 2], F.lit(1_000_003)) % size
-    runs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: hashed(c, i))
-    letters = F.split(F.concat(F.lit(" "), F.lower(text_col), F.lit(" ")), "")
-    buckets = let(F.transform(letters, lambda x: F.ascii(x).cast("long")), lambda c: F.when(F.size(c) > 2, runs(c)))
-    counts = docs.select(id_col, F.explode_outer(buckets).alias("__b")).groupBy(id_col, "__b").agg(F.count("*").cast("double").alias("__n"))
+    # each run is a row of its own from the start: then all of it is compiled code, which lambdas over arrays are not
+    code = lambda k: F.ascii(F.get("__c", F.col("__i") + k)).cast("long")
+    hashed = F.when(F.col("__i").isNotNull(), F.pmod((code(0) * 7919 + code(1)) * 104729 + code(2), F.lit(1_000_003)) % size)
+    letters = docs.select(id_col, F.split(F.concat(F.lit(" "), F.lower(text_col), F.lit(" ")), "").alias("__c"))
+    runs = letters.select(id_col, "__c", F.explode_outer(F.when(F.size("__c") > 2, F.sequence(F.lit(0), F.size("__c") - 3))).alias("__i"))
+    counts = runs.select(id_col, hashed.alias("__b")).groupBy(id_col, "__b").agg(F.count("*").cast("double").alias("__n"))
     by = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("__b", "__n")))).alias("__m"))
     length = F.greatest(F.sqrt(F.aggregate(F.map_values("__m"), F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))
     places = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
-    return by.select(id_col, F.transform(places, lambda k: F.coalesce(F.try_element_at("__m", k), F.lit(0.0)) / length).alias("v"))
+    return by.select(id_col, let(length, lambda size_of: F.transform(places, lambda k: F.coalesce(F.try_element_at("__m", k), F.lit(0.0)) / size_of)).alias("v"))
 
 
 def isolated(embedder: Callable[[pd.Series], pd.Series], texts: pd.Series) -> tuple[list, list[str]]:

@@ -42,3 +42,12 @@ def test_files_are_unpacked_a_few_at_a_time(spark):
     out = {r["path"]: (r["text"], r["error"]) for r in files.container_text(rows).collect()}
     assert len(out) == 3 * files.ROWS_AT_ONCE + 7 and out["/101.docx"] == ("text 101", "")
     assert out["/100.docx"] == ("", "BadZipFile: 100.docx")
+
+
+def test_letters_become_rows_in_compiled_code(spark):
+    """Only what is done once a vector may go through lambdas."""
+    from docloom.operators.vectors import hashed_vectors
+
+    docs = spark.range(40).select("id", F.col("id").cast("string").alias("t"))
+    plan = hashed_vectors(docs, "id", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" in plan and "lambda" not in plan[plan.index("Generate") :]
