@@ -3,114 +3,73 @@
 A watcher sees a move's changes at once, but the record of the move may be written later.  So what an event says of its path goes into
 the table at once, and a record that comes later takes it back: the path gets the state that it had without that event.
 
-State is kept by path: the events of the last while that no record explains, the times of its records, and the newest older event.
-Event-time timers on the time of arrival fold what is old enough into that one event, so state is bounded by what arrives in the while.
-Watermarks are on arrival, not on the events' own times, so no event is too late to be read.
+The table in versions holds the state itself, a row each: the events of the last while that no record explains, the records of that while,
+and by path the newest older event.  A batch puts its rows beside those of the buckets that it touches; records meet events by path and
+slot of time, so a busy path fills several tasks.  What is old enough by its arrival is folded whenever its bucket is written.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from docloom.session import settle
 from docloom.sources.versions import VersionedTable
 from docloom.streaming.changes import steps
 
-REVISIONS = "path string, gone boolean, mtime_us long, ts_us long, event_id long, revision long"
-STATE = "path string, gone boolean, mtime_us long, ts timestamp, event_id long, revision long"
+STATE = "path string, kind string, ts_us long, event_id long, gone boolean, mtime_us long, seen_ms long"
+COLUMNS = [c.split()[0] for c in STATE.split(", ")]
 RECORD = "path string, applied_at timestamp"
 
 
-class Revisions(StatefulProcessor):
-    """By path, the newest event that no record within seconds explains, with a number that grows by one a batch.
+def arrivals(events: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows of STATE, of kind event and record, from a stream of events and one of records(path, applied_at).
 
-    Of events at one time the larger event_id is newer, and of a move onto its own path the delete.
+    A record stands for one path that a move of one's own touches; a move has one for its old and one for its new path.  Rows
+    without path, time or, for events, event_id say nothing of any file and are left out.  seen_ms is the time of the batch.
     """
+    changes = steps(events).where("path is not null and ts is not null and event_id is not null").withColumns({"kind": F.lit("event"), "ts_us": F.unix_micros("ts")})
+    own = records.where("path is not null and applied_at is not null").withColumns({"kind": F.lit("record"), "ts_us": F.unix_micros("applied_at")})
+    own = own.withColumns({"event_id": F.lit(None).cast("long"), "gone": F.lit(None).cast("boolean"), "mtime_us": F.lit(None).cast("long")})
+    return changes.select(COLUMNS[:-1]).unionByName(own.select(COLUMNS[:-1])).withColumn("seen_ms", F.unix_millis(F.current_timestamp()))
 
-    def __init__(self, seconds: int, keep_ms: int):
-        self.band_us, self.keep_ms = seconds * 1_000_000, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.recent = handle.getMapState("recent", "ts_us long, event_id long, gone boolean", "mtime_us long, seen_ms long")
-        self.records = handle.getMapState("records", "at_us long", "seen_ms long")
-        self.settled = handle.getValueState("settled", "ts_us long, event_id long, gone boolean, mtime_us long")
-        self.revision = handle.getValueState("revision", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        seen = None
-        for r in rows:
-            seen = r.seen_ms  # one time of arrival a batch
-            if r.own:
-                self.records.updateValue((r.ts_us,), (seen,))
-            else:
-                self.recent.updateValue((r.ts_us, r.event_id, r.gone), (r.mtime_us, seen))
-        self.handle.registerTimer(seen + self.keep_ms)
-        self._drop_explained()
-        n = self.revision.get()[0] + 1 if self.revision.exists() else 0
-        self.revision.update((n,))
-        newest = self._newest()
-        if newest is None:
-            yield Row(path=key[0], gone=True, mtime_us=None, ts_us=None, event_id=None, revision=n)
-        else:
-            yield Row(path=key[0], gone=newest[2], mtime_us=newest[3], ts_us=newest[0], event_id=newest[1], revision=n)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        until = expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms
-        old = [(tuple(k), tuple(v)) for k, v in self.recent.iterator() if v[1] <= until]
-        candidates = [(*k, v[0]) for k, v in old] + ([tuple(self.settled.get())] if self.settled.exists() else [])
-        if old:
-            self.settled.update(max(candidates, key=lambda e: e[:3]))
-        for k, _ in old:
-            self.recent.removeKey(k)
-        for k in [tuple(k) for k, v in self.records.iterator() if v[0] <= until]:
-            self.records.removeKey(k)
-        return iter(())
-
-    def _drop_explained(self) -> None:
-        """Records are not taken back, so an explained event never counts again."""
-        at = sorted(k[0] for k in self.records.keys())
-        if not at:
-            return
-
-        def explained(us: int) -> bool:
-            i = bisect_left(at, us - self.band_us)
-            return i < len(at) and at[i] <= us + self.band_us
-
-        for k in [tuple(k) for k in self.recent.keys() if explained(k[0])]:
-            self.recent.removeKey(k)
-
-    def _newest(self) -> tuple | None:
-        best = tuple(self.settled.get()) if self.settled.exists() else None
-        for k, v in self.recent.iterator():
-            if best is None or tuple(k) > best[:3]:
-                best = (*k, v[0])
-        return best
-
-
-def revisions(events: DataFrame, records: DataFrame, seconds: int = 10, keep: int = 3600) -> DataFrame:
-    """A stream of (path, gone, mtime_us, ts_us, event_id, revision) from a stream of events and one of records(path, applied_at).
 
-    A record stands for one path that a move of one's own touches; a move has one for its old and one for its new path.  Rows
-    without path, time or, for events, event_id say nothing of any file and are left out.  Repeated rows change nothing.
-    """
-    changes = steps(events).where("path is not null and ts is not null and event_id is not null")
-    own = records.where("path is not null and applied_at is not null")
-    both = changes.select("path", F.unix_micros("ts").alias("ts_us"), "event_id", "gone", "mtime_us", F.lit(False).alias("own")).unionByName(
-        own.select("path", F.unix_micros("applied_at").alias("ts_us"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("boolean").alias("gone"), F.lit(None).cast("long").alias("mtime_us"), F.lit(True).alias("own"))
-    )
-    seen = both.withColumn("seen", F.current_timestamp()).withWatermark("seen", "0 seconds").withColumn("seen_ms", F.unix_millis("seen"))
-    return seen.groupBy("path").transformWithState(Revisions(seconds, keep * 1000), REVISIONS, "Update", "EventTime")
+def folded(rows: DataFrame, before_ms: int) -> DataFrame:
+    """rows of STATE without repeats; of events seen before that time only the newest of a path stays, settled, and such records go."""
+    old = F.coalesce(F.col("seen_ms") < before_ms, F.lit(False))
+    rows = rows.where(~(old & (F.col("kind") == "record")))
+    settled = old | (F.col("kind") == "settled")
+    rows = rows.withColumns({"kind": F.when(settled, "settled").otherwise(F.col("kind")), "seen_ms": F.when(~settled, F.col("seen_ms"))})
+    # of repeats the one seen last; of settled events, which have no such time, the newest
+    each = F.when(F.col("kind") != "settled", F.struct("ts_us", "event_id", "gone")).alias("each")
+    last = F.max(F.struct("seen_ms", "ts_us", "event_id", "gone", "mtime_us")).alias("l")
+    return rows.groupBy("path", "kind", each).agg(last).select("path", "kind", "l.*").select(COLUMNS)
+
+
+def unexplained(rows: DataFrame, seconds: int) -> DataFrame:
+    """rows of STATE without the events that a record of their path within seconds explains."""
+    band = seconds * 1_000_000
+    width = max(band, 1)
+    slot = lambda us: us - F.pmod(us, F.lit(width))
+    # what an event has to know of the records: is one in its slot, the last one of the slot before, the first one of the next
+    records = rows.where("kind = 'record'").select("path", F.col("ts_us").alias("at"), F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("to"))
+    of = lambda k: F.when(F.col("to") == k, F.col("at"))
+    near = records.groupBy("path", (slot(F.col("at")) + F.col("to") * width).alias("slot")).agg(F.max(of(0)).isNotNull().alias("same"), F.max(of(1)).alias("before"), F.min(of(-1)).alias("after"))
+    explained = F.col("same") | (F.col("before") >= F.col("ts_us") - band) | (F.col("after") <= F.col("ts_us") + band)
+    events = rows.where("kind = 'event'").withColumn("slot", slot(F.col("ts_us"))).join(near.hint("merge"), ["path", "slot"], "left")
+    return rows.where("kind <> 'event'").unionByName(events.where(~F.coalesce(explained, F.lit(False))).select(COLUMNS))
 
 
-def newest_revision(table: DataFrame, rows: DataFrame) -> DataFrame:
-    columns = [c.split()[0] for c in STATE.split(", ")]
-    last = F.max_by(F.struct(*columns), "revision").alias("l")
-    return table.select(columns).unionByName(rows.select(columns)).groupBy("path").agg(last).select("l.*")
+def merged(seconds: int, keep_ms: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The state of buckets after one batch's rows, which were all seen at one time."""
+
+    def merge(table: DataFrame, changes: DataFrame) -> DataFrame:
+        now = changes.agg(F.max("seen_ms")).first()[0]
+        return unexplained(settle(folded(table.select(COLUMNS).unionByName(changes.select(COLUMNS)), now - keep_ms)), seconds)
+
+    return merge
 
 
 def table_of(spark: SparkSession, table: str) -> VersionedTable:
@@ -122,21 +81,25 @@ def follow(spark: SparkSession, source: str, schema: str, records: str, table: s
 
     An event and a record of its path within seconds of it give the same table whichever comes first, if the later one comes at most keep
     seconds after the earlier one.  After that an event is settled: a record changes it no more, and a record is forgotten.  Both folders
-    must exist.  States lie in the checkpoint, so it is a folder that driver and executors share.
+    must exist.  Repeated rows change nothing, and a batch that runs twice writes the same rows again.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     options = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
     read = lambda form, path: spark.readStream.schema(form).options(**options).parquet(path)
-    held = table_of(spark, table)
+    held, merge = table_of(spark, table), merged(seconds, keep * 1000)
 
     def batch(rows: DataFrame, number: int) -> None:
-        held.commit(rows.withColumn("ts", F.timestamp_micros("ts_us")), newest_revision, number)
+        held.commit(rows, merge, number)
 
-    out = revisions(read(schema, source), read(RECORD, records), seconds, keep)
-    out.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    out = arrivals(read(schema, source), read(RECORD, records))
+    out.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return held.last()
 
 
 def version(spark: SparkSession, table: str, number: int) -> DataFrame:
-    """(path, mtime_us, ts, event_id) of the files that are there in a version."""
-    return table_of(spark, table).read(number).where(~F.col("gone")).drop("gone", "revision")
+    """(path, mtime_us, ts, event_id) of the files that are there in a version.
+
+    Of events at one time the larger event_id is newer, and of a move onto its own path the delete.
+    """
+    newest = F.max(F.struct("ts_us", "event_id", "gone", "mtime_us")).alias("l")
+    last = table_of(spark, table).read(number).where("kind <> 'record'").groupBy("path").agg(newest).where(~F.col("l.gone"))
+    return last.select("path", "l.mtime_us", F.timestamp_micros("l.ts_us").alias("ts"), "l.event_id")

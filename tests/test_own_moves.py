@@ -83,3 +83,21 @@ def test_any_order_of_files_gives_what_a_plain_loop_gives(spark, tmp_path):
     draw.shuffle(mixed)
     batches = [([r for s, r in mixed[k::4] if s == "e"], [r for s, r in mixed[k::4] if s == "m"]) for k in range(4)]
     assert feed(spark, tmp_path, *batches)[1] == truth(events, records)
+
+
+def test_records_meet_events_at_the_ends_of_the_band(spark):
+    draw = random.Random(5)
+    for seconds in (0, 1, 3):
+        band = seconds * 1_000_000
+        events = [("event", f"/p{draw.randrange(3)}", draw.choice((0, 1_704_067_200_000_000)) + draw.randrange(-9, 9) * 500_000 + draw.randrange(-1, 2), k) for k in range(300)]
+        records = [("record", p, us + draw.choice((-band - 1, -band, 0, band, band + 1)), None) for _, p, us, _ in draw.sample(events, 12)]
+        rows = spark.createDataFrame([(p, kind, us, k, False, 0, 0) for kind, p, us, k in events + records] + [("/p0", "settled", events[0][2], 999, False, 0, None)], own_moves.STATE)
+        got = sorted(r.event_id for r in own_moves.unexplained(rows, seconds).where("kind <> 'record'").collect())
+        assert got == [k for _, p, us, k in events if not any(p == q and abs(us - at) <= band for _, q, at, _ in records)] + [999]
+
+
+def test_state_is_a_table_that_holds_what_arrived_in_the_while(spark, tmp_path):
+    batches = [([(k, at(k), "/hot", "modify", None, k) for k in range(10 * b, 10 * b + 10)], [("/hot", at(9000))]) for b in range(3)]
+    last = feed(spark, tmp_path, *batches, keep=0)[0]
+    held = sorted((r.kind, r.event_id) for r in own_moves.table_of(spark, f"{tmp_path}/t").read(last).collect())
+    assert held == [("event", k) for k in range(20, 30)] + [("record", None), ("settled", 19)]
