@@ -44,6 +44,31 @@ def test_files_are_unpacked_a_few_at_a_time(spark):
     assert out["/100.docx"] == ("", "BadZipFile: 100.docx")
 
 
+def test_a_part_that_cannot_be_read_is_an_error(spark):
+    """Broken XML is told apart from an empty text, and the other parts keep theirs."""
+    import io
+    import zipfile
+
+    from docloom.sources import files
+
+    def packed(**parts):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for name, text in parts.items():
+                z.writestr(name.replace("__", "/") + ".xml", text)
+        return held.getvalue()
+
+    slides = packed(ppt__slides__slide1="<d>one</d>", ppt__slides__slide2="<d>two", ppt__slides__slide3="<d>three</d>")
+    rows = [("/a/empty.docx", packed(word__document="<d/>")), ("/a/broken.docx", packed(word__document="<d>\x01</d>")), ("/a/none.docx", packed(word__styles="<d>x</d>")), ("/a/s.pptx", slides)]
+    out = {r["path"]: (r["text"], r["error"]) for r in files.container_text(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert out == {
+        "/a/empty.docx": ("", ""),
+        "/a/broken.docx": ("", "ParseError: broken.docx/word/document.xml"),
+        "/a/none.docx": ("", "NoTextPart: none.docx"),
+        "/a/s.pptx": ("one three", "ParseError: s.pptx/ppt/slides/slide2.xml"),
+    }
+
+
 def test_letters_become_rows_in_compiled_code(spark):
     """Only what is done once a vector may go through lambdas."""
     from docloom.operators.vectors import hashed_vectors
