@@ -14,7 +14,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["d3_keyword_score"])
+@pytest.mark.parametrize("name", ["d3_keyword_score", "d7_candidate_union", "d8_first_gate"])
 def test_pairs_are_not_dealt_again(spark, sf, name):
     out = plan(QUERIES[name](spark, sf))
     assert not re.search(r"Exchange hashpartitioning\([^)]*query_id#\d+L, id#", out) and "SortMergeJoin" not in out
