@@ -56,3 +56,13 @@ def test_one_pass_cuts_texts_anywhere(spark):
     found = [tuple(r) for r in postings.scanned(spark.createDataFrame([(t,) for t in tokens], "token string"), docs).collect()]
     flat = {k: re.sub(r"[-_.()\[\]{}·,~]|\s", "", n).lower() for k, n, *_ in rows}
     assert sorted(found) == sorted((t, k, t in flat[k]) for k, _, b, _ in rows for t in tokens if t in flat[k] or t in (b or "").lower())
+
+
+def test_common_words_change_nothing(spark, monkeypatch):
+    """Words whose tokens are told once, from the first documents, and words that are cut into runs give the same."""
+    docs = spark.createDataFrame([(k, f"n{k}.txt", f"every rare{k} wordly {'tail' * (k % 3)}") for k in range(40)], "id long, name string, body string")
+    tokens = spark.createDataFrame([(t,) for t in ("ever", "very", "rd", "rare7", "talta", "iltail", "ly", "n3", "every")], "token string")
+    found = lambda: sorted(tuple(r) for r in postings.scanned(tokens, docs, 10).collect())
+    known = found()
+    monkeypatch.setattr(postings, "MOST_COMMON", 0)
+    assert known == found() and len(known) > 200
